@@ -16,4 +16,23 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
 from d left join pos using (r) left join its using (r)
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1}
+OP3 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h)) as n, sha1(h) as x, row_number() over (partition by h order by page_id desc) as k, max(page_id) over (partition by h) as top from p),
+bits as (select *, (select string_agg(lpad(bin(('0x' || substr(x, i, 1))::int), 4, '0'), '' order by i) from (select unnest(range(1, 41)) as i)) as b from d)
+select page_id, cast(n as bigint) as payload_bytes,
+ (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([(substr(b, 5 * j + 1 + q, 1))::int * cast(pow(2, 4 - q) as int) for q in range(0, 5)])::int, 1), '' order by j) from (select unnest(range(0, 32)) as j)) as payload_digest,
+ case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then top end as refers_to
+from bits
+"""
+
+OP10 = """
+with rules(action, h, q) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+u as (select row_number() over () as r, page_id,
+ coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+ coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+best as (select r, arg_max(h || q, length(h || q)) as rule, arg_max(action, length(h || q)) as action from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, q) group by r)
+select page_id, host, path, rule, coalesce(action, 'allow') as verdict from u left join best using (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_warc": OP3, "op10_urlfilter": OP10}
