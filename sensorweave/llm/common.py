@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of text that a kernel holds as arrays at a time; one longer text is still handled whole.
 CHUNK_BYTES = 1 << 21
 
@@ -56,14 +58,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of consecutive texts: byte spans, text index and 64-bit hash of each."""
 
-    __slots__ = ("data", "start", "end", "doc", "hash", "first", "n_docs")
+    __slots__ = ("data", "start", "end", "doc", "hash", "first", "n_docs", "total")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, hashes: bool = True):
         self.data = a = WORD_BYTE[data]
         self.n_docs = n = len(offsets) - 1
         if not len(a):
             self.start = self.end = self.doc = np.zeros(0, np.int64)
-            self.hash, self.first = np.zeros(0, U64), np.zeros(n + 1, np.int64)
+            self.hash, self.first, self.total = np.zeros(0, U64), np.zeros(n + 1, np.int64), np.zeros(1, U64)
             return
         isw = a != 32
         begins, ends = isw.copy(), isw.copy()
@@ -79,10 +81,17 @@ class Words:
         self.hash = self._hash(a) if hashes else np.zeros(0, U64)
 
     def _hash(self, a: np.ndarray) -> np.ndarray:
-        up, down = _powers(len(a))
-        total = np.cumsum(_codes()[a] * up)
-        before = np.where(self.start > 0, total[self.start - 1], U64(0))
-        return mix((total[self.end - 1] - before) * down[self.start] + (self.end - self.start).astype(U64))
+        self.total = np.zeros(len(a) + 1, U64)
+        np.cumsum(_codes()[a] * _powers(len(a))[0], out=self.total[1:])
+        return self._between(self.end)
+
+    def _between(self, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[self.start]) * _powers(len(self.total))[1][self.start] + (end - self.start).astype(U64))
+
+    def prefixes(self, k: int) -> np.ndarray:
+        """Hash of the first k bytes of each word; 0 for words that are shorter."""
+        end = self.start + k
+        return np.where(end <= self.end, self._between(np.minimum(end, self.end)), U64(0))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of k words within a text, and the index of its first word; a shorter text has one run, all its words."""
@@ -133,6 +142,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import _Q, Words, chunks, cut, free_names, map_batches, mix, text_bytes
 
 #: Words in a window, and in the shingles that prefixes are made of.
@@ -132,6 +133,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterato
 
 def _count(docs: DataFrame, text: str, block: Block) -> np.ndarray:
     """Occurrences of the block's shingles in all documents."""
+    ship(docs.sparkSession)
     keys, single = docs.sparkSession.sparkContext.broadcast(block.vocabulary), block.single
 
     def run(batches):

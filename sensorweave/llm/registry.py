@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, pii, urlfilter, warc
+from . import decontaminate, langid, pii, toxicity, urlfilter, warc
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -19,12 +20,24 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), langid.held_out("doc_id", 4, 2)
+    model = langid.train(docs, train=F.col("doc_id").isNotNull() & ~held)
+    return langid.predict(docs, model, held=held)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), langid.held_out("doc_id", 5, 0)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), train=~held)
+    return toxicity.score(docs, model, held=held)
+
+
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, urlfilter.RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_warc, op6_pii, op10_urlfilter)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_warc, op4_langid, op6_pii, op9_toxicity, op10_urlfilter)}

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import shared_folder
 
 ROLL_BYTES = 64 << 20
@@ -135,6 +136,7 @@ def _shards(sizes: DataFrame, shards: int) -> tuple[int, int, list[int]]:
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", roll_bytes: int = ROLL_BYTES, least_bytes: int = 0, parts: int | None = None) -> list[dict]:
     """Write and commit; the manifest's entries, one a file, in order of keys."""
+    ship(pages.sparkSession)
     store = Store(folder)
     store.make()
     body = pages.select(
@@ -225,6 +227,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
 
     Digests of blocks are checked; a wrong one fails the task.
     """
+    ship(spark)
     names = [e["name"] for e in manifest(folder)]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
