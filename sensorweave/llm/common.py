@@ -1,8 +1,11 @@
-"""What the operators share: checkpoints, word streams as arrays, components of a graph."""
+"""What the operators share: written tables, word streams as arrays, components of a graph."""
 
 from __future__ import annotations
 
+import atexit
+import posixpath
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -169,10 +172,34 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+_TABLES: dict[str, str] = {}
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    """At the interpreter's end, if the session still runs."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001  the session is gone; the folder's name tells whose it was
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder; its lineage ends there, so a lost executor costs no more than its own tasks."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once into a table in the shared folder; its lineage ends there, so a lost executor costs no more than its own tasks.
+
+    A written table, not checkpoint(): that keeps the size estimate of its plan, which for joins
+    is a product and over iterations grows to numbers whose digits alone take minutes. Tables of
+    an application lie in one folder, which goes when the application ends.
+    """
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if app not in _TABLES:
+        _TABLES[app] = posixpath.join(shared_folder(spark), f"tables-{app}")
+        atexit.register(_sweep, spark, _TABLES[app])
+    path = posixpath.join(_TABLES[app], uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -181,7 +208,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round hooks every node to its neighbour of smallest hash, if smaller than its own, and
     contracts the edges; the hash changes with the round, so paths shrink by a constant factor
     in expectation whatever the ids. Nodes without edges are not in the result; null ends and
-    loops are ignored. Rounds are cut by checkpoints.
+    loops are ignored. Rounds are cut by written tables.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u != v")
     e = cut(e.union(e.select("v", "u")).distinct())

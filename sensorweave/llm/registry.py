@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, langid, pii, toxicity, urlfilter, warc
+from . import decontaminate, langid, neardup, pii, toxicity, urlfilter, warc
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -30,6 +30,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), langid.held_out("doc_id", 5, 0)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), train=~held)
@@ -40,4 +44,4 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, urlfilter.RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_warc, op4_langid, op6_pii, op9_toxicity, op10_urlfilter)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_warc, op4_langid, op6_pii, op7_neardup, op9_toxicity, op10_urlfilter)}
