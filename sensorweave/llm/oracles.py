@@ -35,4 +35,15 @@ best as (select r, arg_max(h || q, length(h || q)) as rule, arg_max(action, leng
 select page_id, host, path, rule, coalesce(action, 'allow') as verdict from u left join best using (r)
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_warc": OP3, "op10_urlfilter": OP10}
+OP8 = """
+with e as (select vec_id, label, embedding from embeddings where vec_id is not null and label is not null and embedding is not null and list_count(embedding) = len(embedding)
+  and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id and len(a.embedding) = len(b.embedding)
+  where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.98),
+r as (with recursive w(n, m) as (select a, b from p union select w.n, p.b from w join p on p.a = w.m) select n, min(m) as m from w group by n),
+c as (select a, count(*) as n from p group by a)
+select vec_id, coalesce(c.n, 0) as n_links, least(vec_id, coalesce(r.m, vec_id)) as component_id, vec_id = least(vec_id, coalesce(r.m, vec_id)) as kept
+from embeddings left join c on c.a = vec_id left join r on r.n = vec_id
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_warc": OP3, "op8_vectors": OP8, "op10_urlfilter": OP10}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, langid, neardup, pii, toxicity, urlfilter, warc
+from . import decontaminate, htmltext, langid, mixing, neardup, pii, toxicity, urlfilter, vectors, warc
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -16,6 +16,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents by id and epoch."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_chars", "epoch")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -26,6 +31,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, held=held)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +43,10 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(table(spark, sf_dir, "documents"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.report(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), langid.held_out("doc_id", 5, 0)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), train=~held)
@@ -44,4 +57,5 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, urlfilter.RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_warc, op4_langid, op6_pii, op7_neardup, op9_toxicity, op10_urlfilter)}
+_ALL = (op1_decontaminate, op2_mixing, op3_warc, op4_langid, op5_html, op6_pii, op7_neardup, op8_vectors, op9_toxicity, op10_urlfilter)
+QUERIES = {f.__name__: f for f in _ALL}
