@@ -90,3 +90,8 @@ def thin(n: Column) -> Column:
 
 def sigma(value: Column, a: float, b: float, least: float) -> Column:
     return F.greatest(F.lit(a) + b * value, F.lit(least))
+
+
+def tidy(x: Column, digits: int = 6) -> Column:
+    """Rounded so that exact halves, which sums in another order may miss by a bit, all go up."""
+    return F.round(x + 1e-9, digits)

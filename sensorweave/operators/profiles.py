@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.indices import phase_hour
+from ..functions.indices import phase_hour, tidy
 from ..functions.timefn import local
 
 
@@ -49,7 +49,7 @@ def harmonics(profile: DataFrame) -> DataFrame:
 
 def residuals(panel: DataFrame) -> DataFrame:
     """Value less the station's mean of that local hour."""
-    return panel.withColumn("hour", F.hour(local(F.col("ts")))).withColumn("residual", F.round(F.col("value") - F.avg("value").over(W.partitionBy("station_id", "hour")), 6)).select("station_id", "ts", "residual")
+    return panel.withColumn("hour", F.hour(local(F.col("ts")))).withColumn("residual", tidy(F.col("value") - F.avg("value").over(W.partitionBy("station_id", "hour")))).select("station_id", "ts", "residual")
 
 
 def anomalies(panel: DataFrame, least: int = 10) -> DataFrame:
@@ -57,7 +57,7 @@ def anomalies(panel: DataFrame, least: int = 10) -> DataFrame:
     w = W.partitionBy("ts")
     sd = F.stddev_pop("value").over(w)
     out = panel.withColumns({"n": F.count(F.lit(1)).over(w), "anomaly": F.col("value") - F.avg("value").over(w), "sd": sd}).where(F.col("n") >= least)
-    return out.select("station_id", "ts", F.round("anomaly", 6).alias("anomaly"), F.round(F.when(F.col("sd") > 1e-9, F.col("anomaly") / F.col("sd")), 6).alias("z"))
+    return out.select("station_id", "ts", tidy(F.col("anomaly")).alias("anomaly"), F.round(F.when(F.col("sd") > 1e-9, F.col("anomaly") / F.col("sd")), 6).alias("z"))
 
 
 def pairwise(profile: DataFrame, x: str = "mean", key: str = "hour") -> DataFrame:

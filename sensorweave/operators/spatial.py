@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell, haversine_km, idw_weight
+from ..functions.indices import tidy
 
 
 def distances(stations: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def surface(cells: DataFrame, readings: DataFrame, power: float = 0.5) -> DataFr
 def contributions(cells: DataFrame, readings: DataFrame, power: float = 0.5, most: int = 5) -> DataFrame:
     """The stations that weigh most in each cell, with their share in per cent."""
     w = _weights(cells, readings, power, "i", "j")
-    share = F.round(100 * F.col("w") / F.sum("w").over(W.partitionBy("i", "j")), 6)
+    share = tidy(100 * F.col("w") / F.sum("w").over(W.partitionBy("i", "j")))
     ranked = w.withColumn("share", share).withColumn("rank", F.row_number().over(W.partitionBy("i", "j").orderBy(F.desc("share"), "station_id")))
     return ranked.where(F.col("rank") <= most).select("i", "j", "station_id", "share", "rank")
 

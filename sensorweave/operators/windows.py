@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.indices import tidy
 from ..functions.timefn import epoch_hour, local, season
 from .profiles import pearson
 
@@ -42,7 +43,7 @@ def rolling(series: DataFrame, hours: int = 24) -> DataFrame:
     block = F.floor(h / hours)
     both = series.withColumn("eh", h).withColumn("block", F.explode(F.array(block, block + 1)))
     w = W.partitionBy("block").orderBy("eh").rangeBetween(-(hours - 1), 0)
-    return both.withColumn("rolling", F.round(F.avg("mean").over(w), 6)).where(F.floor(F.col("eh") / hours) == F.col("block")).select("ts", "rolling")
+    return both.withColumn("rolling", tidy(F.avg("mean").over(w))).where(F.floor(F.col("eh") / hours) == F.col("block")).select("ts", "rolling")
 
 
 def episodes(hours: DataFrame, bridge_h: int = 6) -> DataFrame:

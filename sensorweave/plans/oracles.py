@@ -93,8 +93,8 @@ ORACLES: dict[str, str] = {
     "profile_shape": _q("select station_id, hour, round((mean - avg(mean) over w) / case when stddev_pop(mean) over w > 1e-9 then stddev_pop(mean) over w else 1 end, 6) as z from prof window w as (partition by station_id)"),
     "profile_summary": _q("select station_id, min_by(hour, -mean * 1000 + hour * 1e-9) as peak, min_by(hour, mean * 1000 + hour * 1e-9) as trough, round(100 * (max(mean) - min(mean)) / nullif(avg(mean), 0), 6) as swing_pct, round(avg(mean) filter (hour between 6 and 10) - avg(mean) filter (hour between 18 and 22), 6) as balance from prof group by 1"),
     "profile_harmonics": _q("select station_id, round(sqrt(pow(sum(mean * cos(hour * pi() / 12)) / 12, 2) + pow(sum(mean * sin(hour * pi() / 12)) / 12, 2)), 6) as amp1, round(sqrt(pow(sum(mean * cos(hour * pi() / 6)) / 12, 2) + pow(sum(mean * sin(hour * pi() / 6)) / 12, 2)), 6) as amp2 from prof group by 1 having count(*) = 24"),
-    "residualised_by_hour": _q("select station_id, ts, round(value - avg(value) over (partition by station_id, hour(lt)), 6) as residual from loc"),
-    "anomalies_by_hour": _q("select station_id, ts, round(a, 6) as anomaly from (select *, value - avg(value) over w as a, count(*) over w as n from panel window w as (partition by ts)) where n >= 10"),
+    "residualised_by_hour": _q("select station_id, ts, round(value - avg(value) over (partition by station_id, hour(lt)) + 1e-9, 6) as residual from loc"),
+    "anomalies_by_hour": _q("select station_id, ts, round(a + 1e-9, 6) as anomaly from (select *, value - avg(value) over w as a, count(*) over w as n from panel window w as (partition by ts)) where n >= 10"),
     "profile_correlation_pairs": _q("select a, b, r, n from corrs", _SIM),
     "wide_pivot": _q("select ts, " + ", ".join(f"max(value) filter (station_id = {k}) as s{k}" for k in (1, 2, 3, 4)) + " from panel group by ts"),
     "unpivot_bounds": _STATS,
@@ -102,7 +102,7 @@ ORACLES: dict[str, str] = {
     "tumbling_window_means": _q("select * from wins"),
     "coverage_filtered_windows": _q("select * from cov"),
     "city_hours": _q("select * from citywide"),
-    "rolling_24h_city": _q("select ts, round(avg(mean) over (order by ts range between interval 23 hours preceding and current row), 6) as rolling from c", "c as (select ts, round(avg(value), 6) as mean from panel group by ts)"),
+    "rolling_24h_city": _q("select ts, round(avg(mean) over (order by ts range between interval 23 hours preceding and current row) + 1e-9, 6) as rolling from c", "c as (select ts, round(avg(value), 6) as mean from panel group by ts)"),
     "episodes": _q("select start_ts::timestamp as start_ts, end_ts, n_hours from s", _SESS.format(gap=6, least=200)),
     "top_pct_hours": _q("select ts, mean from c where mean >= (select quantile_cont(mean, 0.95) from c)", "c as (select ts, round(avg(value), 6) as mean from panel group by ts)"),
     "sustained_spells": _q("select * from s where n_hours >= 5", _SESS.format(gap=3, least=150)),
@@ -120,10 +120,10 @@ ORACLES: dict[str, str] = {
     "radius_count": _q("select s.id, count(p.id) as n from sites s left join points p on pow(s.x - p.x, 2) + pow(s.y - p.y, 2) <= 250000 group by s.id"),
     "nearest_point": _q("select s.id, round(min(sqrt(pow(s.x - p.x, 2) + pow(s.y - p.y, 2))), 6) as distance from sites s, points p group by s.id"),
     "point_in_polygon": _q("select p.id, count(*) filter ((y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1 as inside from points p, ed group by p.id", f"ed(x1, y1, x2, y2) as (values {_EDGES})"),
-    "polyline_resample": _q("select id, k, j::int as j, round(x1 + (j + 0.5::double) / n * (x2 - x1), 6) as x, round(y1 + (j + 0.5::double) / n * (y2 - y1), 6) as y from (select *, unnest(range(n)) as j from sg)", "s0 as (select id, 1 as k, x as x1, y as y1, x + 95 as x2, y as y2 from sites union all select id, 2, x + 95, y, x + 95, y + 2 from sites)", "sg as (select *, greatest(1, round_even(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 10, 0))::int as n from s0)"),
+    "polyline_resample": _q("select id, k, j::int as j, round(x1 + (j + 0.5::double) / n * (x2 - x1), 6) as x, round(y1 + (j + 0.5::double) / n * (y2 - y1), 6) as y from (select *, unnest(range(n)) as j from sg)", "s0 as (select id, 0 as k, x as x1, y as y1, x + 95 as x2, y as y2 from sites union all select id, 1, x + 95, y, x + 95, y + 2 from sites)", "sg as (select *, greatest(1, round_even(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 10, 0))::int as n from s0)"),
     "grid_cells": _q("select i, j, round(lat, 6) as lat, round(lon, 6) as lon from cells", _GRID.format(*BOX, n=25)),
     "idw_surface": _q("select i, j, round(sum(w * value) / sum(w), 6) as value from cw group by 1, 2", _GRID.format(*BOX, n=25), _HOUR, _CW),
-    "idw_contributions": _q("select i, j, k as rank, round(share, 5) as share from (select *, row_number() over (partition by i, j order by share desc, station_id) as k from (select i, j, station_id, round(100 * w / sum(w) over (partition by i, j), 6) as share from cw)) where k <= 5", _GRID.format(*BOX, n=5), _HOUR, _CW),
+    "idw_contributions": _q("select i, j, k as rank, share from (select *, row_number() over (partition by i, j order by share desc, station_id) as k from (select i, j, station_id, round(100 * w / sum(w) over (partition by i, j) + 1e-9, 6) as share from cw)) where k <= 5", _GRID.format(*BOX, n=5), _HOUR, _CW),
     "cell_history": _q("select ts, round(sum(w * value) / sum(w), 6) as value, count(*) as n from panel join ww using (station_id) group by ts", f"ww as (select station_id, 1 / pow(greatest({_KM.format(a='19.07::double', b='72.88::double', c='lat', d='lon')}, 0.05), 0.5) as w from stations)"),
     "extrapolation_mask": "with b as (select round(min(s_acctbal), 6) as a0, round(max(s_acctbal), 6) as a1, min(s_nationkey)::double as n0, max(s_nationkey)::double as n1 from supplier where s_suppkey % 3 = 0), f as (select s_suppkey, (case when s_acctbal < a0 then 1 when s_acctbal > a1 then 2 else 0 end + case when s_nationkey < n0 then 4 when s_nationkey > n1 then 8 else 0 end)::int as flags from supplier, b) select s_suppkey, flags, flags <> 0 as masked, concat_ws(',', case when flags & 1 = 1 then 's_acctbal below' end, case when flags & 2 = 2 then 's_acctbal above' end, case when flags & 4 = 4 then 's_nationkey below' end, case when flags & 8 = 8 then 's_nationkey above' end) as reasons from f",
     "idw_power_by_fold": _q("select * from byfold", _WSUMS.format(powers="[0.25, 0.5, 1.0]::double[]")),

@@ -337,7 +337,7 @@ def idw_surface(spark, sf):
 
 @query
 def idw_contributions(spark, sf):
-    return spatial.contributions(spatial.grid(spark, BOX, 5), _hour(spark, sf)).select("i", "j", F.col("rank").cast("long").alias("rank"), F.round("share", 5).alias("share"))
+    return spatial.contributions(spatial.grid(spark, BOX, 5), _hour(spark, sf)).select("i", "j", F.col("rank").cast("long").alias("rank"), "share")
 
 
 @query
