@@ -31,7 +31,7 @@ def seasons(rows: DataFrame, key: str, ts: str, value: str) -> DataFrame:
 
 def city(panel: DataFrame, least: int = 10) -> DataFrame:
     """Mean over stations of hours that enough of them report."""
-    return panel.groupBy("ts").agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return panel.groupBy("ts").agg(tidy(F.avg("value")).alias("mean"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def rolling(series: DataFrame, hours: int = 24) -> DataFrame:

@@ -102,9 +102,9 @@ ORACLES: dict[str, str] = {
     "tumbling_window_means": _q("select * from wins"),
     "coverage_filtered_windows": _q("select * from cov"),
     "city_hours": _q("select * from citywide"),
-    "rolling_24h_city": _q("select ts, round(avg(mean) over (order by ts range between interval 23 hours preceding and current row) + 1e-9, 6) as rolling from c", "c as (select ts, round(avg(value), 6) as mean from panel group by ts)"),
+    "rolling_24h_city": _q("select ts, round(avg(mean) over (order by ts range between interval 23 hours preceding and current row) + 1e-9, 6) as rolling from c", "c as (select ts, round(avg(value) + 1e-9, 6) as mean from panel group by ts)"),
     "episodes": _q("select start_ts::timestamp as start_ts, end_ts, n_hours from s", _SESS.format(gap=6, least=200)),
-    "top_pct_hours": _q("select ts, mean from c where mean >= (select quantile_cont(mean, 0.95) from c)", "c as (select ts, round(avg(value), 6) as mean from panel group by ts)"),
+    "top_pct_hours": _q("select ts, mean from c where mean >= (select quantile_cont(mean, 0.95) from c)", "c as (select ts, round(avg(value) + 1e-9, 6) as mean from panel group by ts)"),
     "sustained_spells": _q("select * from s where n_hours >= 5", _SESS.format(gap=3, least=150)),
     "sliding_windows": "with w as (select l_quantity as v, timestamp '1970-01-01' + to_days((15 * (floor(epoch(l_shipdate) / 86400 / 15) - k))::int) as start_ts from lineitem, (select unnest(range(0, 12)) as k)) select start_ts, round(avg(v), 6) as mean, count(*) as n from w group by 1",
     "icc_spatial_share": _q("select k as stations, round(ssb / nullif(ssb + ssw, 0), 6) as share, round((ssb / (k - 1) - ssw / (t - k)) / nullif(ssb / (k - 1) + (n0 - 1) * ssw / (t - k), 0), 6) as icc from v", "gg as (select station_id, count(*) as n, avg(x) as m, sum(x) as s, sum(x * x) as ss from cx group by 1)", "v as (select count(*) as k, sum(n) as t, sum(n * m * m) - pow(sum(s), 2) / sum(n) as ssb, sum(ss) - sum(n * m * m) as ssw, (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) as n0 from gg having count(*) > 1)"),

@@ -56,7 +56,7 @@ pairs as (select a.station_id as a, b.station_id as b, a.cv_group as g_a, b.cv_g
 links as (select a, b, km from pairs union all select b, a, km from pairs),
 logo as (select t.station_id, t.ts, any_value(t.value) as observed, sum(s.value / pow(greatest(km, 0.05), 0.5)) / sum(1 / pow(greatest(km, 0.05), 0.5)) as idw, avg(s.value) as city, any_value(gt.gid) as g
   from panel t join stations gt using (station_id) join panel s on s.ts = t.ts join stations gs on gs.station_id = s.station_id and gs.gid <> gt.gid join links on links.a = t.station_id and links.b = s.station_id group by 1, 2),
-citywide as (select ts, round(avg(value), 6) as mean, count(*) as n from panel group by ts having count(*) >= 10),
+citywide as (select ts, round(avg(value) + 1e-9, 6) as mean, count(*) as n from panel group by ts having count(*) >= 10),
 wins as (select station_id, floor((epoch(lt) - epoch((select date_trunc('day', min(lt))::timestamp from loc))) / 86400)::bigint as win, round(avg(value), 6) as mean, count(*) as n from loc group by 1, 2),
 cov as (select station_id, win, mean, n from (select *, count(*) over (partition by win) as k from wins where n >= 6) where k >= 10),
 cx as (select *, mean - avg(mean) over (partition by win) as x from cov)
