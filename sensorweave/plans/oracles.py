@@ -146,4 +146,17 @@ ORACLES: dict[str, str] = {
     "loo_r2cv": _q("select round(1 - sum(pow((u.level - m - b * (u.spread - x)), 2)) / sum(pow(u.level - m, 2)), 6) as r2cv, count(*) as n from units u join (select a.station_id, avg(v.level) as m, avg(v.spread) as x, covar_pop(v.spread, v.level) / var_pop(v.spread) as b from units a join units v on a.station_id <> v.station_id group by 1) using (station_id)", _UNITS),
     "verdict_table": _q("select r, p, case when p is null or r is null then 'undecided' when p >= 0.05 then 'no evidence' when r > 0 then 'supported' else 'opposite' end as verdict from mantel", _SIM, _MANTEL),
     "report_rollup": _q("select event_type, reason, count(*) as n from (select event_type, case when flagged then 'flagged' when value is null then 'null' when value <= 0 or value > 400 then 'range' else 'kept' end as reason from raw) group by rollup(event_type, reason)"),
+    "outages": _q("select station_id, max(gap) as longest_gap_h from (select *, date_diff('hour', lag(ts) over (partition by station_id order by ts), ts) - 1 as gap from panel) group by 1 having max(gap) >= 6"),
+    "half_of_days": _q("select day::varchar as day from (select day, row_number() over (order by md5('1:1:' || day), day) as k, count(*) over () as n from (select distinct ts::date as day from panel)) where k <= n // 2"),
+    "common_window": _q("select p.* from panel p where ts between (select max(a) from e) and (select min(b) from e)", "e as (select station_id, min(ts) as a, max(ts) as b from panel group by 1)"),
+    "time_block_skill": _q(f"select g, (floor(epoch(ts) / 86400)::bigint % 4) as block, {_SCORES} from logo group by 1, 2 having count(*) >= 24"),
+    "panel_variants": _q("select v as variant, round(avg(value) filter (ok), 6) as mean, count(*) filter (ok) as n from (select value, unnest(['all', 'nospike', 'nozero', 'night']) as v, unnest([true, value <= 150, value > 0, hour(lt) >= 18 or hour(lt) <= 2]) as ok from loc) group by 1"),
+    "jackknife_groups": _q(f"select g.cv_group, round({_R.format('level', 'spread')}, 6) as r from (select distinct cv_group from stations join panel using (station_id)) g join (select u.*, s.cv_group from units u join stations s using (station_id)) u on u.cv_group <> g.cv_group group by 1", _UNITS),
+    "day_block_bootstrap": _q("select round(quantile_cont(mean, 0.025), 5) as lo, round(quantile_cont(mean, 0.975), 5) as hi, count(*) as n from m", "sums as (select floor(epoch(ts) / (168 * 3600))::bigint as c, sum(value) as s, count(*) as n from panel group by 1)", "num as (select c, row_number() over (order by c) - 1 as k from sums)", "dr as (select rep, ('0x' || substr(md5('1:' || rep || ':' || slot), 1, 8))::bigint % (select count(*) from sums) as k from (select unnest(range(1, 51)) as rep), (select unnest(range((select count(*) from sums))) as slot))", "m as (select rep, round(sum(s) / sum(n), 8) as mean from dr join num using (k) join sums using (c) group by rep)"),
+    "reweighted_profile": _q("select station_id, hour, round(avg(m) + 1e-9, 6) as mean, count(*) as parts from (select station_id, hour(lt)::int as hour, dayofyear(lt) % 2 as part, avg(value) as m from loc group by 1, 2, 3) group by 1, 2"),
+    "sector_difference": _q("select station_id, round((avg(x) filter (k between 225 and 315) - avg(x) filter (k between 45 and 135)) / nullif(stddev_pop(value), 0), 6) as effect, count(*) filter (k between 225 and 315) as n_one, count(*) filter (k between 45 and 135) as n_other from (select *, value - avg(value) over (partition by station_id, hour(lt)) as x, floor(epoch(ts) / 3600)::bigint * 37 % 360 as k from loc) group by 1 having count(*) filter (k between 225 and 315) >= 20 and count(*) filter (k between 45 and 135) >= 20"),
+    "percentile_of_value": _q("select round(avg((mean < 60)::int), 6) as share, count(*) as n from (select ts, round(avg(value) + 1e-9, 6) as mean from panel group by ts)"),
+    "station_inventory": _q("select station_id, count(distinct event_type) as kinds, date_diff('day', min(ts), max(ts))::int as span_days, count(distinct ts::date) as days from raw group by 1"),
+    "haversine_to_box": _q("select station_id, round(sqrt(pow(greatest(18.9::double - lat, 0::double, lat - 19.2::double) * 111.2, 2) + pow(greatest(72.8::double - lon, 0::double, lon - 73.0::double) * 105.0, 2)), 6) as km_outside, greatest(0, least(24, ceil((lat - 18.85::double) / ((19.4::double - 18.85::double) / 25)) - 1))::int as i, greatest(0, least(24, ceil((lon - 72.7::double) / ((73.2::double - 72.7::double) / 25)) - 1))::int as j from stations"),
+    "union_and_difference": _q("select 'union' as op, (select count(*) from a) + (select count(*) from b) as n union all select 'intersect', count(*) from (select * from a intersect select * from b) union all select 'except', count(*) from (select * from a except all select * from b)", "a as (select station_id, ts from panel where value > 100)", "b as (select station_id, ts from panel where value < 120)"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, indices, timefn
-from ..operators import cleaning, interpolation, profiles, resampling, spatial, windows
+from ..operators import cleaning, interpolation, profiles, resampling, spatial, validation, windows
 from ..session import table
 from .panel import BOX, panel, points, raw, sites, stations
 
@@ -484,3 +484,92 @@ def verdict_table(spark, sf):
 def report_rollup(spark, sf):
     r = raw(spark, sf).withColumn("reason", F.coalesce(cleaning.first_failure(F.col("flagged"), F.col("value"), hi=400.0), F.lit("kept")))
     return r.rollup("event_type", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def outages(spark, sf):
+    return validation.outages(panel(spark, sf), 6)
+
+
+@query
+def half_of_days(spark, sf):
+    days = panel(spark, sf).select(F.to_date("ts").alias("day")).distinct()
+    return validation.half_of(days, 1).select(F.col("day").cast("string").alias("day"))
+
+
+@query
+def common_window(spark, sf):
+    return validation.common_window(panel(spark, sf), "station_id")
+
+
+@query
+def time_block_skill(spark, sf):
+    return validation.time_blocks(_logo(spark, sf))
+
+
+@query
+def panel_variants(spark, sf):
+    v = F.col("value")
+    return validation.variants(panel(spark, sf), {"all": v.isNotNull(), "nospike": v <= 150, "nozero": v > 0, "night": (F.hour(timefn.local(F.col("ts"))) >= 18) | (F.hour(timefn.local(F.col("ts"))) <= 2)})
+
+
+@query
+def jackknife_groups(spark, sf):
+    return validation.without_groups(_units(spark, sf), "level", "spread", "cv_group")
+
+
+@query
+def day_block_bootstrap(spark, sf):
+    return validation.day_block_bootstrap(panel(spark, sf))
+
+
+@query
+def reweighted_profile(spark, sf):
+    return validation.reweighted(panel(spark, sf), F.pmod(F.dayofyear(timefn.local(F.col("ts"))), F.lit(2)))
+
+
+@query
+def sector_difference(spark, sf):
+    k = F.pmod(timefn.epoch_hour(F.col("ts")) * 37, F.lit(360))
+    return validation.conditional_difference(panel(spark, sf), k.between(225, 315), k.between(45, 135), 20)
+
+
+@query
+def percentile_of_value(spark, sf):
+    return validation.share_below(windows.city(panel(spark, sf), 1), "mean", 60.0)
+
+
+@query
+def incomplete_harmonics(spark, sf):
+    return validation.incomplete_harmonics(_profile(spark, sf).where("hour % 7 <> 3"))
+
+
+@query
+def correlation_power(spark, sf):
+    return validation.correlation_power(spark, 0.4, 35, 400)
+
+
+@query
+def split_half_phase(spark, sf):
+    return validation.split_half_phase(panel(spark, sf))
+
+
+@query
+def station_inventory(spark, sf):
+    r = raw(spark, sf)
+    span = F.datediff(F.max("ts"), F.min("ts"))
+    return r.groupBy("station_id").agg(F.count_distinct("event_type").alias("kinds"), span.alias("span_days"), F.count_distinct(F.to_date("ts")).alias("days"))
+
+
+@query
+def haversine_to_box(spark, sf):
+    s = stations(spark)
+    return s.select("station_id", F.round(F.hypot(geo.beyond(F.col("lat"), 18.9, 19.2) * 111.2, geo.beyond(F.col("lon"), 72.8, 73.0) * 105.0), 6).alias("km_outside"), geo.cell(F.col("lat"), BOX[1], BOX[3], 25).alias("i"), geo.cell(F.col("lon"), BOX[0], BOX[2], 25).alias("j"))
+
+
+@query
+def union_and_difference(spark, sf):
+    a = panel(spark, sf).where("value > 100").select("station_id", "ts")
+    b = panel(spark, sf).where("value < 120").select("station_id", "ts")
+    count = lambda k, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("op"), "n")
+    return count("union", a.union(b)).unionByName(count("intersect", a.intersect(b))).unionByName(count("except", a.exceptAll(b)))
