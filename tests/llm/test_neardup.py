@@ -106,3 +106,23 @@ def test_word_prefix_hashes():
     w = Words(*text_bytes(pa.array(["abcd abcf", "abcd"])))
     p = w.prefixes(3)
     assert p[0] == p[1] == p[2] and w.prefixes(4)[0] != w.prefixes(4)[1] and (w.prefixes(5) == 0).all()
+
+
+@pytest.mark.parametrize("block", [64, 2048])
+def test_links_inside_a_large_group_just_under_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block, raising=False)
+    rnd = random.Random(11)
+    own = iter(range(10**6))
+    fresh = lambda n: [f"u{next(own)}" for _ in range(n)]
+    passage = fresh(180)
+    # a shared passage puts any two at 176 / (2 * 202 - 176) = 0.77; three more shared words put a pair at 0.80
+    texts = [passage + fresh(26) for _ in range(400)]
+    for k in range(0, 160, 2):
+        texts[k + 1] = texts[k][:184] + texts[k + 1][184:]
+    rnd.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    links = nd.brute_force(texts)
+    assert len(links) == 80
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in nd.report(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == _components(len(texts), links)
