@@ -4,11 +4,13 @@ Equal vectors of a label are one from the start and count by their number. The v
 are dealt to shards of bounded size by hash; each shard builds a hierarchical navigable small-world
 graph once. Blocks of a label's vectors then query every shard of it: a greedy descent through the
 upper layers, a beam on the lowest, and from all matches a flood over their neighbours. Before a
-block is queried, an audit compares the beam's matches for a sample of the shard with brute force and
-doubles the beam until recall passes; a beam as wide as the shard is replaced by brute force itself.
-Cosines of matches are then taken in double precision. A task reports for each of its vectors the
-number of links, and of the links only a spanning forest, so large groups are never spelled out as
-pairs; components of the forests are the components of all links.
+block is queried, an audit compares the beam's matches with brute force and doubles the beam until
+recall passes; a beam as wide as the shard is replaced by brute force itself. It asks for vectors from all shards of
+the label that have links in this one, and for vectors made to link with one of its own; a vector's match with itself
+doesn't count, and each vector counts alike. Cosines of matches are then taken in double precision. Of the
+links a task reports only a spanning forest, so large groups are never spelled out as
+pairs; components of the forests are the components of all links. A vector's links all lie in its component, so
+they are counted there by brute force in blocks, and a link counts for both of its ends.
 
 Null, zero, empty vectors and those with null or non-finite components, and rows without label or
 id link with nothing; vectors of different lengths don't link. Rows with one id are vectors of their own
@@ -153,36 +155,67 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def audited(graph: Graph, least: float, width: int = BEAM) -> int:
-    """The beam that passes the audit; 0 for brute force."""
+def audited(graph: Graph, least: float, width: int = BEAM, queries: np.ndarray | None = None, own: np.ndarray | None = None) -> int:
+    """The beam that passes the audit; 0 for brute force.
+
+    Queries are unit vectors of the label, own their nodes (-1 for those of other shards); the shard's by default.
+    """
     n = len(graph.v)
-    picked = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
-    true = [np.flatnonzero(row >= least) for row in graph.v[picked] @ graph.v.T]
-    total = sum(map(len, true))
+    if queries is None:
+        own = np.unique(np.linspace(0, n - 1, min(n, BLOCK)).astype(int))
+        queries = graph.v[own]
+    asked = []
+    for q, k in zip(queries, own, strict=True):
+        true = np.flatnonzero(graph.v @ q >= least)
+        true = true[true != k]
+        if len(true):
+            asked.append((q, int(k), true))
+    asked = [asked[k] for k in np.unique(np.linspace(0, len(asked) - 1, min(len(asked), AUDIT)).astype(int))]
+    # vectors that link with a node for certain, whatever the label's own links are
+    rng, made = np.random.default_rng(0), []
+    for k in np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int)).tolist():
+        v = graph.v[k].astype(float)
+        side = rng.normal(size=len(v))
+        side -= (side @ v) * v
+        long = np.sqrt(side @ side)
+        if long > 1e-9:
+            c = least + (1 - least) * rng.uniform(0.1, 0.9)
+            q = (c * v + np.sqrt(1 - c * c) * side / long).astype(np.float32)
+            made.append((q, -1, np.flatnonzero(graph.v @ q >= least)))
+
+    def recall(some: list) -> float:
+        return float(np.mean([len(np.intersect1d(t, graph.within(q, least, width))) / len(t) for q, _, t in some if len(t)])) if some else 1.0
+
     while width < n:
-        hit = sum(len(np.intersect1d(t, graph.within(graph.v[i], least, width))) for i, t in zip(picked, true, strict=True))
-        if hit >= RECALL * total:
+        if recall(asked) >= RECALL and recall(made) >= RECALL:
             return width
         width *= 2
     return 0
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+def _build(pdf: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
+    if not len(pdf):
+        return pd.DataFrame({"label": pd.Series(dtype=str), "dim": pd.Series(dtype=int), "shard": pd.Series(dtype=int), "graph": pd.Series(dtype=object)})
     pdf = pdf.sort_values("rep")
     v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
     graph = Graph(_unit(v).astype(np.float32))
-    state = {"graph": graph, "raw": v, "rep": pdf["rep"].to_numpy(), "n": pdf["n"].to_numpy()}
-    graph.width = audited(graph, COSINE - 1e-4)
+    rep = pdf["rep"].to_numpy()
+    state = {"graph": graph, "raw": v, "rep": rep}
+    sample = sample.sort_values("rep")
+    asked = sample["rep"].to_numpy()
+    at = np.minimum(np.searchsorted(rep, asked), len(rep) - 1)
+    queries = _unit(np.stack(sample["v"].to_numpy()).astype(np.float64)).astype(np.float32) if len(sample) else graph.v[:0]
+    graph.width = audited(graph, COSINE - 1e-4, queries=queries, own=np.where(rep[at] == asked, at, -1))
     return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "graph": [pickle.dumps(state)]})
 
 
 def _query(queries: pd.DataFrame, graphs: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Rows (a, null, links) for each query, and (a, b, 0) for the edges of a forest."""
-    columns = ["a", "b", "links"]
+    """The edges (a, b) of a forest of the queries' links."""
+    columns = ["a", "b"]
     if not len(queries) or not len(graphs):
         return pd.DataFrame({c: pd.Series(dtype="Int64") for c in columns})
     state = pickle.loads(graphs["graph"].iloc[0])
-    graph, raw, rep, number = state["graph"], _unit(state["raw"]), state["rep"], state["n"]
+    graph, raw, rep = state["graph"], _unit(state["raw"]), state["rep"]
     ids, v = queries["rep"].to_numpy(), _unit(np.stack(queries["v"].to_numpy()).astype(np.float64))
     q32, slack = v.astype(np.float32), least - 1e-4
     top: dict[int, int] = {}
@@ -192,22 +225,53 @@ def _query(queries: pd.DataFrame, graphs: pd.DataFrame, least: float) -> pd.Data
             top[x] = x = top.setdefault(y, y)
         return x
 
-    a, b, links = [], [], []
+    a, b = [], []
     for k, i in enumerate(ids.tolist()):
         near = graph.within(q32[k], slack, graph.width) if graph.width else np.flatnonzero(graph.v @ q32[k] >= slack)
         near = near[raw[near] @ v[k] >= least]
         near = near[rep[near] != i]
-        a.append(i)
-        b.append(None)
-        links.append(int(number[near].sum()))
         for j in rep[near].tolist():
             x, y = find(i), find(j)
             if x != y:
                 top[max(x, y)] = min(x, y)
                 a.append(i)
                 b.append(j)
-                links.append(0)
-    return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "links": pd.array(links, "Int64")})
+    return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64")})
+
+
+def _count(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """(node, links) of the vectors of a task, each with those of its component on the other side; side 2 is both."""
+    pdf = pdf.sort_values("component", kind="stable")
+    node, number, side = (pdf[c].to_numpy() for c in ("node", "n", "side"))
+    of, out = pdf["component"].to_numpy(), np.zeros(len(pdf), np.int64)
+    edges = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        v = _unit(np.stack(pdf["v"].iloc[lo:hi].to_numpy()).astype(np.float64))
+        s = side[lo:hi]
+        left, right = np.flatnonzero(s != 1), np.flatnonzero(s != 0)
+        for k in range(0, len(left), 512):
+            rows = left[k : k + 512]
+            hit = v[rows] @ v[right].T >= least
+            if s[0] == 2:
+                hit[np.arange(len(rows)), np.arange(k, k + len(rows))] = False
+            else:
+                out[lo + right] += number[lo + rows] @ hit
+            out[lo + rows] += hit @ number[lo + right]
+    return pd.DataFrame({"node": node, "links": out})
+
+
+def _links(reps: DataFrame, comp: DataFrame, least: float, block: int) -> DataFrame:
+    """(node, links): the links of each vector, exactly, with all of its component."""
+    sizes = comp.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    groups = comp.count() // block + 1
+    at = F.pmod(F.xxhash64(F.lit(7), "node"), "blocks").cast("int")
+    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"), F.col("component").alias("g"))
+    many = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: task(F.least(x, F.col("at")), F.greatest(x, F.col("at")), F.when(x == F.col("at"), 2).when(x > F.col("at"), 0).otherwise(1)))
+    one = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side"), F.pmod(F.xxhash64("component"), F.lit(groups)).alias("g")))
+    rows = comp.join(sizes, "component").withColumn("at", at).withColumn("t", F.explode(F.when(F.col("blocks") == 1, one).otherwise(many)))
+    rows = rows.select("node", "component", "t.*").join(reps.select(F.col("rep").alias("node"), "n", "v"), "node")
+    counted = rows.groupBy("g", "i", "j").applyInPandas(lambda pdf: _count(pdf, least), "node long, links long")
+    return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = COSINE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -221,15 +285,18 @@ def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     reps = cut(own.where("ok").groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).withColumn("dim", F.size("v")))
     sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = reps.join(cut(sizes), ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int"))
-    graphs = cut(dealt.select("label", "dim", "shard", "rep", "n", "v").groupBy("label", "dim", "shard").applyInPandas(_build, "label string, dim int, shard int, graph binary"))
-    queries = dealt.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64(F.lit(5), "rep"), "blocks").cast("int").alias("block"), "rep", "v")
+    every = F.sequence(F.lit(0), F.col("shards") - 1)
+    sample = dealt.where(F.pmod(F.xxhash64(F.lit(13), "rep"), "blocks") == 0).select("label", "dim", F.explode(every).alias("shard"), "rep", "v").toDF("label", "dim", "shard", "rep", "v")
+    own_shard = dealt.select("label", "dim", "shard", "rep", "v").toDF("label", "dim", "shard", "rep", "v").groupBy("label", "dim", "shard")
+    graphs = cut(own_shard.cogroup(sample.groupBy("label", "dim", "shard")).applyInPandas(_build, "label string, dim int, shard int, graph binary"))
+    queries = dealt.select("label", "dim", F.explode(every).alias("shard"), F.pmod(F.xxhash64(F.lit(5), "rep"), "blocks").cast("int").alias("block"), "rep", "v")
     sent = graphs.join(sizes, ["label", "dim"]).select("label", "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "graph")
     key = ["label", "dim", "shard", "block"]
-    found = cut(queries.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(lambda q, g: _query(q, g, least), "a long, b long, links long"))
-    comp = components(found.where("b is not null").select("a", "b"))
-    links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    known = reps.select("k1", "k2", F.col("rep").alias("node"), "n").join(links.withColumnRenamed("a", "node"), "node").join(comp, "node", "left")
-    known = cut(known.select("k1", "k2", (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    found = cut(queries.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(lambda q, g: _query(q, g, least), "a long, b long"))
+    comp = cut(components(found))
+    links = _links(reps, comp, least, block)
+    known = reps.select("k1", "k2", F.col("rep").alias("node"), "n").join(comp, "node", "left").join(links, "node", "left")
+    known = cut(known.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
     linked = own.where("ok").select("id", "k1", "k2").join(known, ["k1", "k2"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
     alone = own.where("not ok").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

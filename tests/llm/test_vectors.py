@@ -55,3 +55,44 @@ def test_empty_and_odd_rows(spark):
     one = vx.report(spark.createDataFrame([(None, [1.0], 1), (3, None, None)], schema)).collect()
     assert sorted(map(str, map(tuple, one))) == sorted(map(str, [(None, 0, None, True), (3, 0, 3, True)]))
     assert len(vx._query(pd.DataFrame(columns=["rep", "v"]), pd.DataFrame(columns=["graph"]), 0.98)) == 0
+
+
+class _OnlyItself(vx.Graph):
+    """A graph that finds nothing but the vector that is asked for."""
+
+    def within(self, q, least, width):
+        return np.flatnonzero(self.v @ q >= 1 - 1e-5)
+
+
+def test_the_audit_does_not_pass_by_self_hits():
+    graph = _OnlyItself(vx._unit(np.random.default_rng(7).normal(size=(200, 24))).astype(np.float32))
+    assert vx.audited(graph, 0.98) == 0
+
+
+def test_the_audit_asks_for_vectors_of_other_shards():
+    rng = np.random.default_rng(8)
+    v = vx._unit(rng.normal(size=(200, 24)))
+
+    class Deaf(vx.Graph):
+        """Misses what the first half of the nodes links with, for vectors that the shard doesn't hold."""
+
+        def within(self, q, least, width):
+            got = np.flatnonzero(self.v @ q >= least)
+            return got if (self.v @ q).max() > 1 - 1e-6 or (self.v @ q).max() < 0.995 else got[got >= 100]
+
+    graph = Deaf(v.astype(np.float32))
+    near = vx._unit(v[:60] + 0.01 * rng.normal(size=(60, 24))).astype(np.float32)
+    assert vx.audited(graph, 0.98, queries=near, own=np.full(60, -1)) == 0
+
+
+def test_a_link_counts_for_both_ends(spark):
+    rng = np.random.default_rng(9)
+    v = np.ones(8) + 0.13 * rng.normal(size=(90, 8))
+    number = [int(x) for x in rng.integers(1, 4, 90)]
+    reps = spark.createDataFrame([(i, number[i], v[i].tolist()) for i in range(90)], "rep long, n long, v array<double>")
+    comp = spark.createDataFrame([(i, 0 if i < 70 else 70) for i in range(90)], "node long, component long")
+    u = vx._unit(v)
+    hit = (u @ u.T >= vx.COSINE) & (np.arange(90)[:, None] != np.arange(90)) & ((np.arange(90)[:, None] < 70) == (np.arange(90) < 70))
+    for block in (20, 1000):
+        got = {r.node: r.links for r in vx._links(reps, comp, vx.COSINE, block).collect()}
+        assert got == dict(enumerate((hit @ np.array(number)).tolist()))
