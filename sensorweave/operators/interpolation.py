@@ -124,6 +124,24 @@ def fit_variogram(km: np.ndarray, gamma: np.ndarray, n: np.ndarray) -> tuple[flo
     return float(c), float(s), float(reach)
 
 
+def fold_variograms(pairs_: DataFrame, stations: DataFrame, bins: int = 15, default: tuple[float, float, float] = (0.2, 0.8, 15.0)) -> dict[int, tuple[float, float, float]]:
+    """A variogram for each group (gid), fitted to the cloud's pairs without its stations; the default where no pair is left."""
+    of = {r.station_id: r.gid for r in stations.select("station_id", "gid").toLocalIterator()}
+    cloud_ = pairs_.select("a", "b", "km", "gamma").toPandas().sort_values(["a", "b"])
+    a, b = cloud_["a"].map(of).to_numpy(), cloud_["b"].map(of).to_numpy()
+    out = {}
+    for g in sorted(set(of.values())):
+        own = cloud_[(a != g) & (b != g)]
+        if not len(own):
+            out[g] = default
+            continue
+        at = np.floor(own["km"].to_numpy() / (own["km"].max() * 1.001 / bins))
+        each = own.groupby(at).agg(km=("km", "mean"), gamma=("gamma", "mean"), n=("km", "size"))
+        gamma = each["gamma"].to_numpy()
+        out[g] = fit_variogram(each["km"].to_numpy(), gamma / max(float(gamma.mean()), 1e-9), each["n"].to_numpy(float))
+    return out
+
+
 def krige_weights(known: np.ndarray, target: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
     """Ordinary kriging weights of targets (rows) from known points (columns), both lat and lon."""
     nugget, sill, reach = model
@@ -144,8 +162,8 @@ def krige_weights(known: np.ndarray, target: np.ndarray, model: tuple[float, flo
     return out[:k].T
 
 
-def kriged(panel: DataFrame, stations: DataFrame, model: tuple[float, float, float]) -> DataFrame:
-    """(station_id, g, ts, observed, idw, city) like held_out, `idw` being the kriged estimate.
+def kriged(panel: DataFrame, stations: DataFrame, model: tuple[float, float, float] | dict[int, tuple[float, float, float]]) -> DataFrame:
+    """(station_id, g, ts, observed, idw, city) like held_out, `idw` being the kriged estimate, by one model or each held-out group's own.
 
     Weights depend on which stations report, so hours are grouped by that pattern and each
     pattern is solved once, by group of targets; readings then meet the weights by a join.
@@ -163,7 +181,7 @@ def kriged(panel: DataFrame, stations: DataFrame, model: tuple[float, float, flo
             for g in sorted({place[i][2] for i in ids}):
                 src, tgt = [i for i in ids if place[i][2] != g], [i for i in ids if place[i][2] == g]
                 if src:
-                    w = krige_weights(np.array([place[i][:2] for i in src]), np.array([place[i][:2] for i in tgt]), model)
+                    w = krige_weights(np.array([place[i][:2] for i in src]), np.array([place[i][:2] for i in tgt]), model[g] if isinstance(model, dict) else model)
                     rows += [(pattern, t, g, dict(zip(src, map(float, x), strict=True))) for t, x in zip(tgt, w, strict=True)]
         return pd.DataFrame(rows, columns=["pattern", "station_id", "g", "ws"])
 

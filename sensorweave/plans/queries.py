@@ -385,9 +385,7 @@ def calibration_bins(spark, sf):
 @query
 def kriging_cv(spark, sf):
     p, s = panel(spark, sf), stations(spark)
-    bins = interpolation.cloud_bins(interpolation.cloud(p, s, 30)).where("n > 0").toPandas()
-    scale = max(float(bins["gamma"].mean()), 1e-9)
-    fitted = interpolation.fit_variogram(bins["km"].to_numpy(), bins["gamma"].to_numpy() / scale, bins["n"].to_numpy(float)) if len(bins) else (0.2, 0.8, 15.0)
+    fitted = interpolation.fold_variograms(interpolation.cloud(p, s, 30), s)
     return interpolation.scores(interpolation.kriged(p, s, fitted), "g")
 
 

@@ -130,3 +130,23 @@ def test_rank_tests(spark):
 def test_residuals_of_one_daily_cycle(spark):
     p = panel(spark, {1: [h % 24 for h in range(240)]})
     assert {abs(r.residual) for r in profiles.residuals(p).collect()} == {0.0}
+
+
+def test_a_held_out_group_has_no_part_in_its_variogram(spark, monkeypatch):
+    from sensorweave.plans import queries
+
+    places = {k: (19.0 + 0.03 * (k % 3), 72.8 + 0.05 * (k // 3), k // 2) for k in range(8)}
+    st = spark.createDataFrame([(k, *v) for k, v in places.items()], "station_id long, lat double, lon double, gid long")
+    base = {k: [50 + 10 * ((h * 7 + k * k) % 11) + k * (h % 5) for h in range(40)] for k in places}
+    # readings of group 0 change its own estimate in no other hour: they are wild in even hours, scored in odd ones
+    wild = base | {k: [v * 9 if h % 2 == 0 else v for h, v in enumerate(base[k])] for k in (0, 1)}
+
+    def estimates(series):
+        p, got = panel(spark, series), []
+        monkeypatch.setattr(queries, "panel", lambda *_: p)
+        monkeypatch.setattr(queries, "stations", lambda *_: st)
+        monkeypatch.setattr(interpolation, "scores", lambda predicted, _: got.append(predicted) or predicted)
+        queries.kriging_cv(spark, "")
+        return {(r.station_id, r.ts): round(r.idw, 9) for r in got[0].where("g = 0 and hour(ts) % 2 = 1").collect()}
+
+    assert estimates(base) == estimates(wild) != {}
