@@ -48,8 +48,8 @@ _RULES = re.compile(
     rf"|(?P<at>[ ]?[\[({{<][ ]?(?:{_AT}|@)[ ]?[\])}}>][ ]?)"
     rf"|(?P<dot>[ ]?[\[({{<][ ]?(?:{_DOT}|\.)[ ]?[\])}}>][ ]?)"
     rf"|(?P<digits>(?<![^\W_])(?:{_WORD})(?:[ -](?:{_WORD}))++(?![^\W_]))"
-    rf"|(?P<plain>(?<=[A-Za-z0-9]) (?:{_AT})(?= [A-Za-z0-9.-]{{1,63}} (?:{_DOT}) [A-Za-z]) )"
-    rf"|(?P<bare>(?<=[A-Za-z0-9]) (?:{_DOT}) (?=[A-Za-z]))",
+    rf"|(?P<plain>(?<=[A-Za-z0-9]) (?:{_AT})(?= [A-Za-z0-9.-]{{1,63}} (?:{_DOT}) [A-Za-z0-9]) )"
+    rf"|(?P<bare>(?<=[A-Za-z0-9]) (?:{_DOT}) (?=[A-Za-z0-9]))",
     re.IGNORECASE,
 )
 #: What a text must have for a rule to apply: bracket, odd character, or one of the words with both neighbours.

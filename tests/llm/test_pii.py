@@ -54,3 +54,21 @@ def test_report_and_redaction(spark):
     assert out.schema == docs.schema
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "[EMAIL] [IP]", 12, "k"), (1, None, None, "k"), (None, "", 0, None)], key=str)
     assert pii.report(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "hidden"),
+    [
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("write to ann at 4chan dot org now", "email", "ann at 4chan dot org"),
+        ("write to ann at mail dot 1und1 dot de now", "email", "ann at mail dot 1und1 dot de"),
+    ],
+)
+def test_written_dots_before_digits(text, kind, hidden):
+    a = text.index(hidden)
+    assert (a, pii.KINDS.index(kind), a + len(hidden)) in pii.spans(text)[1]
+
+
+def test_written_dots_in_numbers_are_left_alone():
+    for t in ("3 point 5 of 10", "look at example.com", "version 1 dot 2 dot 3", "300 dot 1 dot 1 dot 1"):
+        assert pii.spans(t) == ([], [])
