@@ -544,7 +544,7 @@ def incomplete_harmonics(spark, sf):
 
 @query
 def correlation_power(spark, sf):
-    return validation.correlation_power(spark, 0.4, 35, 400)
+    return validation.correlation_power(spark, 0.4, 35)
 
 
 @query

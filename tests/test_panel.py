@@ -150,3 +150,10 @@ def test_a_held_out_group_has_no_part_in_its_variogram(spark, monkeypatch):
         return {(r.station_id, r.ts): round(r.idw, 9) for r in got[0].where("g = 0 and hour(ts) % 2 = 1").collect()}
 
     assert estimates(base) == estimates(wild) != {}
+
+
+def test_correlation_power_has_all_its_trials(spark):
+    from sensorweave.operators import validation
+    from sensorweave.plans import queries
+
+    assert queries.correlation_power(spark, "").collect() == validation.correlation_power(spark, 0.4, 35, 2000).collect() != validation.correlation_power(spark, 0.4, 35, 400).collect()
