@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Bytes of text that a kernel holds as arrays at a time; one longer text is still handled whole.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 U64 = np.uint64
 _P, _Q = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
@@ -50,7 +50,7 @@ def _codes() -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW["up"]) < n:
-        size = max(n, CHUNK_BYTES + 65536)
+        size = max(n, CHUNK_BYTES + 4096)
         for k, p in (("up", _P), ("down", _P_INV)):
             x = np.full(size, p, U64)
             x[0] = U64(1)
@@ -149,6 +149,53 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables of whole groups: rows alike in the first `keys` columns are never parted."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) if n > 1 else []
+        last = int(change[-1]) + 1 if len(change) else 0  # where the batch's last group begins
+        if not last and held and any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        elif last:
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def integral(df: DataFrame, name: str) -> None:
+    """Ids of other types are refused: components are told by the least id as a long."""
+    kind = df.schema[name].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{name} must hold integers, not {kind}")
+
+
+#: Rows of a key that no join needs to spread, whatever their share.
+HOT_ROWS = 1 << 12
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, rows: str = "n", most: int = 1024) -> DataFrame:
+    """left.join(right, on), where right has one row a key and counts tells in `rows` how many rows of left have a key.
+
+    Keys with more than a `most`-th of all of left's rows, of which there can't be more than `most`, are
+    broadcast, so that none of them fills a task; the other keys are shuffled.
+    """
+    total, top = counts.agg(F.sum(rows), F.max(rows)).first()
+    limit = max(HOT_ROWS, (total or 0) // most)
+    if (top or 0) <= limit:
+        return left.join(right, on)
+    hot = F.broadcast(cut(counts.where(F.col(rows) > limit).select(*on)))
+    cold = left.join(hot, on, "left_anti").join(right.join(hot, on, "left_anti"), on)
+    return left.join(F.broadcast(right.join(hot, on, "left_semi")), on).unionByName(cold)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until no column of df has them (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -202,6 +249,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, component) of comp's and of more links (a, b), whose graph is that of comp's components."""
+    if comp is None:
+        return cut(components(links))
+    side = lambda k: comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    ends = links.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    new = cut(components(ends.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")), "u", "v"))
+    old = comp.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return cut(old.select("node", F.coalesce("to", "component").alias("component")).union(new.join(comp, "node", "left_anti").select("node", "component")))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (node, component), the component being its smallest node.
 
@@ -228,5 +286,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     lab = cut(lab)
     least = lab.groupBy("root").agg(F.min("node").alias("component"))
     return lab.join(least, "root").select("node", "component")
-
-

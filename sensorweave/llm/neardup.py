@@ -7,42 +7,44 @@ soon as its next arrival is later than all the text's registers, so most stop af
 Two texts agree in a register with the probability of their probability Jaccard similarity.
 
 Equal texts are one class from the start, so large groups of copies cost one row each. Registers
-go four to a band; texts with a band in common are candidates: all pairs in small buckets, and in
-large ones first each text with two centres that differ from band to band, which makes most of a
-large bucket one component. Of what then still spans several components, every pair across them is
-compared by its registers, in tasks of two blocks of bounded size, so no pair of a bucket is left
-out and only those that agree in LIKELY registers become rows (two texts at 0.8 agree in 102 of 128
-on average, and in fewer than 80 once in 1.5 million). Candidates that share fewer than three bands of 32 are dropped (two texts at
-0.8 share 13 on average and fewer than three once in 50,000). The rest is verified exactly, each
-text first with the candidate it shares most bands with, and then only those pairs that are not yet
-in one component.
+go four to a band, and texts with a band in common share a bucket. The same rule holds for buckets of every
+size. In each of ROUNDS rounds a text proposes one link, to a member of the largest component of one
+of its buckets, which is verified exactly; so a round costs at most a pair a text, and a group of
+copies becomes one component without being spelled out. Then nothing is left to chance: wherever a
+bucket still spans several components, all pairs across them are compared by registers, in tasks of two
+blocks of bounded size, and those that agree in LIKELY registers are verified exactly within such
+tasks, which report no pairs but a spanning forest of their links. A pair is compared in the first
+bucket that it shares only. Rows that move grow with texts, whatever a group's size; only comparisons within
+buckets that are not one component grow with their squares.
+
+What is missed: pairs at 0.8 share none of 32 bands once in 20 million, agree in fewer than 80 of 128
+registers once in 700,000 and have an end with fewer than three shared buckets less than once in 50,000.
 
 A link is a probability Jaccard or a plain Jaccard similarity of 0.8 or more (they are equal where
 no shingle repeats). The result has the components of links. Null texts and texts without words
-link with nothing; texts of fewer than five words have one shingle, all their words. Rows with
-one id are one document. Null ids are kept and compared with nothing.
+link with nothing; texts of fewer than five words have one shingle, all their words. Ids are integers (others are refused). Rows with
+one id are one document if their texts are equal, else documents of their own. Null ids are kept and compared with nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import _Q, Words, chunks, components, cut, map_batches, mix
+from .common import _Q, Words, chunks, cut, free_names, hot_join, integral, map_batches, merged, mix, whole_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Registers, registers to a band, bands that two texts must share to be verified.
+#: Registers, registers to a band, buckets that a text must share to have a partner.
 M, BAND, SHARED = 128, 4, 3
-#: Buckets of up to so many texts are spelled out.
-SMALL = 40
-#: Centres of each larger bucket.
-CENTRES = 2
-#: Members of a block where a larger bucket's pairs are compared, and registers that a pair must agree in there.
-BLOCK, LIKELY = 2048, 80
+#: Rounds of proposed links before the rest is compared pair by pair.
+ROUNDS = 2
+#: Members and bytes of text of a block where pairs across components are compared, and registers that a pair must agree in.
+BLOCK, BLOCK_BYTES, LIKELY = 2048, 8 << 20, 80
 
 
 def weighted(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,29 +79,33 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int,
 
 
 def bands(own: np.ndarray) -> np.ndarray:
-    """One key for each band of each text."""
-    own = own.reshape(len(own), -1, BAND)
-    key = np.broadcast_to(np.arange(own.shape[1], dtype=np.uint64) * _Q, own.shape[:2]).copy()
-    for j in range(BAND):
-        key = mix(key * np.uint64(3) + own[:, :, j])
-    return key.view(np.int64)
+    """16 bits of each register, four of them to a band's 64."""
+    return mix(own).astype(np.uint16).view(np.int64)
+
+
+def _registers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The registers behind a column of bands, a row a text."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), M // BAND).view(np.uint16)
 
 
 def _sign(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, content key, bands and a byte of each register of each document that has an id and a word."""
-    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), *content(text), F.col(text).alias("t"))
+    """id, content key, bytes and bands of each document that has an id and a word."""
+    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), *content(text), F.octet_length(text).alias("size"), F.col(text).alias("t"))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        out, regs = [], []
-        for lo, hi, data, offsets in chunks(b.column(3), 1 << 20):
+        worded, keys = [], []
+        for lo, hi, data, offsets in chunks(b.column(4)):
             w = Words(data, offsets)
-            own = signatures(*weighted(w), hi - lo)
-            out += [x.tolist() if n else None for x, n in zip(bands(own), np.diff(w.first), strict=True)]
-            regs += [x.tobytes() for x in mix(own).astype(np.uint8)]
-        keep = pa.array([x is not None for x in out])
-        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.list_(pa.int64())), pa.array(regs, pa.binary())], ["id", "k1", "k2", "bands", "regs"]).filter(keep)
+            has = np.diff(w.first) > 0
+            worded.append(has)
+            keys.append(bands(signatures(*weighted(w), hi - lo))[has])
+        keep, keys = np.concatenate(worded), np.concatenate(keys)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (M // BAND)), pa.array(keys.ravel()))
+        own = pa.RecordBatch.from_arrays(list(b.columns[:4]), ["id", "k1", "k2", "size"]).filter(pa.array(keep))
+        return pa.RecordBatch.from_arrays([*own.columns, lists], ["id", "k1", "k2", "size", "bands"])
 
-    return map_batches(rows, one, "id long, k1 long, k2 long, bands array<long>, regs binary")
+    return map_batches(rows, one, "id long, k1 long, k2 long, size int, bands array<long>")
 
 
 def content(text: str) -> list[Column]:
@@ -110,10 +116,10 @@ def content(text: str) -> list[Column]:
 def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
     """The larger of plain and probability Jaccard similarity of each pair of texts, exactly."""
     out = []
-    for lo, hi, data, offsets in chunks(a, 1 << 19):
+    for lo, hi, data, offsets in chunks(a):
         left = weighted(Words(data, offsets))
         right = [[], [], []]
-        for lo2, _, data2, offsets2 in chunks(b.slice(lo, hi - lo), 1 << 19):
+        for lo2, _, data2, offsets2 in chunks(b.slice(lo, hi - lo)):
             d, h, x = weighted(Words(data2, offsets2))
             for own, y in zip(right, (d + lo2, h, x), strict=True):
                 own.append(y)
@@ -149,130 +155,245 @@ def _jaccard(left, right, n: int) -> np.ndarray:
     return np.maximum(plain, np.bincount(p, 1 / (below / wb[i] + above / wa[i]), n))
 
 
+def _shared(reps: DataFrame) -> DataFrame:
+    """(band, v, rep, size): buckets of two texts and more, of texts that are in enough of them."""
+    dealt = reps.select("rep", "size", F.posexplode("bands").alias("band", "v"))
+    full = cut(dealt.groupBy("band", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    held = hot_join(dealt, full, ["band", "v"], full).select("band", "v", "rep", "size")
+    often = held.groupBy("rep", "size").agg(F.collect_list(F.struct("band", "v")).alias("keys")).where(F.size("keys") >= SHARED)  # at most a row a band
+    return cut(often.select("rep", "size", F.explode("keys").alias("k")).select("k.band", "k.v", "rep", "size"))
+
+
+def _placed(held: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """held with each text's component."""
+    if comp is None:
+        return held.withColumn("comp", F.col("rep"))
+    return held.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "v", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+
+
+def _proposed(own: DataFrame, tested: DataFrame | None, seed: int) -> DataFrame:
+    """(a, b): for each text a one untested member b of the largest component of its buckets, the one that most of them name; a is of another component."""
+    least = F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), F.col("rep").alias("b")))["b"]
+    each = own.groupBy("band", "v", "comp").agg(F.count(F.lit(1)).alias("n"), least.alias("b")) if seed else own.select("band", "v", "comp", F.lit(1).alias("n"), F.col("rep").alias("b"))
+    most = F.max(F.struct("n", F.xxhash64(F.lit(seed), "comp").alias("h"), "comp", "b"))
+    full = cut(each.groupBy("band", "v").agg(most.alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("band", "v", "n", F.col("m.comp").alias("main"), "m.b"))
+    named = hot_join(own, full.drop("n"), ["band", "v"], full).where("comp != main").groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    if tested is not None:
+        named = named.join(tested, ["a", "b"], "left_anti")
+    return cut(named.groupBy("a").agg(F.max(F.struct("n", F.xxhash64(F.lit(seed), "b").alias("h"), "b"))["b"].alias("b")))
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs that agree in enough registers."""
+    side = lambda k, x: reps.select(F.col("rep").alias(k), F.col("bands").alias(x))
+    rows = hot_join(pairs.join(side("a", "x"), "a"), side("b", "y"), ["b"], _named(pairs)).select("a", "b", "x", "y")
+
+    def one(t: pa.RecordBatch) -> pa.RecordBatch:
+        agree = (_registers(t.column(2)) == _registers(t.column(3))).sum(1)
+        return pa.RecordBatch.from_arrays(list(t.columns[:2]), ["a", "b"]).filter(pa.array(agree >= LIKELY))
+
+    return cut(map_batches(rows, one, "a long, b long"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    side = lambda k, t: texts.select(F.col("id").alias(k), F.col("t").alias(t))
+    rows = hot_join(pairs.join(side("a", "ta"), "a"), side("b", "tb"), ["b"], _named(pairs), most=64).select("a", "b", "ta", "tb")
 
     def one(x: pa.RecordBatch) -> pa.RecordBatch:
         good = similarities(x.column(2), x.column(3)) >= least - 1e-9
         return pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(good))
 
-    return map_batches(rows, one, "a long, b long")
-
-
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, n): pairs that share enough bands, and how many."""
-    side = lambda k: classes.select(F.col("rep").alias(k), F.col("bands").alias(f"bands_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", F.size(F.array_intersect("bands_a", "bands_b")).alias("n")).where(F.col("n") >= SHARED)
-
+    return cut(map_batches(rows, one, "a long, b long"))
 
-def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component."""
-    side = lambda k: comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(pairs.columns)
 
+def _dealt(own: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """Tasks (band, v, kind, i, j) and their members (side, rep, comp) for all pairs across components of a bucket.
 
-def _spelled(buckets: DataFrame) -> DataFrame:
-    """All pairs of small buckets (reps: array)."""
-    return buckets.select(F.explode(F.flatten(F.transform("reps", lambda x: F.transform(F.filter("reps", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    A bucket that fits one block is one task, where every text meets all (side 2). In larger ones texts of the most
+    frequent component need no comparison with each other: its blocks meet those of the other texts (kind 0), which
+    meet each other (kind 1), so a bucket that is nearly one component costs a row or two for each of its members.
+    """
+    each = cut(own.groupBy("band", "v", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")))
+    most = F.max(F.struct("n", "s", "comp"))
+    span = each.groupBy("band", "v").agg(most.alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    blocks = lambda n, s: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(s / block_bytes)).cast("int")
+    whole = (F.col("n") <= block) & (F.col("s") <= block_bytes)
+    span = cut(span.select("band", "v", "n", whole.alias("whole"), F.col("m.comp").alias("main"), blocks(F.col("m.n"), F.col("m.s")).alias("mains"), blocks(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("others")))
+    at = F.xxhash64(F.lit(11), "rep")
+    task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    i, j, zero = F.pmod(at, "mains").cast("int"), F.pmod(at, "others").cast("int"), F.lit(0)
+    upto = lambda c: F.sequence(F.lit(0), c - 1)
+    with_mains = F.transform(upto(F.col("mains")), lambda x: task(0, x, j, F.lit(1)))
+    with_others = F.transform(upto(F.col("others")), lambda x: task(1, F.least(x, j), F.greatest(x, j), F.when(x == j, 2).when(x > j, 0).otherwise(1)))
+    from_main = F.transform(upto(F.col("others")), lambda x: task(0, i, x, zero))
+    tasks = F.when(F.col("whole"), F.array(task(2, zero, zero, F.lit(2)))).when(F.col("comp") == F.col("main"), from_main).otherwise(F.concat(with_mains, with_others))
+    return hot_join(own, span.drop("n"), ["band", "v"], span).select("band", "v", F.explode(tasks).alias("t"), "rep", "comp").select("band", "v", "t.kind", "t.i", "t.j", "t.side", "rep", "comp")
+
+
+_TASK = ["band", "v", "kind", "i", "j"]
+
+
+def _pairs(t: pa.Table, most: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of pairs of one task and of different components that agree in enough registers and share no earlier bucket, and how many agree."""
+    regs, keys = _registers(t.column("bands")), None
+    col = {k: t.column(k).to_numpy() for k in ("band", "side", "comp", "rep")}
+    first = np.ones(len(t), bool)
+    first[1:] = np.any([(x := t.column(k).to_numpy())[1:] != x[:-1] for k in _TASK], axis=0)
+    begin = np.append(np.flatnonzero(first), len(t))
+    size = np.diff(begin)
+    keys = regs.view(np.int64)
+
+    def good(a: np.ndarray, b: np.ndarray):
+        own = (col["comp"][a] != col["comp"][b]) & ((col["side"][a] != 2) | (col["rep"][a] < col["rep"][b]))
+        a, b = a[own], b[own]
+        for lo in range(0, len(a), most):
+            x, y = a[lo : lo + most], b[lo : lo + most]
+            n = (regs[x] == regs[y]).sum(1)
+            x, y, n = x[n >= LIKELY], y[n >= LIKELY], n[n >= LIKELY]
+            if len(x):
+                new = (keys[x] == keys[y]).argmax(1) == col["band"][x]
+                yield x[new], y[new], n[new]
+
+    few, of = size <= 16, np.repeat(np.arange(len(size)), size)
+    at = np.flatnonzero(few[of])
+    for d in range(1, 16):  # small tasks together: each row with the d-th after it
+        a, b = at[:-d], at[d:]
+        same = of[a] == of[b]
+        a, b = a[same], b[same]
+        side = col["side"]
+        turn = (side[a] == 1) | ((side[a] == 2) & (col["rep"][a] > col["rep"][b]))
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
+        own = (side[a] == 2) | (side[a] != side[b])
+        yield from good(a[own], b[own])
+    for g in np.flatnonzero(~few).tolist():
+        rows = np.arange(begin[g], begin[g + 1])
+        side = col["side"][rows]
+        left, right = rows[side != 1], rows[side != 0]
+        step = max(1, (most * 16) // max(1, len(right)))
+        for lo in range(0, len(left), step):
+            some = left[lo : lo + step]
+            yield from good(np.repeat(some, len(right)), np.tile(right, len(some)))
+
+
+def _flagged(dealt: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members of tasks that have a likely partner there."""
+    ship(dealt.sparkSession)
+    rows = dealt.join(reps.select("rep", "bands"), "rep").select(*_TASK, "side", "rep", "comp", "bands").repartition(*_TASK).sortWithinPartitions(*_TASK)
+
+    def run(batches):
+        for t in whole_groups(batches, len(_TASK)):
+            hit = np.zeros(len(t), bool)
+            for a, b, _ in _pairs(t):
+                hit[a] = hit[b] = True
+            if hit.any():
+                yield from t.drop_columns(["bands"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, dealt.schema)
+
+
+def _forest(flagged: DataFrame, reps: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): for each task a forest of links that joins what its links join."""
+    ship(flagged.sparkSession)
+    rows = flagged.join(reps.select("rep", "bands"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
+    rows = rows.select(*_TASK, "side", "rep", "comp", "bands", "t").repartition(*_TASK).sortWithinPartitions(*_TASK)
+
+    def run(batches):
+        for t in whole_groups(batches, len(_TASK)):
+            a, b, n = (np.concatenate(x) for x in zip(*[(np.zeros(0, np.int64),) * 3, *_pairs(t)], strict=True))
+            order = np.argsort(-n, kind="stable")
+            a, b, rep, comp = a[order], b[order], t.column("rep").to_numpy(), t.column("comp").to_numpy()
+            begin, h, x = _texts(t.column("t"))
+            top: dict[int, int] = {}
+
+            def find(k: int) -> int:
+                while (y := top.setdefault(k, k)) != k:
+                    top[k] = k = top.setdefault(y, y)
+                return k
+
+            size = begin[1:] - begin[:-1]
+            edges = np.append(np.searchsorted((total := np.cumsum(size[a] + size[b])), np.arange(0, total[-1], 1 << 17)), len(a)) if len(a) else [0]
+            out = []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                open_ = [k for k in range(lo, hi) if find(int(comp[a[k]])) != find(int(comp[b[k]]))]
+                for k in np.array(open_, np.int64)[_alike(a[open_], b[open_], begin, h, x) >= least - 1e-9].tolist() if open_ else ():
+                    p, q = find(int(comp[a[k]])), find(int(comp[b[k]]))
+                    if p != q:
+                        top[max(p, q)] = min(p, q)
+                        out.append(k)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a[out]]), pa.array(rep[b[out]])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _texts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the shingles of each text begin, all their hashes and weights."""
+    doc, h, x = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for lo, _, data, offsets in chunks(column):
+        d, own, y = weighted(Words(data, offsets))
+        for to, new in zip((doc, h, x), (d + lo, own, y), strict=True):
+            to.append(new)
+    return np.searchsorted(np.concatenate(doc), np.arange(len(column) + 1)), np.concatenate(h), np.concatenate(x)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, begin: np.ndarray, h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def side(k: np.ndarray):
+        n = begin[k + 1] - begin[k]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[k], n)
+        return np.repeat(np.arange(len(k)), n), h[at], x[at]
+
+    return _jaccard(side(a), side(b), len(a))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Documents with words: (id, k1, k2, rep), rep being the least id of their text; and (node, component) of linked reps."""
+    integral(docs, doc_id)
     signed = cut(_sign(docs, doc_id, text))
-    reps = cut(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("regs").alias("regs")))
-    member = signed.select("id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"])
-    reps = reps.select("rep", "k1", "k2", "bands", "regs")
-    dealt = reps.select("rep", F.explode("bands").alias("key"))
-    centre = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "key", "rep").alias("h"), F.col("rep").alias("c"))).alias(f"c{seed}")
-    buckets = cut(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *map(centre, range(CENTRES))).where("n > 1").select("key", "n", *(F.col(f"c{k}.c").alias(f"c{k}") for k in range(CENTRES))))
-    held = cut(dealt.join(buckets, "key"))
-    candidates = _spelled(held.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("rep").alias("reps")))
-    for k in range(CENTRES):
-        candidates = candidates.union(held.where((F.col("n") > SMALL) & (F.col("rep") != F.col(f"c{k}"))).select(F.least("rep", f"c{k}").alias("a"), F.greatest("rep", f"c{k}").alias("b")))
-    pairs = cut(_alike(candidates.distinct(), reps))
-
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    ends = ends.distinct().join(reps.select(F.col("rep").alias("id"), "k1", "k2"), "id")
+    reps = cut(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    member = hot_join(signed.select("id", "k1", "k2"), reps.select("k1", "k2", "rep"), ["k1", "k2"], reps, "copies").select("id", "k1", "k2", "rep")
+    if not reps.groupBy("rep").count().where("count > 1").isEmpty():  # an id with several texts: the least content key stands for it among the links
+        reps = cut(reps.groupBy("rep").agg(F.min(F.struct("k1", "k2", "size", "bands")).alias("m")).select("rep", "m.*"))
+    held = _shared(reps)
     named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), *content(text), F.col(text).alias("t"))
-    texts = cut(named.join(ends, ["id", "k1", "k2"]).select("id", "t").dropDuplicates(["id"]))
-
-    best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = cut(_verified(best, texts, least))
-    comp = cut(components(links))
-    more = cut(_verified(_across(pairs, comp).select("a", "b"), texts, least))
-    if not more.isEmpty():
-        links = links.union(more)
-        comp = cut(components(links))
-    rest = cut(_across_large(held.where(F.col("n") > SMALL), reps, comp).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        ends = rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(reps.select(F.col("rep").alias("id"), "k1", "k2"), "id")
-        texts = cut(named.join(ends, ["id", "k1", "k2"]).select("id", "t").dropDuplicates(["id"]))
-        ends = lambda x, y: rest.select(F.col(x).alias("a"), F.col(y).alias("b"), "n")
-        best = ends("a", "b").union(ends("b", "a")).groupBy("b").agg(F.max(F.struct("n", "a")).alias("m"))
-        best = best.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
-        for some in (best, rest.select("a", "b").join(best, ["a", "b"], "left_anti")):
-            more = cut(_verified(_across(some, comp).select("a", "b"), texts, least))
-            if not more.isEmpty():
-                links = links.union(more)
-                comp = cut(components(links))
-    return member, comp
 
+    def texts(ids: DataFrame) -> DataFrame:
+        ends = ids.distinct().join(reps.select(F.col("rep").alias("id"), "k1", "k2"), "id")
+        return cut(named.join(ends, ["id", "k1", "k2"]).select("id", "t").dropDuplicates(["id"]))
+
+    comp, tested = None, None
+    for k in range(ROUNDS):
+        pairs = _proposed(_placed(held, comp), tested, k)
+        likely = _likely(pairs, reps)
+        if likely.isEmpty():
+            break
+        links = _verified(likely, texts(likely.select(F.col("a").alias("id")).union(likely.select("b"))), least)
+        if not links.isEmpty():
+            comp = merged(comp, links)
+        both = pairs.union(pairs.select("b", "a"))
+        tested = both if tested is None else tested.union(both)
+    flagged = cut(_flagged(_dealt(_placed(held, comp), BLOCK, BLOCK_BYTES), reps))
+    if not flagged.isEmpty():
+        links = cut(_forest(flagged, reps, texts(flagged.select(F.col("rep").alias("id"))), least))
+        if not links.isEmpty():
+            comp = merged(comp, links)
+    if comp is None:
+        comp = reps.limit(0).select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    return member, comp
 
-def _across_large(held: DataFrame, reps: DataFrame, comp: DataFrame, block: int | None = None) -> DataFrame:
-    """Candidates (a, b, n): all pairs across components of the large buckets that span several, by registers and bands.
 
-    Members are dealt to blocks, and a task compares two blocks of a bucket. Those of the bucket's most
-    frequent component need no comparison with each other, so a bucket that is nearly one component costs a
-    row for each of its members. A pair comes from the first band that it shares only.
-    """
-    ship(held.sparkSession)
-    block = block or BLOCK
-    own = held.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    each = cut(own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")))
-    most = F.max(F.struct("n", "comp"))
-    span = each.groupBy("key").agg(most["comp"].alias("main"), most["n"].alias("n_main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
-    span = cut(span.select("key", "main", blocks(F.col("n_main")).alias("mains"), blocks(F.col("n") - F.col("n_main")).alias("others")))
-    own = own.join(span, "key").withColumn("at", F.xxhash64(F.lit(11), "rep"))
-    task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
-    i, j = F.pmod("at", "mains").cast("int"), F.pmod("at", "others").cast("int")
-    none = F.array().cast("array<struct<kind:int,i:int,j:int,side:int>>")
-    upto = lambda c: F.sequence(F.lit(0), c - 1)
-    with_mains = F.transform(upto(F.col("mains")), lambda x: task(0, x, j, 1))
-    with_others = F.transform(upto(F.col("others")), lambda x: task(1, F.least(x, j), F.greatest(x, j), 1).withField("side", F.when(x == j, 2).when(x > j, 0).otherwise(1)))
-    tasks = F.when(F.col("comp") == F.col("main"), F.transform(upto(F.col("others")), lambda x: task(0, i, x, 0))).otherwise(F.concat(with_mains, with_others, none))
-    dealt = own.select("key", "rep", "comp", F.explode(tasks).alias("t")).select("key", "rep", "comp", "t.*")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, side = pdf["key"].iloc[0], pdf["side"].to_numpy()
-        rep, own = pdf["rep"].to_numpy(), pdf["comp"].to_numpy()
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint8).reshape(len(pdf), M)
-        keys = np.stack(pdf["bands"].to_numpy())
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out = [np.zeros((0, 3), np.int64)]
-        for k in left.tolist():
-            to = right[(own[right] != own[k]) & ((side[k] != 2) | (rep[right] > rep[k]))]
-            for lo in range(0, len(to), 512):
-                at = to[lo : lo + 512]
-                at = at[(regs[at] == regs[k]).sum(1) >= LIKELY]
-                same = keys[at] == keys[k]
-                n = same.sum(1)
-                good = (n >= SHARED) & (keys[k][same.argmax(1)] == key)
-                at = at[good]
-                out.append(np.stack([np.minimum(rep[at], rep[k]), np.maximum(rep[at], rep[k]), n[good]], 1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "n"])
-
-    rows = dealt.join(reps.select("rep", "bands", "regs"), "rep")
-    return rows.groupBy("key", "kind", "i", "j").applyInPandas(compare, "a long, b long, n long")
+def _found(member: DataFrame, comp: DataFrame) -> DataFrame:
+    """id, k1, k2, class_id and component_id of the documents with words."""
+    return member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", "k1", "k2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """A row for each document: doc_id, class_id (least id with its text), component_id (least id reachable by links), kept."""
-    member, comp = classes(docs, doc_id, text, least)
-    found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", "k1", "k2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    found = cut(_found(*classes(docs, doc_id, text, least)))
     wordless = docs.select(F.col(doc_id).cast("long").alias("id"), *content(text)).join(found.select("id", "k1", "k2").distinct(), ["id", "k1", "k2"], "left_anti").select("id", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     out = found.select("id", "class_id", "component_id").union(wordless)
     return out.select(F.col("id").alias("doc_id"), "class_id", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -280,13 +401,12 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One document of each component (the least id), and all that link with nothing; docs' own columns."""
-    member, comp = classes(docs, doc_id, text, least)
-    found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", "k1", "k2", F.coalesce("component", "rep").alias("c"))
-    gone = found.where("id != c").select(F.col("id").alias("sw_id"), F.col("k1").alias("sw_k1"), F.col("k2").alias("sw_k2"))
-    same = [F.col(doc_id).cast("long") == F.col("sw_id"), F.xxhash64(text) == F.col("sw_k1"), F.xxhash64(F.lit(1), text) == F.col("sw_k2")]
-    left = docs.join(gone, same, "left_anti")
-    twice = found.where("id = c").groupBy("id", "k1", "k2").count().where("count > 1").select(F.col("id").alias("sw_id"), F.col("k1").alias("sw_k1"), F.col("k2").alias("sw_k2"))
-    twice = cut(twice)
+    found = cut(_found(*classes(docs, doc_id, text, least)))
+    i, k1, k2 = free_names(docs, "sw_id", "sw_k1", "sw_k2")
+    named = lambda df: df.select(F.col("id").alias(i), F.col("k1").alias(k1), F.col("k2").alias(k2))
+    same = [F.col(doc_id).cast("long") == F.col(i), F.xxhash64(text) == F.col(k1), F.xxhash64(F.lit(1), text) == F.col(k2)]
+    left = docs.join(named(found.where("id != component_id")), same, "left_anti")
+    twice = cut(named(found.where("id = component_id").groupBy("id", "k1", "k2").count().where("count > 1")))
     if twice.isEmpty():
         return left
     return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates([doc_id, text]))
