@@ -2,236 +2,195 @@
 
 An item's windows are its runs of `window` words (an item of fewer words is one window). A
 window can occur in a text only where its rarest shingle does, so that shingle alone is its
-prefix (containment 1 leaves a prefix of one token). Rarity is the number of occurrences in
-all documents, counted in a first pass. The second pass looks up every document shingle among
-the prefixes, keeps the alignments in which the whole window fits between the text's first and
-last word (length and position bounds), and compares the words themselves.
+prefix (containment 1 leaves a prefix of one token; a window shorter than a shingle is its own prefix). Rarity is the number of occurrences in
+all documents, counted in a first pass over them. A second pass looks for prefixes, and from
+each occurrence sends the prefix and the words around it, as many as a window can have; these meet
+the windows by an equi-join on the prefix, which keeps the alignments in which the whole window fits between the text's first
+and last word (length and position bounds) and has equal words.
 
-Items go to the executors in blocks of bounded size, so neither side is shuffled and a large
-benchmark costs more passes, not more memory.
+Documents are scanned twice whatever the benchmark's size, and neither rewritten nor shuffled: what moves are counts of the
+benchmark's shingles and the few words around prefixes. Both scans drop other shingles early by a bitmap of the
+wanted ones, the only thing that is broadcast: at most 2^27 bits (16 MB); beyond some ten million
+shingles of a benchmark it lets more rows through to the join and changes no result.
 
 Null and empty texts have no words; null item ids and items without words are ignored; items
-with the same id count once; rows of documents are judged one by one, repeated ones too.
+with the same id count once; rows of documents are judged one by one, repeated ones too, null ids too. Empty tables give no rows, or
+rows without hits. Extra columns are of no consequence to the report and stay in what `clean` keeps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import _Q, Words, chunks, cut, free_names, map_batches, mix, text_bytes
+from .common import Words, chunks, cut, free_names, map_batches
 
 #: Words in a window, and in the shingles that prefixes are made of.
-WINDOW, SHINGLE = 13, 2
-#: Bytes of item text in a block (broadcast to each executor together with about ten times that in arrays).
-BLOCK_BYTES = 4 << 20
-_BITS = 20
-
-
-class Block:
-    """The windows of some items, found by their prefix shingle."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        data, offsets = text_bytes(pa.array([t for _, t in items], pa.large_string()))
-        w = Words(data, offsets)
-        self.ids = [i for i, _ in items]
-        self.words = [w.data[s:e].tobytes() for s, e in zip(w.start, w.end, strict=True)]
-        rows = []  # first word, length and item of each window
-        for k in range(len(items)):
-            a, b = int(w.first[k]), int(w.first[k + 1])
-            if b > a:
-                size = min(window, b - a)
-                rows += [(s, size, k) for s in range(a, b - size + 1)]
-        self.at, self.size, self.item = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-        self.hash = np.concatenate([w.hash, np.zeros(window, np.uint64)])
-        self.shingle = np.zeros(len(w.hash), np.uint64)  # of the run that begins at each word
-        h, at = w.shingles(SHINGLE)
-        self.shingle[at] = h
-        self.vocabulary = np.unique(h)
-        self.window, self.single = window, bool((self.size == 1).any())
-
-    def choose(self, count: np.ndarray) -> None:
-        """Fix each window's prefix, by the counts of the vocabulary."""
-        rarity = np.full(len(self.shingle), np.iinfo(np.int64).max)
-        known = np.flatnonzero(self.shingle)
-        rarity[known] = count[np.searchsorted(self.vocabulary, self.shingle[known])]
-        off = np.zeros(len(self.at), np.int64)
-        for k, (s, n) in enumerate(zip(self.at, self.size, strict=True)):
-            off[k] = int(np.argmin(rarity[s : s + max(1, n - SHINGLE + 1)]))
-        key = self.shingle[self.at + off]
-        order = np.argsort(key, kind="stable")
-        self.off, self.order = off, order
-        self.key, self.begin = np.unique(key[order], return_index=True)
-        self.begin = np.append(self.begin, len(order))
-
-
-def _keys(w: Words, single: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The text's shingles and where they begin; single: its words too, for items of one word."""
-    h, at = w.shingles(SHINGLE)
-    if single:
-        full = np.flatnonzero(at + SHINGLE <= w.first[1:][w.doc[at]])
-        h, at = np.concatenate([h[full], mix(w.hash + _Q)]), np.concatenate([at[full], np.arange(len(w.hash))])
-    return h, at
-
-
-def _sieve(keys: np.ndarray) -> np.ndarray:
-    hit = np.zeros(1 << _BITS, bool)
-    hit[keys >> np.uint64(64 - _BITS)] = True
-    return hit
-
-
-def _find(keys: np.ndarray, sieve: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in h of known keys, and the keys' indexes."""
-    some = np.flatnonzero(sieve[h >> np.uint64(64 - _BITS)])
-    k = np.minimum(np.searchsorted(keys, h[some]), len(keys) - 1)
-    same = keys[k] == h[some]
-    return some[same], k[same]
-
-
-def _hits(block: Block, sieve: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Confirmed occurrences: first word, length, item."""
-    none = np.zeros(0, np.int64)
-    h, at = _keys(w, block.single)
-    if not len(h) or not len(block.key):
-        return none, none, none
-    pos, k = _find(block.key, sieve, h)
-    n = block.begin[k + 1] - block.begin[k]
-    first = np.repeat(at[pos], n)
-    win = block.order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.begin[k], n)]
-    s, size = first - block.off[win], block.size[win]
-    doc = w.doc[first]
-    fits = (s >= w.first[doc]) & (s + size <= w.first[doc + 1])
-    s, size, win = s[fits], size[fits], win[fits]
-    ok = np.ones(len(s), bool)
-    top = len(w.hash) - 1
-    for j in range(block.window):
-        ok &= (j >= size) | (w.hash[np.minimum(s + j, top)] == block.hash[block.at[win] + j])
-    s, size, win = s[ok], size[ok], win[ok]
-    if len(s):  # equal hashes: compare the words
-        exact = [all(w.data[w.start[a + j] : w.end[a + j]].tobytes() == block.words[b + j] for j in range(n)) for a, b, n in zip(s, block.at[win], size, strict=True)]
-        s, size, win = s[exact], size[exact], win[exact]
-    return s, size, block.item[win]
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[str, str]]]:
-    part, held = [], 0
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    for r in rows.toLocalIterator():
-        part.append((r.i, r.t))
-        held += len(r.t.encode())
-        if held >= most:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
-def _count(docs: DataFrame, text: str, block: Block) -> np.ndarray:
-    """Occurrences of the block's shingles in all documents."""
-    ship(docs.sparkSession)
-    keys, single = docs.sparkSession.sparkContext.broadcast(block.vocabulary), block.single
-
-    def run(batches):
-        known = keys.value
-        sieve, n = _sieve(known), np.zeros(len(known), np.int64)
-        for b in batches:
-            for _, _, data, offsets in chunks(b.column(0)):
-                _, k = _find(known, sieve, _keys(Words(data, offsets), single)[0])
-                n += np.bincount(k, minlength=len(known))
-        seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["k", "n"])
-
-    out = np.zeros(len(block.vocabulary), np.int64)
-    if len(out):
-        for r in docs.select(text).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
-            out[r.k] = r.n
+WINDOW, SHINGLE = 13, 5
+#: Bits of the bitmap of wanted shingles: so many for each of them, between two limits.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 27
+
+
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """The bitmap of the keys (h long), by their highest bits: summed by Spark, one row for each 64 bits."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, keys.count()) * BITS_EACH)), LEAST_BITS, MOST_BITS))
+    words = keys.groupBy(F.shiftrightunsigned("h", 70 - bits).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     return out
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict[str, Column]]:
-    """docs with what was found in each row, and the columns that tell it: n_words, n_hit, n_items, items (sorted ids)."""
-    bits, words, items = free_names(docs, "sw_bits", "sw_words", "sw_items")
-    out = docs.withColumns({bits: F.lit(None).cast("binary"), words: F.lit(0).cast("long"), items: F.array().cast("array<string>")})
-    place = docs.columns.index(doc_text)
-    n_cols, names, sc = len(docs.columns), out.columns, docs.sparkSession.sparkContext
-
-    def step(df: DataFrame, block: Block) -> DataFrame:
-        sent = sc.broadcast(block)
-
-        def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            block = sent.value
-            sieve = _sieve(block.key)
-            packed, count, found = [], [], []
-            before, had = b.column(n_cols).to_pylist(), b.column(n_cols + 2).to_pylist()
-            for lo, hi, data, offsets in chunks(b.column(place)):
-                w = Words(data, offsets)
-                s, size, item = _hits(block, sieve, w)
-                depth = np.bincount(s, minlength=len(w.hash) + 1)[: len(w.hash) + 1] - np.bincount(s + size, minlength=len(w.hash) + 1)
-                hit = np.cumsum(depth)[: len(w.hash)] > 0
-                own: dict[int, set[str]] = {}
-                for d, i in set(zip(w.doc[s].tolist(), item.tolist(), strict=True)):
-                    own.setdefault(d, set()).add(block.ids[i])
-                any_hit = np.bincount(w.doc, hit, minlength=w.n_docs) > 0
-                for d in range(hi - lo):
-                    a, e, old = w.first[d], w.first[d + 1], before[lo + d]
-                    x = np.packbits(hit[a:e]) if any_hit[d] else None
-                    if old is not None:
-                        x = np.frombuffer(old, np.uint8) | (0 if x is None else x)
-                    packed.append(None if x is None else x.tobytes())
-                    count.append(int(e - a))
-                    found.append(sorted(own.get(d, set()) | set(had[lo + d])))
-            new = [pa.array(packed, pa.binary()), pa.array(count, pa.int64()), pa.array(found, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays([*b.columns[:n_cols], *new], names)
-
-        return map_batches(df, one, out.schema)
-
-    done = 0
-    for part in _blocks(benchmark, item_id, item_text, block_bytes):
-        block = Block(part, window)
-        if not len(block.at):
-            continue
-        block.choose(_count(docs, doc_text, block))
-        out = step(cut(out) if done else out, block)
-        done += 1
-    if not done:  # words are still counted
-        out = step(out, _empty(window))
-    return out, {
-        "n_words": F.col(words),
-        "n_hit": F.coalesce(F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(bits))), lambda i: F.bit_count(F.conv(F.hex(F.substring(F.col(bits), i, F.lit(1))), 16, 10).cast("int"))), F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long")),
-        "n_items": F.size(items).cast("long"),
-        "items": F.col(items),
-    }
-
-
-def _empty(window: int) -> Block:
-    block = Block([], window)
-    block.choose(np.zeros(0, np.int64))
-    return block
-
-
-def contaminated(found: dict[str, Column]) -> Column:
+def _some(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Positions in h that may be wanted."""
+    top = h >> np.uint64(64 - (len(sieve).bit_length() + 5))
+    return np.flatnonzero((sieve[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1))
+
+
+def _runs(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the text's runs of k words and the words that begin them."""
+    h, at = w.shingles(k)
+    full = np.flatnonzero(at + k <= w.first[1:][w.doc[at]])
+    return h[full], at[full]
+
+
+def _items(benchmark: DataFrame, item_id: str, text: str, shingle: int) -> DataFrame:
+    """(row, i, words, keys): items with words, and the keys of their shingles (a shorter item has one)."""
+    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).distinct()
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        words, keys = [], []
+        for lo, hi, data, offsets in chunks(b.column(1)):
+            w = Words(data, offsets)
+            h, at = w.shingles(shingle)
+            text = [w.data[s:e].tobytes().decode() for s, e in zip(w.start, w.end, strict=True)]
+            for d in range(hi - lo):
+                a, e = int(w.first[d]), int(w.first[d + 1])
+                words.append(text[a:e])
+                keys.append(h[np.searchsorted(at, a) : np.searchsorted(at, e)].view(np.int64))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64()))], ["i", "words", "keys"])
+
+    return cut(map_batches(rows, one, "i string, words array<string>, keys array<long>").where(F.size("words") > 0).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _counts(docs: DataFrame, text: str, sieve: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(h, n): occurrences in all documents of runs of those sizes that may be wanted."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.zeros(0, np.uint64)]
+        for _, _, data, offsets in chunks(b.column(0)):
+            w = Words(data, offsets)
+            for k in sizes:
+                h = _runs(w, k)[0]
+                found.append(h[_some(sent.value, h)])
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    return map_batches(docs.select(text), one, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _windows(items: DataFrame, counts: DataFrame, shingle: int, window: int) -> DataFrame:
+    """(h, off, size, g, i): each window's prefix, the prefix's place in it, its number of words, its words, its item."""
+    each = items.select("row", F.posexplode("keys").alias("p", "h")).join(counts, "h", "left")
+    ranked = items.join(each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("n", F.lit(0)).alias("n")))).alias("c")), "row").select("i", "words", "keys", F.col("c.n").alias("n"))
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = [[] for _ in range(5)]
+        for i, words, keys, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            size = min(window, len(words))
+            off = np.lib.stride_tricks.sliding_window_view(np.array(n), max(1, size - shingle + 1)).argmin(1).tolist()
+            for s in range(len(words) - size + 1):
+                for c, v in zip(out, (keys[s + off[s]], off[s], size, " ".join(words[s : s + size]), i), strict=True):
+                    c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], ["h", "off", "size", "g", "i"])
+
+    return cut(map_batches(ranked, one, "h long, off int, size int, g string, i string").distinct())
+
+
+def _key(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
+    """128 bits of a row's id and text, by which what is found returns to it."""
+    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(1), doc_id, text).alias("k2")]
+
+
+def _sightings(docs: DataFrame, doc_id: str, text: str, sieve: np.ndarray, sizes: list[int], shingle: int, window: int) -> DataFrame:
+    """Each row's id, key and number of words, and its sightings of what may be prefixes: key, first word, words before it in `near`, the words near it."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *_key(docs, doc_id, text), F.col(text).alias("t"))
+    struct = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("near", pa.string())]))
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        count, seen = [], []
+        for lo, hi, data, offsets in chunks(b.column(3)):
+            w = Words(data, offsets)
+            own: dict[int, list[dict]] = {}
+
+            def add(h: int, at: int, a: int, e: int, w: Words = w, own: dict = own) -> None:
+                d = int(w.doc[at])
+                a, e = max(a, int(w.first[d])), min(e, int(w.first[d + 1]))
+                near = b" ".join(w.data[w.start[k] : w.end[k]].tobytes() for k in range(a, e)).decode()
+                own.setdefault(d, []).append({"h": h, "at": at - int(w.first[d]), "before": at - a, "near": near})
+
+            for k in sizes:
+                h, at = _runs(w, k)
+                more = max(0, window - k) if k == shingle else 0  # shorter runs are whole windows
+                for x in _some(sent.value, h).tolist():
+                    p = int(at[x])
+                    add(int(h[x].view(np.int64)), p, p - more, p + k + more)
+            count += np.diff(w.first).tolist()
+            seen += [own.get(d) for d in range(hi - lo)]
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(count, pa.int64()), pa.array(seen, struct)], ["doc_id", "k1", "k2", "n_words", "seen"])
+
+    return cut(map_batches(rows, one, f"doc_id {kind}, k1 long, k2 long, n_words long, seen array<struct<h:long,at:int,before:int,near:string>>"))
+
+
+def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """A row for each document (doc_id, k1, k2, n_words); and (k1, k2, n_hit, items) for those keys with hits, items being sorted ids."""
+    ship(docs.sparkSession)
+    shingle = min(SHINGLE, window)
+    items = _items(benchmark, item_id, item_text, shingle)
+    sizes = sorted(r.k for r in items.select(F.least(F.size("words"), F.lit(shingle)).alias("k")).distinct().collect())
+    keys = cut(items.select(F.explode("keys").alias("h")).distinct())
+    windows = _windows(items, _counts(docs, doc_text, _sieve(keys), sizes).join(keys, "h"), shingle, window)
+    rows = _sightings(docs, doc_id, doc_text, _sieve(windows.select("h").distinct()), sizes, shingle, window)
+    seen = rows.where("seen is not null").select("k1", "k2", F.explode("seen").alias("s")).select("k1", "k2", "s.*").distinct()
+    met = seen.join(windows.select("h", "off", "size", "g").distinct(), "h").where("off <= before")
+    words = F.split("near", " ")
+    fits = met.where(F.array_join(F.slice(words, F.greatest(F.lit(1), F.col("before") - F.col("off") + 1), F.col("size")), " ") == F.col("g"))
+    hits = cut(fits.select("k1", "k2", (F.col("at") - F.col("off")).alias("s"), "size", "g"))
+    key = W.partitionBy("k1", "k2").orderBy("s", "size")
+    ends = hits.select("k1", "k2", "s", "size").distinct().withColumn("past", F.coalesce(F.max(F.col("s") + F.col("size")).over(key.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    covered = ends.groupBy("k1", "k2").agg(F.sum(F.greatest(F.lit(0), F.col("s") + F.col("size") - F.greatest("s", "past"))).cast("long").alias("n_hit"))
+    named = hits.select("k1", "k2", "g").distinct().join(windows.select("g", "i").distinct(), "g").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("i")).alias("items"))
+    return rows.drop("seen"), covered.join(named, ["k1", "k2"])
+
+
+def contaminated(n_hit: Column, n_words: Column) -> Column:
     """Of the words, a twentieth or more lie in windows."""
-    return (found["n_hit"] > 0) & (found["n_hit"] * 20 >= found["n_words"])
+    return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """A row for each document: words, hit words, items, digest of the item ids, verdict."""
-    df, found = judge(docs.select(doc_id, options.get("doc_text", "text")), benchmark, **options)
-    return df.select(
-        doc_id, found["n_words"].alias("n_words"), found["n_hit"].alias("n_hit"), found["n_items"].alias("n_items"),
-        F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"), contaminated(found).alias("contaminated"),
+    rows, found = judge(docs, benchmark, **options)
+    hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return rows.join(found, ["k1", "k2"], "left").select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), contaminated(hit, F.col("n_words")).alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **options) -> DataFrame:
     """The rows of docs that are not contaminated, with their own columns."""
-    df, found = judge(docs, benchmark, **options)
-    return df.where(~contaminated(found)).select(docs.columns)
+    rows, found = judge(docs, benchmark, doc_id=doc_id, doc_text=doc_text, **options)
+    k1, k2 = free_names(docs, "sw_k1", "sw_k2")
+    bad = cut(rows.join(found, ["k1", "k2"]).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct())
+    own = _key(docs, doc_id, doc_text)
+    return docs.join(bad, (own[0] == F.col(k1)) & (own[1] == F.col(k2)), "left_anti")
 
 
 def brute_force(texts: list[str | None], items: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple[int, int, list[str]]]:

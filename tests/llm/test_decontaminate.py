@@ -32,15 +32,29 @@ def test_equals_the_definition(spark):
         assert _run(spark, docs, items, window=3) == _want(docs, items, 3)
 
 
-def test_blocks_change_nothing(spark):
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(dc, "LEAST_BITS", 6)
+    monkeypatch.setattr(dc, "MOST_BITS", 7)
     docs, items = _make(7, 20, 6)
-    assert _run(spark, docs, items, block_bytes=60) == _want(docs, items)
+    assert _run(spark, docs, items) == _want(docs, items)
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    docs, items = _make(5, 3, 8)
+    rnd = random.Random(1)
+    long = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(120000))
+    docs += [long + " " + items[6][1]]
+    got = _run(spark, docs, items + items)
+    assert got[:-1] == _want(docs[:-1], items) and got[-1][0] == 120000 + dc.brute_force([items[6][1]], [])[0][0] and got[-1][1] > 0
+    d = spark.createDataFrame([(None, docs[1]), (None, docs[1]), (4, docs[1]), (4, docs[1])], "doc_id long, text string")
+    rows = dc.report(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(rows) == 4 and len({tuple(r)[1:] for r in rows}) == 1 and tuple(rows[0])[1:] == _want([docs[1]], items)[0]
 
 
 def test_empty_tables_and_kept_columns(spark):
     docs, items = _make(9, 5, 3)
     assert _run(spark, docs, []) == _want(docs, [])
-    d = spark.createDataFrame([(1, "x y", 5, b"z"), (1, "a", 5, None)], "doc_id long, text string, sw_bits long, Sw_Items binary")
+    d = spark.createDataFrame([(1, "x y", 5, b"z"), (1, "a", 5, None)], "doc_id long, text string, sw_k1 long, Sw_K2 binary")
     b = spark.createDataFrame([(1, "a")], "item_id long, text string")
     out = dc.clean(d, b)
     assert out.columns == d.columns and [r.text for r in out.collect()] == ["x y"]
