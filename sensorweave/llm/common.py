@@ -49,19 +49,23 @@ def _codes() -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW["up"]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
-        for k, p in (("up", _P), ("down", _P_INV)):
-            x = np.full(size, p, U64)
-            x[0] = U64(1)
-            _POW[k] = np.cumprod(x)
-    return _POW["up"][:n], _POW["down"][:n]
+    """Powers of P and of its inverse; those for longer texts than chunks are not kept."""
+    if len(_POW["up"]) >= n:
+        return _POW["up"][:n], _POW["down"][:n]
+    size, made = max(n, CHUNK_BYTES + 4096), {}
+    for k, p in (("up", _P), ("down", _P_INV)):
+        x = np.full(size, p, U64)
+        x[0] = U64(1)
+        made[k] = np.cumprod(x, out=x)
+    if size == CHUNK_BYTES + 4096:
+        _POW.update(made)
+    return made["up"][:n], made["down"][:n]
 
 
 class Words:
     """The words of consecutive texts: byte spans, text index and 64-bit hash of each."""
 
-    __slots__ = ("data", "start", "end", "doc", "hash", "first", "n_docs", "total")
+    __slots__ = ("data", "start", "end", "doc", "hash", "first", "n_docs", "total", "down")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, hashes: bool = True):
         self.data = a = WORD_BYTE[data]
@@ -85,11 +89,14 @@ class Words:
 
     def _hash(self, a: np.ndarray) -> np.ndarray:
         self.total = np.zeros(len(a) + 1, U64)
-        np.cumsum(_codes()[a] * _powers(len(a))[0], out=self.total[1:])
+        up, self.down = _powers(len(a) + 1)
+        codes = _codes()[a]
+        codes *= up[:-1]
+        np.cumsum(codes, out=self.total[1:])
         return self._between(self.end)
 
     def _between(self, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[self.start]) * _powers(len(self.total))[1][self.start] + (end - self.start).astype(U64))
+        return mix((self.total[end] - self.total[self.start]) * self.down[self.start] + (end - self.start).astype(U64))
 
     def prefixes(self, k: int) -> np.ndarray:
         """Hash of the first k bytes of each word; 0 for words that are shorter."""
@@ -213,6 +220,8 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         known = sc._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="sensorweave-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
@@ -222,8 +231,8 @@ def shared_folder(spark: SparkSession) -> str:
 _TABLES: dict[str, str] = {}
 
 
-def _sweep(spark: SparkSession, folder: str) -> None:
-    """At the interpreter's end, if the session still runs."""
+def sweep(spark: SparkSession, folder: str) -> None:
+    """Remove a folder, if the session still runs."""
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(folder)
@@ -243,7 +252,7 @@ def cut(df: DataFrame) -> DataFrame:
     app = spark.sparkContext.applicationId
     if app not in _TABLES:
         _TABLES[app] = posixpath.join(shared_folder(spark), f"tables-{app}")
-        atexit.register(_sweep, spark, _TABLES[app])
+        atexit.register(sweep, spark, _TABLES[app])
     path = posixpath.join(_TABLES[app], uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

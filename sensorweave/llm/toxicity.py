@@ -22,6 +22,9 @@ every score is 0 (or 1, if all known labels are 1). Rows are judged one by one.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import zlib
 from dataclasses import dataclass, field
 
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, chunks, map_batches, mix
+from .common import CHUNK_BYTES, Words, chunks, cut, map_batches, mix
 
 #: Labelled texts of each class to learn from, about, and their bytes at most.
 SAMPLE, SAMPLE_BYTES = 900, 12 << 20
@@ -97,14 +100,14 @@ def marginals(score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: fl
 def _features(w: Words) -> tuple[list[np.ndarray], np.ndarray]:
     """Indexes into the tables of weights, and whether a text begins at the word."""
     h = w.hash
-    near = (h >> np.uint64(64 - _NEAR_BITS)).astype(np.int64)
+    near = (h >> np.uint64(64 - _NEAR_BITS)).astype(np.int32)
     first = np.zeros(len(h), bool)
     first[w.first[:-1][np.diff(w.first) > 0]] = True
     before, after = np.zeros_like(near), np.zeros_like(near)
     before[1:] = np.where(first[1:], 0, near[:-1])
     after[:-1] = np.where(first[1:], 0, near[1:])
-    begins = [(w.prefixes(k) >> np.uint64(64 - _NEAR_BITS)).astype(np.int64) for k in PREFIXES]
-    return [(h >> np.uint64(64 - _WORD_BITS)).astype(np.int64), before, after, *begins], first
+    begins = [(w.prefixes(k) >> np.uint64(64 - _NEAR_BITS)).astype(np.int32) for k in PREFIXES]
+    return [(h >> np.uint64(64 - _WORD_BITS)).astype(np.int32), before, after, *begins], first
 
 
 def _potential(model: Model, x: list[np.ndarray]) -> np.ndarray:
@@ -238,7 +241,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     own = docs.select(F.col(doc_id).alias("sw_id"), F.col(text).alias("sw_text")).where("sw_text is not null")
     texts: dict[bool, dict[str, None]] = {True: {}, False: {}}
     held = {True: 0, False: 0}
-    for r in own.join(F.broadcast(chosen), "sw_id").select("toxic", "sw_text").toLocalIterator():
+    # in the order of a hash, so the bytes that fit don't depend on files or partitions
+    sample = cut(own.join(F.broadcast(chosen), "sw_id").select("toxic", "sw_text"))
+    for r in sample.orderBy(F.xxhash64(F.lit(29), "sw_text"), "sw_text").toLocalIterator():
         if held[r.toxic] < most_bytes and r.sw_text not in texts[r.toxic]:
             texts[r.toxic][r.sw_text] = None
             held[r.toxic] += len(r.sw_text.encode())
@@ -246,7 +251,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Model(prior=n[True] / (n[True] + n[False]))
     both = [(t, k) for k in (True, False) for t in sorted(texts[k], key=lambda t: zlib.crc32(t.encode()))]
     toxic = np.array([k for _, k in both])
-    return fit([t for t, _ in both], toxic, np.where(toxic, n[True] / toxic.sum(), n[False] / (~toxic).sum()))
+    model = fit([t for t, _ in both], toxic, np.where(toxic, n[True] / toxic.sum(), n[False] / (~toxic).sum()))
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Freed arrays go back to the system: the driver lives on beside its JVM."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", held: Column | None = None) -> DataFrame:
