@@ -12,7 +12,7 @@ executors and speculation leave at most unlisted files, which the commit removes
 Records with equal payloads: the one with the largest key is a response, the others are
 revisits of it without payload (from `least_bytes` payload bytes on; below, all are responses).
 
-Null html is an empty payload; null keys sort first and are never referred to by number (an all-null
+Keys are integers of any size a long has (others are refused). Null html is an empty payload; null keys sort first and are never referred to by number (an all-null
 group has its first record as response); repeated rows with one key and payload count as one
 copy more: one of them is the response, the rest revisits. An empty table commits an empty manifest.
 """
@@ -29,15 +29,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import shared_folder
+from .common import cut, hot_join, integral, shared_folder, sweep
 
 ROLL_BYTES = 64 << 20
-#: Payload bytes of a shard (one task's share) at most, and cells of keys that shards are made of.
-SHARD_BYTES, CELLS = 1 << 30, 1 << 14
+#: Payload bytes of a shard (one task's share) at most.
+SHARD_BYTES = 1 << 30
+#: Bits of a key that tell its cell at least, and bits by which heavy cells are cut.
+CELL_BITS, MORE_BITS = 12, 6
 LEVEL = 4
 #: Date of every record: output depends on the records alone.
 DATE = "2020-01-01T00:00:00Z"
@@ -110,28 +112,57 @@ def _plan(pages: DataFrame, page_id: str, html: str, least_bytes: int) -> DataFr
     """Key and digest of the records that are revisits of another key, and that key: small rows, summed before they move."""
     own = pages.select(F.col(page_id).alias("k"), F.coalesce(html, F.lit("")).alias("h"))
     own = own.select("k", F.sha1(F.encode("h", "utf-8")).alias("d"), F.octet_length("h").alias("n"))
-    top = own.where(F.col("n") >= least_bytes).groupBy("d").agg(F.max("k").alias("top"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("d", "top")
-    return own.join(top, "d").select("k", "d", "top")
+    top = own.where(F.col("n") >= least_bytes).groupBy("d").agg(F.max("k").alias("top"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    top = cut(top)
+    return hot_join(own.select("k", "d"), top.select("d", "top"), ["d"], top, "copies").select("k", "d", "top")
 
 
-def _shards(sizes: DataFrame, shards: int) -> tuple[int, int, list[int]]:
-    """Least key, width of a cell, and the shard of each of up to CELLS cells of keys: consecutive cells of about equal bytes together.
+def _shards(sizes: DataFrame, shards: int) -> tuple[Column, int]:
+    """The shard of a key `k` with digest `d`, and how many there are: consecutive keys of about equal bytes together.
 
-    Sums over all records, so the same records give the same shards; no sample is taken.
+    A cell is the range of keys with the same leading bits. Cells heavier than a shard are cut by their next bits until they
+    are not or are one key, so a few far-off keys spoil nothing, and any long is a key. Cells come from sums over all records;
+    no sample is taken. Null keys go by digest to shards of their own, before the others.
     """
-    lo, hi, total = sizes.agg(F.min("k"), F.max("k"), F.sum("n")).first()
+    lo, hi, total, null = sizes.agg(F.min("k"), F.max("k"), F.sum("n"), F.sum(F.when(F.col("k").isNull(), F.col("n")))).first()
+    most = -(-(total or 1) // shards)
+    nulls = -(-(null or 0) // most)
+    of_null = F.floor(F.conv(F.substring("d", 1, 6), 16, 10).cast("long") * max(1, nulls) / (1 << 24)).cast("int")
     if lo is None:
-        return 0, 1, [0]
-    width = -(-(hi - lo + 1) // CELLS)
-    cells = sizes.where("k is not null").groupBy(F.floor((F.col("k") - lo) / width).alias("c")).agg(F.sum("n").alias("n"))
-    held = {r.c: r.n for r in cells.toLocalIterator()}
-    most, out, shard, now = -(-total // shards), [], 0, 0
-    for c in range((hi - lo) // width + 1):
-        if now and now + held.get(c, 0) > most:
+        return of_null, max(1, nulls)
+    signed, plain = (lambda x: x - (x >> 63 << 64)), (lambda x: x & (1 << 64) - 1)
+    code, bits = F.col("k").bitwiseXOR(F.lit(-1 << 63)), plain(lo ^ hi).bit_length()  # unsigned codes in the order of keys
+    step = min(16, max(CELL_BITS, shards.bit_length() + 4))
+    shifts, table, leaves = [max(0, bits - step)], [0] * (1 << step), []
+    heavy = {signed(plain(lo ^ (-1 << 63)) >> bits): 0} if bits < 64 else {0: 0}
+    while heavy:
+        shift, above = shifts[-1], bits if len(shifts) == 1 else shifts[-2]
+        cut_by = lambda s: F.shiftrightunsigned(code, s) if s < 64 else F.lit(0).cast("long")
+        own = sizes.where(F.col("k").isNotNull() & cut_by(above).isin(list(heavy)))
+        mask, more = (1 << (above - shift)) - 1, {}
+        for r in own.groupBy(cut_by(shift).alias("c")).agg(F.sum("n").alias("n")).toLocalIterator():
+            c = plain(r.c)
+            at = heavy[signed(c >> (above - shift))] + (c & mask)
+            if r.n > most and shift:
+                more[signed(c)], table[at] = len(table), -len(table)
+                table += [0] * (1 << MORE_BITS)
+            else:
+                leaves.append((c << shift, r.n, at))
+        heavy = more
+        if heavy:
+            shifts.append(max(0, shift - MORE_BITS))
+    shard, now = nulls, 0
+    for _, n, at in sorted(leaves):
+        if now and now + n > most:
             shard, now = shard + 1, 0
-        now += held.get(c, 0)
-        out.append(shard)
-    return lo, width, out
+        now += n
+        table[at] = shard
+    cells = F.lit(table)
+    place = F.element_at(cells, (cut_by(shifts[0]).bitwiseAND(F.lit((1 << (bits - shifts[0])) - 1)) + 1).cast("int"))
+    if len(shifts) > 1:
+        within = F.array(*(F.struct(F.lit(s).alias("s"), F.lit((1 << (a - s)) - 1).alias("m")) for a, s in zip(shifts, shifts[1:], strict=False)))
+        place = F.aggregate(within, place, lambda t, x: F.when(t < 0, F.element_at(cells, (F.call_function("shiftrightunsigned", code, x["s"]).bitwiseAND(x["m"]) - t + 1).cast("int"))).otherwise(t))
+    return F.when(F.col("k").isNull(), of_null).otherwise(place), shard + 1
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", roll_bytes: int = ROLL_BYTES, least_bytes: int = 0, parts: int | None = None) -> list[dict]:
@@ -144,11 +175,11 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         F.lit(None).cast("long").alias("top"), F.col(url).cast("string").alias("u"), F.col(html).alias("h"),
     )
     plan = _plan(pages, page_id, html, least_bytes).select(F.col("k").cast("long").alias("k"), "d", F.lit(0).alias("part"), F.col("top").cast("long").alias("top"), F.lit(None).cast("string").alias("u"), F.lit(None).cast("string").alias("h"))
+    integral(pages, page_id)
     sizes = pages.select(F.col(page_id).cast("long").alias("k"), (F.coalesce(F.octet_length(html), F.lit(0)) + 300).cast("long").alias("n"))
     n = parts or max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.agg(F.sum("n")).first()[0] or 0) // SHARD_BYTES))
-    lo, width, shard = _shards(sizes, n)
-    place = F.coalesce(F.element_at(F.lit(shard), (F.floor((F.col("k") - lo) / width) + 1).cast("int")), F.lit(0))
-    rows = body.union(plan).withColumn("s", place).repartitionById(shard[-1] + 1, "s").sortWithinPartitions("s", "k", "d", "part", "u").drop("s")
+    place, n = _shards(sizes, n)
+    rows = body.union(plan).withColumn("s", place).repartitionById(n, "s").sortWithinPartitions("s", "k", "d", "part", "u").drop("s")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         store, attempt = Store(folder), uuid.uuid4().hex
@@ -260,7 +291,9 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
-    """Write to a new folder below the shared one, then read back what is committed there."""
+    """Write to a new folder below the shared one, read back what is committed there, and remove the folder."""
     folder = posixpath.join(shared_folder(spark), f"warc-{uuid.uuid4().hex}")
     write(pages, folder, **options)
-    return read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = cut(read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    sweep(spark, folder)
+    return out

@@ -46,3 +46,26 @@ def test_repeated_rows_null_keys_and_empty_tables(spark):
     assert warc.round_trip(spark, pages.limit(0)).collect() == []
     least = warc.round_trip(spark, pages, least_bytes=2)
     assert {r.record_type for r in least.collect()} == {"response"}
+
+
+def test_far_off_keys_and_the_whole_range_of_longs(spark, tmp_path):
+    ids = [*range(2000), 10**15, 2**63 - 1, -(2**63), None, None]
+    pages = spark.createDataFrame([(i, "http://x.org", f"<p>{k}" * 9) for k, i in enumerate(ids)], "page_id long, url string, html string").repartition(5)
+    files = warc.write(pages, f"{tmp_path}/w", parts=8)
+    assert sum(f["records"] for f in files) == len(ids) and max(f["records"] for f in files) < 600
+    firsts = [f["first"] for f in files]
+    assert firsts == sorted(firsts, key=lambda x: (x is not None, x or 0)) and firsts[-1] is not None
+    assert sorted(((r.page_id is not None, r.page_id or 0) for r in warc.read(spark, f"{tmp_path}/w").collect())) == sorted((i is not None, i or 0) for i in ids)
+
+
+def test_one_common_payload_and_no_folder_left(spark, monkeypatch):
+    import os
+
+    from sensorweave.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    pages = spark.createDataFrame([(i, "http://x.org", "" if i % 3 else f"p{i // 9}") for i in range(300)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in warc.round_trip(spark, pages).collect()}
+    assert len(rows) == 300 and all(rows[i].refers_to == (None if i == 299 else 299) for i in range(300) if i % 3)
+    folder = common.shared_folder(spark).removeprefix("file:")
+    assert not [x for x in os.listdir("/" + folder.lstrip("/")) if x.startswith("warc-")]
