@@ -13,7 +13,8 @@ and only documents of the one cell where the prefix ends are sorted, so a leaf o
 
 Null domain, language or source is a leaf of its own kind (its key is empty text); null and empty texts
 have no tokens and are chosen with every full epoch and within the prefix; unknown weights are
-`other`. Repeated rows are documents of their own (equal ones in any order). Empty tables stay empty.
+`other`. Repeated rows are documents of their own (equal ones in any order). Empty tables stay empty. Columns may have any names.
+A leaf's cells are at most CELLS rows of one task; the documents of one cell are a CELLS-th of a leaf.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def budgets(leaves: DataFrame, total: Column | float, weights: dict = WEIGHTS, e
 
 def mix(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", doc_id: str = "doc_id", weights: dict = WEIGHTS, domains: dict = DOMAINS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """docs' rows, each as often as it is chosen, with the epoch in a last column."""
-    d, n, key, epoch, whole, rest, cell, left = free_names(docs, "sw_leaf", "sw_tokens", "sw_key", "epoch", "sw_whole", "sw_rest", "sw_cell", "sw_left")
+    d, n, key, epoch, whole, rest, cell, left, at = free_names(docs, "sw_leaf", "sw_tokens", "sw_key", "epoch", "sw_whole", "sw_rest", "sw_cell", "sw_left", "sw_edge")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     leaf = F.struct(domain(F.col(source), domains).alias("domain"), name(lang).alias("lang"), name(source).alias("source"))
     rows = docs.withColumns({d: leaf, n: tokens(F.col(text))})
@@ -94,18 +95,19 @@ def mix(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "
         F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias(rest),
     )
     plan = cut(plan)
-    # the order of the epoch that is taken in part; equal rows may go in any order
+    # the order of the epoch that is taken in part; rows alike in id and text go by their other columns, equal rows in any order
     order = F.xxhash64(F.lit(seed), F.col(whole), F.col(doc_id), F.col(text))
     with_key = lambda df: df.join(plan, d).withColumn(key, order).withColumn(cell, F.shiftrightunsigned(key, 64 - 12).cast("int"))
     small = rows.select(d, n, F.col(doc_id), F.col(text))
     by_cell = with_key(small).groupBy(d, cell).agg(F.sum(n).alias("m"), F.first(rest).alias("r"))
     before = F.sum("m").over(W.partitionBy(d).orderBy(cell).rowsBetween(W.unboundedPreceding, -1))
-    edge = cut(by_cell.withColumn("b", F.coalesce(before, F.lit(0))).where("b + m > r and b <= r").groupBy(d).agg(F.min(F.struct(F.col(cell), F.col("r") - F.col("b"))).alias("e")).select(d, F.col(f"e.{cell}").alias("edge"), F.col("e.col2").alias(left)))
+    edge = cut(by_cell.withColumn("b", F.coalesce(before, F.lit(0))).where("b + m > r and b <= r").groupBy(d).agg(F.min(F.struct(F.col(cell), F.col("r") - F.col("b"))).alias("e")).select(d, F.col(f"e.{cell}").alias(at), F.col("e.col2").alias(left)))
     own = with_key(rows).join(edge, d, "left")
-    inside = W.partitionBy(d, cell).orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+    others = [F.col(f.name) for f in docs.schema if "map" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    inside = W.partitionBy(d, cell).orderBy(key, F.xxhash64(*others)).rowsBetween(W.unboundedPreceding, 0)
     more = lambda df, take: df.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(whole) + take.cast("int")))).where(F.col(whole) + take.cast("int") > 0)
-    at_edge = F.coalesce(F.col(cell) == F.col("edge"), F.lit(False))
-    plain = more(own.where(~at_edge), F.coalesce(F.col(cell) < F.col("edge"), F.col(rest) > 0))
+    at_edge = F.coalesce(F.col(cell) == F.col(at), F.lit(False))
+    plain = more(own.where(~at_edge), F.coalesce(F.col(cell) < F.col(at), F.col(rest) > 0))
     last = own.where(at_edge).withColumn(left, F.sum(n).over(inside) <= F.col(left))
     return plain.select(*docs.columns, epoch).union(more(last, F.col(left)).select(*docs.columns, epoch))
 
