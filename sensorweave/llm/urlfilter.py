@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, hot_join
+
 #: Rules of the production query: action, host, path.
 RULES = [
     ("allow", "com", "/"),
@@ -58,8 +60,10 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
         )
         for k, n in sorted(shapes)
     ]
+    # each url once, however often it stands there; null urls need no lookup
+    urls = cut(own.where("url is not null").groupBy("url", "host", "path").agg(F.count(F.lit(1)).alias("n")))
     best = (
-        own.select("url", "host", "path").where("url is not null").distinct().withColumn("parts", parts)
+        urls.withColumn("parts", parts)
         .select("url", F.explode(F.array_compact(F.array(*expressions)) if expressions else F.array().cast("array<string>")).alias("e"))
         .select("url", F.sha2("e", 256).alias("digest"))
         .withColumn("short", F.substring("digest", 1, 8))
@@ -68,6 +72,6 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
         .groupBy("url")
         .agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("action") == "block").alias("block"), "rule", "action")).alias("best"))
     )
-    return own.join(best, "url", "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
-    )
+    judged = urls.join(best, "url", "left").select("url", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    found = hot_join(own.where("url is not null"), judged, ["url"], urls).select("page_id", "host", "path", "rule", "verdict")
+    return found.union(own.where("url is null").select("page_id", "host", "path", F.lit(None).cast("string"), F.lit(default)))
