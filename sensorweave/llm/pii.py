@@ -1,9 +1,11 @@
 """Personal data with offsets: base patterns, and the same identifiers behind disguises.
 
-Base spans are found in the text as it is. Then a transducer rewrites the disguises that occur:
-look-alike letters and full-width forms, invisible characters, spelled digits in runs, and
-`at` / `dot` written out. Each piece of the normalised text remembers the source span it stands
-for, so identifiers detected there map back to source characters; those inside a base span of their
+Base spans are found in the text as it is. Then a cascade of transducers rewrites what disguises
+there are, each on the result of the one before: characters (look-alike letters, compatibility forms such as full-width
+and mathematical ones, digits of any script, invisible ones), spelled digits in runs, bracketed marks, and marks that are written as words.
+Bare words make an address only where one ends in a known top-level label behind a written stop, and an
+IP only between numbers, so that prose with such words stays. Each piece of a step's text remembers the span it stands
+for in the text before, so identifiers detected at the end map back through all steps to source characters; those inside a base span of their
 kind are dropped. Every scan is linear in the text, however it is built.
 
 Null text is empty. Rows are judged one by one, so repeated rows and ids are of no consequence.
@@ -36,26 +38,40 @@ _LOOKALIKE = dict(zip("абвеѕіјкмнорсԁтухһԛԝАВЕЅІЈКМ
 _INVISIBLE = "­​‌‍⁠﻿"
 # Digits in words, English, French, German, Spanish.
 _DIGITS = {w: str(i) for words in ("zero one two three four five six seven eight nine", "zéro un deux trois quatre cinq six sept huit neuf", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve") for i, w in enumerate(words.split())}
-# Words for @ and for the full stop.
+# Words for @, for the full stop, and for other marks in a local part.
 _AT, _DOT = "at|arobase|arroba|ät", "dot|point|punkt|punto"
-
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "。｡"
-_ODD = _INVISIBLE + "".join(_LOOKALIKE) + _WIDE
-_WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
-#: One alternative for each kind of disguise.
-_RULES = re.compile(
-    rf"(?P<odd>[{re.escape(_ODD)}])"
-    rf"|(?P<at>[ ]?[\[({{<][ ]?(?:{_AT}|@)[ ]?[\])}}>][ ]?)"
-    rf"|(?P<dot>[ ]?[\[({{<][ ]?(?:{_DOT}|\.)[ ]?[\])}}>][ ]?)"
-    rf"|(?P<digits>(?<![^\W_])(?:{_WORD})(?:[ -](?:{_WORD}))++(?![^\W_]))"
-    rf"|(?P<plain>(?<=[A-Za-z0-9]) (?:{_AT})(?= [A-Za-z0-9.-]{{1,63}} (?:{_DOT}) [A-Za-z0-9]) )"
-    rf"|(?P<bare>(?<=[A-Za-z0-9]) (?:{_DOT}) (?=[A-Za-z0-9]))",
-    re.IGNORECASE,
-)
-#: What a text must have for a rule to apply: bracket, odd character, or one of the words with both neighbours.
-_MAYBE = re.compile(rf"[{re.escape(_ODD)}]|[\[({{<] ?(?:{_AT}|{_DOT}|@|\.) ?[\])}}>]", re.IGNORECASE)
-_SPELT = re.compile(rf"(?<![^\W_])(?:{_WORD})[ -](?:{_WORD})(?![^\W_])", re.IGNORECASE)
-_BARE = re.compile(rf" (?:{_DOT}) ", re.IGNORECASE)
+_MARKS = {"underscore": "_", "dash": "-", "hyphen": "-", "minus": "-", "plus": "+"}
+# Top-level labels that make an address of bare words; those that are common words of prose are left out.
+_TOP = set("com org net edu gov mil info biz io ai tv dev fr uk eu ch nl pt pl dk fi ie ca mx br au nz jp cn ru de es".split())
+# Words that open a phrase and no address.
+_NOT = set("the a an this that its der die das dem den le la les el los las un une ein eine".split())
+
+
+def _plain(c: str) -> str:
+    """What a character stands for: a letter it looks like, a digit's value, its compatibility form if that is ASCII, nothing if it is invisible."""
+    if c in _INVISIBLE:
+        return ""
+    if c in _LOOKALIKE:
+        return _LOOKALIKE[c]
+    if (d := unicodedata.decimal(c, None)) is not None:
+        return str(d)
+    new = unicodedata.normalize("NFKC", c)
+    return "." if new == "。" else new if new.isascii() and new.strip() == new else c
+
+
+#: Characters that stand for others, by that rule.
+_ODD = {c: p for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x1FC00)]) if (p := _plain(c)) != c}
+_ATOM, _LABEL = r"[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+", r"[A-Za-z0-9-]{1,63}+"
+_GAP = rf"(?:\.| (?:{_DOT}) )"
+_BARE_DOTS = [f" {w} " for w in _DOT.split("|")]
+# the cascade: each step rewrites the result of the one before; patterns are for lower-cased text
+_UNITS = "(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in _DIGITS if w[0] == c), key=len, reverse=True))})" for c in sorted({w[0] for w in _DIGITS})) + ")"
+_SPELT = re.compile(rf"(?:{_UNITS}|[0-9])(?:[ .-]?(?:{_UNITS}|[0-9]))++(?![^\W\d_])")
+_UNIT, _APART, _TOUCHING = re.compile(_UNITS), re.compile("[ .-]"), re.compile(r"[0-9][a-zéü]{2}|[a-zéü]{2}[0-9]")
+_BRACKETS = re.compile(rf"[ ]?[\[({{<][ ]?(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.)|(?P<mark>{'|'.join(_MARKS)}|[_+-]))[ ]?[\])}}>][ ]?")
+_ADDRESS = re.compile(rf"(?<![\w.@%+-])(?:{_ATOM})(?: (?:{_DOT}|{'|'.join(_MARKS)}) (?:{_ATOM})){{0,4}}(?P<at> (?:{_AT}) |@)(?:{_LABEL})(?:{_GAP}{_LABEL}){{1,6}}(?![\w-])")
+_NUMBERS = re.compile(rf"(?<![\w.])[0-9]{{1,3}}+(?:(?: (?:{_DOT}) |\.)[0-9]{{1,3}}+){{3}}(?![\w])")
+_STEP = re.compile(rf"(?P<at> (?:{_AT}) )|(?P<dot> (?:{_DOT}) )|(?P<mark> (?:{'|'.join(_MARKS)}) )")
 _HAS_DOTTED = re.compile(r"[0-9]\.[0-9]")
 _HAS_DIGITS = re.compile(r"[0-9][ -]?[0-9]")
 
@@ -100,60 +116,95 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _normalise(text: str) -> tuple[str, list[int], list[int], list[int]] | None:
-    """The rewritten text and its pieces: start in it, start and end in the source. None if no rule applies."""
-    if not (_MAYBE.search(text) or _BARE.search(text) or _SPELT.search(text)):
-        return None
-    parts, out, src, end, n, past = [], [], [], [], 0, 0
-
-    def put(piece: str, a: int, b: int) -> None:
-        nonlocal n
-        if piece:
-            parts.append(piece)
-            out.append(n)
-            src.append(a)
-            end.append(b)
-            n += len(piece)
-
-    for m in _RULES.finditer(text):
-        a, b = m.span()
-        kind = m.lastgroup
-        put(text[past:a], past, a)
-        if kind == "odd":
-            c = m[0]
-            put("" if c in _INVISIBLE else _LOOKALIKE.get(c) or ("." if c in "。｡" else unicodedata.normalize("NFKC", c)), a, b)
-        elif kind in ("at", "plain"):
-            put("@", a, b)
-        elif kind in ("dot", "bare"):
-            put(".", a, b)
-        else:
-            at = a
-            for w in re.split("[ -]", m[0]):
-                put(_DIGITS.get(w.lower(), w), at, at + len(w))
-                at += len(w) + 1
-        past = b
-    put(text[past:], past, len(text))
-    return "".join(parts), out, src, end
+class _Step:
+    """A rewritten text and the pieces that it is made of: start in it, start and end in the text before."""
+
+    def __init__(self, before: str, edits: list[tuple[int, int, str]]):
+        parts, self.out, self.src, self.end, n, past = [], [], [], [], 0, 0
+        for a, b, new in [*edits, (len(before), len(before), "")]:
+            for piece, s, e in ((before[past:a], past, a), (new, a, b)):
+                if piece:
+                    parts.append(piece)
+                    self.out.append(n)
+                    self.src.append(s)
+                    self.end.append(e)
+                    n += len(piece)
+            past = b
+        self.text = "".join(parts)
+        self.copied = [e - s == o2 - o for o, o2, s, e in zip(self.out, [*self.out[1:], n], self.src, self.end, strict=True)]
+
+    def back(self, p: int, last: bool) -> int:
+        """Where a character begins (or ends, for the last of a span) in the text before."""
+        k = bisect_right(self.out, p) - 1
+        if self.copied[k]:
+            return self.src[k] + p - self.out[k] + last
+        return self.end[k] if last else self.src[k]
+
+
+def _lower(text: str) -> str:
+    """Lower-cased, character by character."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _odd(text: str) -> list[tuple[int, int, str]]:
+    some = () if text.isascii() else sorted(_ODD.keys() & set(text))
+    return [(m.start(), m.end(), _ODD[m[0]]) for m in re.finditer(f"[{re.escape(''.join(some))}]", text)] if some else []
+
+
+def _spelt(text: str) -> list[tuple[int, int, str]]:
+    """Digits as words: two of them in a run, or one that touches a numeral."""
+    out, low = [], _lower(text)
+    if _DIGITS.keys().isdisjoint(_APART.split(low)) and not _TOUCHING.search(low):
+        return out
+    for m in _SPELT.finditer(low):
+        a = m.start()
+        if not m[0].isdigit() and not (a and text[a - 1].isalpha()):
+            units = list(_UNIT.finditer(m[0]))
+            if len(units) > 1 or _TOUCHING.search(m[0]):
+                out += [(a + u.start(), a + u.end(), _DIGITS[u[0]]) for u in units]
+    return out
+
+
+def _brackets(text: str) -> list[tuple[int, int, str]]:
+    sign = lambda m: "@" if m["at"] else "." if m["dot"] else _MARKS.get(m["mark"], m["mark"])
+    return [(m.start(), m.end(), sign(m)) for m in _BRACKETS.finditer(_lower(text))]
+
+
+def _bare(text: str) -> list[tuple[int, int, str]]:
+    """Written marks of addresses and numbers. An address of words needs a known top-level label and a written stop."""
+    low = _lower(text)
+    if not any(w in low for w in _BARE_DOTS):
+        return []
+    out = []
+    for m in _ADDRESS.finditer(low):
+        # labels beyond the last known one are the sentence's, not the address's
+        own, at = m[0], m.end("at") - m.start()
+        tops = [k.end() for k in re.finditer(rf"(?<=[. ]){_LABEL}", own[at:]) if k[0] in _TOP and k.start()]
+        prose = m["at"] != "@" and re.match(_LABEL, own[at:])[0] in _NOT
+        if tops and not prose and any(w in own for w in _BARE_DOTS):
+            out += [(m.start() + s.start(), m.start() + s.end(), "@" if s["at"] else "." if s["dot"] else _MARKS[s[0].strip()]) for s in _STEP.finditer(own[: at + tops[-1]])]
+    for m in _NUMBERS.finditer(low):
+        out += [(m.start() + s.start(), m.start() + s.end(), ".") for s in _STEP.finditer(m[0])]
+    out.sort()
+    return [x for k, x in enumerate(out) if not k or x[0] >= out[k - 1][1]]
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, by start and kind."""
     text = text or ""
-    own = base(text)
-    if not (found := _normalise(text)):
+    own, steps, now = base(text), [], text
+    for rule in (_odd, _spelt, _brackets, _bare):
+        if edits := rule(now):
+            steps.append(_Step(now, edits))
+            now = steps[-1].text
+    if not steps:
         return own, own
-    plain, out, src, end = found
-    copied = [e - s == (o2 - o) for o, o2, s, e in zip(out, [*out[1:], len(plain)], src, end, strict=True)]
-
-    def back(p: int, last: bool) -> int:
-        k = bisect_right(out, p) - 1
-        if copied[k]:
-            return src[k] + p - out[k] + last
-        return end[k] if last else src[k]
-
     extra = []
-    for a, kind, b in base(plain):
-        s, e = back(a, False), back(b - 1, True)
+    for a, kind, b in base(now):
+        s, e = a, b
+        for step in reversed(steps):
+            s, e = step.back(s, False), step.back(e - 1, True)
         if not any(k == kind and x <= s and e <= y for x, k, y in own):
             extra.append((s, kind, e))
     return own, sorted(set(own + extra))

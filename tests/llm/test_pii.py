@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -72,3 +73,42 @@ def test_written_dots_before_digits(text, kind, hidden):
 def test_written_dots_in_numbers_are_left_alone():
     for t in ("3 point 5 of 10", "look at example.com", "version 1 dot 2 dot 3", "300 dot 1 dot 1 dot 1"):
         assert pii.spans(t) == ([], [])
+
+
+def test_disguises_compose_and_prose_stays():
+    for text, kind, shown in [
+        ("write john (\u0430t) example (d\u043et) com now", "email", "john (\u0430t) example (d\u043et) com"),
+        ("\U0001d423\U0001d428\U0001d421\U0001d427@example.com", "email", "\U0001d423\U0001d428\U0001d421\U0001d427@example.com"),
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host \u0661\u0669\u0662.168.0.1 is up", "ip", "\u0661\u0669\u0662.168.0.1"),
+        ("card four5three9 1488 0343 6467", "card", "four5three9 1488 0343 6467"),
+        ("mail john underscore doe at site dot org please", "email", "john underscore doe at site dot org"),
+        ("mail a dot b [at] mail dot site dot de.", "email", "a dot b [at] mail dot site dot de"),
+        ("ring +one two three 456 789 zero", "phone", "+one two three 456 789 zero"),
+    ]:
+        got = [(pii.KINDS[k], text[a:b]) for a, k, b in pii.spans(text)[1]]
+        assert (kind, shown) in got, (text, got)
+    for text in ("lives at the point of it", "she looked at one point and at two points", "meet at the dot com office", "in at punkt drei", "version 1 dot 2 dot 3"):
+        assert pii.spans(text)[1] == [], text
+
+
+def test_generated_disguises_are_found_and_clean_prose_is_left():
+    rnd, found, wrong = random.Random(3), 0, 0
+    words = "lives point of look house at the dot under plus minus one two market street seven letters at noon".split()
+    look = {"a": "\u0430", "e": "\u0435", "o": "\u043e", "c": "\u0441", "p": "\u0440"}
+    for k in range(400):
+        name, site, top = ("".join(rnd.choice("acehopst") for _ in range(rnd.randint(3, 8))) for _ in range(3))
+        top = rnd.choice(["com", "org", "de", "fr"])
+        at, dot = rnd.choice([(" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " dot "), ("@", " dot "), (" {at} ", " (dot) "), ("@", ".")])
+        hidden = f"{name}{at}{site}{dot}{top}"
+        if (at, dot) == ("@", ".") or rnd.random() < 0.3:
+            hidden = "".join(look.get(c, c) if i % 2 or at == "@" else c for i, c in enumerate(hidden))
+        lead = rnd.choice(["write to ", "mail: ", "contact "])
+        text = lead + hidden + ", " + " ".join(rnd.choices(words, k=8))
+        want = (len(lead), 0, len(lead) + len(hidden))
+        got = pii.spans(text)[1]
+        found += any(k == 0 and a <= want[0] + 6 and b == want[2] for a, k, b in got)
+        wrong += len([x for x in got if x[2] > want[2]])
+        assert not [x for x in got if x[2] > want[2]], (text, got)
+        wrong += len(pii.spans(" ".join(rnd.choices(words, k=40)))[1])
+    assert found >= 380 and wrong == 0
