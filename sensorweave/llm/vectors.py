@@ -12,7 +12,7 @@ links a task reports only a spanning forest, so large groups are never spelled o
 pairs; components of the forests are the components of all links. A vector's links all lie in its component, so
 they are counted there by brute force in blocks, and a link counts for both of its ends.
 
-Null, zero, empty vectors and those with null or non-finite components, and rows without label or
+Ids are integers (others are refused). Null, zero, empty vectors and those with null or non-finite components, and rows without label or
 id link with nothing; vectors of different lengths don't link. Rows with one id are vectors of their own
 that share a component.
 """
@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import components, cut
+from .common import components, cut, hot_join, integral
 
 COSINE = 0.98
-#: Vectors in a shard's graph and in a block of queries, about.
-SHARD, BLOCK = 32768, 2048
+#: Vectors in a shard's graph, in a block of queries to it, and in a block whose links are counted, about; numbers in a shard's vectors at most.
+#: A graph goes to every block of queries, so blocks are about as large as graphs and neither side is copied more often than the other.
+SHARD, QUERIES, BLOCK, NUMBERS = 32768, 16384, 2048, 1 << 23
 #: Links of a node (twice as many on the lowest layer), beams while building and querying, audited vectors, recall to reach.
 LINKS, BUILD_BEAM, BEAM, AUDIT, RECALL = 8, 32, 24, 48, 0.99
 
@@ -200,12 +201,13 @@ def _build(pdf: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
     v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
     graph = Graph(_unit(v).astype(np.float32))
     rep = pdf["rep"].to_numpy()
-    state = {"graph": graph, "raw": v, "rep": rep}
+    state = {"graph": graph, "raw": v, "rep": rep}  # unit vectors are made anew of the raw ones
     sample = sample.sort_values("rep")
     asked = sample["rep"].to_numpy()
     at = np.minimum(np.searchsorted(rep, asked), len(rep) - 1)
     queries = _unit(np.stack(sample["v"].to_numpy()).astype(np.float64)).astype(np.float32) if len(sample) else graph.v[:0]
     graph.width = audited(graph, COSINE - 1e-4, queries=queries, own=np.where(rep[at] == asked, at, -1))
+    graph.v = None
     return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "graph": [pickle.dumps(state)]})
 
 
@@ -216,6 +218,7 @@ def _query(queries: pd.DataFrame, graphs: pd.DataFrame, least: float) -> pd.Data
         return pd.DataFrame({c: pd.Series(dtype="Int64") for c in columns})
     state = pickle.loads(graphs["graph"].iloc[0])
     graph, raw, rep = state["graph"], _unit(state["raw"]), state["rep"]
+    graph.v = raw.astype(np.float32)
     ids, v = queries["rep"].to_numpy(), _unit(np.stack(queries["v"].to_numpy()).astype(np.float64))
     q32, slack = v.astype(np.float32), least - 1e-4
     top: dict[int, int] = {}
@@ -274,25 +277,29 @@ def _links(reps: DataFrame, comp: DataFrame, least: float, block: int) -> DataFr
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = COSINE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = COSINE, shard: int = SHARD, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """A row for each vector: vec_id, n_links, component_id, kept."""
     ship(vectors.sparkSession)
+    integral(vectors, vec_id)
     own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
     fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     own = own.withColumn("ok", F.coalesce(fit & F.forall("v", finite) & F.exists("v", lambda x: x != 0), F.lit(False)))
     own = own.withColumns({"k1": F.xxhash64("label", "v"), "k2": F.xxhash64(F.lit(1), "label", "v")})
     reps = cut(own.where("ok").groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).withColumn("dim", F.size("v")))
-    sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = reps.join(cut(sizes), ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int"))
+    most = lambda n: F.greatest(F.lit(1), F.least(F.lit(n), F.floor(F.lit(NUMBERS) / F.col("dim"))))
+    parts = lambda n: F.ceil(F.count(F.lit(1)) / F.first(most(n))).cast("int")
+    # sample: one of so many vectors is asked in audits
+    sizes = cut(reps.groupBy("label", "dim").agg(parts(shard).alias("shards"), parts(queries).alias("blocks"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("sample"), F.count(F.lit(1)).alias("rows")))
+    dealt = hot_join(reps, sizes.drop("rows"), ["label", "dim"], sizes, "rows").withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int"))
     every = F.sequence(F.lit(0), F.col("shards") - 1)
-    sample = dealt.where(F.pmod(F.xxhash64(F.lit(13), "rep"), "blocks") == 0).select("label", "dim", F.explode(every).alias("shard"), "rep", "v").toDF("label", "dim", "shard", "rep", "v")
+    sample = dealt.where(F.pmod(F.xxhash64(F.lit(13), "rep"), "sample") == 0).select("label", "dim", F.explode(every).alias("shard"), "rep", "v").toDF("label", "dim", "shard", "rep", "v")
     own_shard = dealt.select("label", "dim", "shard", "rep", "v").toDF("label", "dim", "shard", "rep", "v").groupBy("label", "dim", "shard")
     graphs = cut(own_shard.cogroup(sample.groupBy("label", "dim", "shard")).applyInPandas(_build, "label string, dim int, shard int, graph binary"))
-    queries = dealt.select("label", "dim", F.explode(every).alias("shard"), F.pmod(F.xxhash64(F.lit(5), "rep"), "blocks").cast("int").alias("block"), "rep", "v")
+    asked = dealt.select("label", "dim", F.explode(every).alias("shard"), F.pmod(F.xxhash64(F.lit(5), "rep"), "blocks").cast("int").alias("block"), "rep", "v")
     sent = graphs.join(sizes, ["label", "dim"]).select("label", "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "graph")
     key = ["label", "dim", "shard", "block"]
-    found = cut(queries.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(lambda q, g: _query(q, g, least), "a long, b long"))
+    found = cut(asked.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(lambda q, g: _query(q, g, least), "a long, b long"))
     comp = cut(components(found))
     links = _links(reps, comp, least, block)
     known = reps.select("k1", "k2", F.col("rep").alias("node"), "n").join(comp, "node", "left").join(links, "node", "left")
