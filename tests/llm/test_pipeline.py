@@ -60,3 +60,20 @@ def test_stages_take_effect(spark, tmp_path):
     mixed = sum(len((r.text or "").split()) for r in kept["mixing"])
     assert 0.3 * total < mixed <= total * mixing.BUDGET + 1
     assert "epoch" in docs.columns
+
+
+def test_empty_repeated_null_and_clashing_columns(spark, tmp_path):
+    _write(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "words of no id", None, "src9", 3), (7000, "words of one id", "en", "src1", 15), (7000, "words of one id", "en", "src1", 15), (7001, "tiny " * 30000, "en", None, 5)], docs.schema)
+    extra = lambda df: df.selectExpr("*", "1 as sw_id", "2 as edge", "3 as host", "4 as epoch_", "5 as sw_k1")
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    for rows, folder in ((extra(odd), f"{tmp_path}/none"), (extra(odd.limit(0)), f"{tmp_path}/none"), (extra(odd.limit(0)), str(tmp_path))):
+        size = rows.count()
+        for name, stage in cp.STAGES:
+            rows, names = cp.common.cut(stage(spark, rows, folder)), rows.columns
+            assert rows.columns[: len(names)] == names
+            if name != "mixing":
+                assert rows.count() == (4 if size and name != "toxicity" else size)
+        assert size == 0 or {r.doc_id for r in rows.collect()} <= {None, 7000, 7001}
