@@ -85,7 +85,7 @@ def phase_hour(a: Column, b: Column) -> Column:
 
 def thin(n: Column) -> Column:
     """How far a count carries."""
-    return F.when(n >= 30, "ok").when(n >= 8, "thin").otherwise("too few")
+    return F.when(n >= 30, "interpretable").when(n >= 8, "thin").otherwise("too thin")
 
 
 def sigma(value: Column, a: float, b: float, least: float) -> Column:

@@ -98,7 +98,7 @@ def cloud_bins(pairs_: DataFrame, bins: int = 15) -> DataFrame:
 
 
 def fit_variogram(km: np.ndarray, gamma: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
-    """Nugget in [0, 1], sill in [0.001, 3] and range in [3, 300] of least weighted squares; separable: for a range the rest is linear."""
+    """Nugget in [0, 3], sill in [0.001, 10] and range in [1, 300] of least weighted squares; separable: for a range the rest is linear."""
 
     def best(reach: float) -> tuple[float, float, float]:
         f = 1 - np.exp(-3 * km / reach)
@@ -107,15 +107,15 @@ def fit_variogram(km: np.ndarray, gamma: np.ndarray, n: np.ndarray) -> tuple[flo
         sy, sfy = (n * gamma).sum(), (n * f * gamma).sum()
         det = sw * sff - sf * sf
         tries = [((sff * sy - sf * sfy) / det, (sw * sfy - sf * sy) / det)] if det > 1e-12 else []
-        tries += [(c, (sfy - c * sf) / max(sff, 1e-12)) for c in (0.0, 1.0)] + [((sy - s * sf) / sw, s) for s in (1e-3, 3.0)]
+        tries += [(c, (sfy - c * sf) / max(sff, 1e-12)) for c in (0.0, 3.0)] + [((sy - s * sf) / sw, s) for s in (1e-3, 10.0)]
         for c, s in tries:
-            c, s = min(max(c, 0.0), 1.0), min(max(s, 1e-3), 3.0)
+            c, s = min(max(c, 0.0), 3.0), min(max(s, 1e-3), 10.0)
             e = (n * (c + s * f - gamma) ** 2).sum()
             if top is None or e < top[0]:
                 top = (e, c, s)
         return top
 
-    grid = np.geomspace(3, 300, 120)
+    grid = np.geomspace(1, 300, 120)
     for _ in range(4):
         at = min(range(len(grid)), key=lambda i: best(grid[i])[0])
         grid = np.geomspace(grid[max(0, at - 1)], grid[min(len(grid) - 1, at + 1)], 40)

@@ -89,9 +89,10 @@ def circular_linear(rows: DataFrame, hour: str, x: str) -> DataFrame:
 
 def without_each(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
     """Pearson correlation with each row left out, from sums less its own."""
-    w = W.partitionBy()
-    s = {n: F.sum(e).over(w) - e for n, e in {"sx": F.col(x), "sy": F.col(y), "sxx": F.col(x) * F.col(x), "syy": F.col(y) * F.col(y), "sxy": F.col(x) * F.col(y)}.items()}
-    r = rows.withColumns(s | {"m": F.count(F.lit(1)).over(w) - 1})
+    parts = {"sx": F.col(x), "sy": F.col(y), "sxx": F.col(x) * F.col(x), "syy": F.col(y) * F.col(y), "sxy": F.col(x) * F.col(y)}
+    total = rows.agg(F.count(F.lit(1)).alias("m"), *(F.sum(e).alias(n) for n, e in parts.items()))
+    r = rows.select(key, *(e.alias(f"own_{n}") for n, e in parts.items())).crossJoin(F.broadcast(total))
+    r = r.withColumns({n: F.col(n) - F.col(f"own_{n}") for n in parts} | {"m": F.col("m") - 1})
     top = F.col("m") * F.col("sxy") - F.col("sx") * F.col("sy")
     den = (F.col("m") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("m") * F.col("syy") - F.col("sy") * F.col("sy"))
     return r.select(key, F.round(top / F.nullif(F.sqrt(F.greatest(den, F.lit(0.0))), F.lit(0.0)), 6).alias("r"))

@@ -59,14 +59,14 @@ def top_hours(series: DataFrame, per_cent: float) -> DataFrame:
 
 
 def spatial_share(means: DataFrame) -> DataFrame:
-    """Variance between stations over windows: raw share and intraclass correlation with unequal counts."""
+    """Variance between stations over windows: variance of station means over that of all values, and intraclass correlation with unequal counts."""
     w = means.withColumn("x", F.col("mean") - F.avg("mean").over(W.partitionBy("win")))
     g = w.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    t = g.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("b"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    t = g.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("b"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.var_pop("m").alias("vm"))
     ssb, ssw = F.col("b") - F.col("s") * F.col("s") / F.col("t"), F.col("ss") - F.col("b")
     msb, msw = ssb / (F.col("k") - 1), ssw / F.nullif(F.col("t") - F.col("k"), F.lit(0))
     n0 = (F.col("t") - F.col("nn") / F.col("t")) / (F.col("k") - 1)
-    out = t.where("k > 1").select(F.col("k").alias("stations"), F.round(ssb / F.nullif(ssb + ssw, F.lit(0.0)), 6).alias("share"), F.round((msb - msw) / F.nullif(msb + (n0 - 1) * msw, F.lit(0.0)), 6).alias("icc"))
+    out = t.where("k > 1").select(F.col("k").alias("stations"), F.round(F.col("vm") / F.nullif((F.col("ss") - F.col("s") * F.col("s") / F.col("t")) / F.col("t"), F.lit(0.0)), 6).alias("share"), F.round((msb - msw) / F.nullif(msb + (n0 - 1) * msw, F.lit(0.0)), 6).alias("icc"))
     return out
 
 

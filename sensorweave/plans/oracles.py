@@ -75,7 +75,7 @@ ORACLES: dict[str, str] = {
     "dedupe_hours": _q("select count(*) as cells, (sum(n) - count(*))::bigint as duplicates from (select count(*) as n from raw group by station_id, date_trunc('hour', ts))"),
     "hourly_panel": _q("select station_id, ts, value from panel"),
     "lone_spike_spatial": _q("select t.station_id, t.ts, any_value(t.value) as value, round(median(o.value), 6) as others from panel t join panel o on o.ts = t.ts and o.station_id <> t.station_id where t.value > 150 group by 1, 2 having median(o.value) < 50"),
-    "lone_spike_temporal": _q("select t.station_id, t.ts, t.value, round(median(o.value), 6) as near_median from panel t join panel o on o.station_id = t.station_id and o.ts <> t.ts and abs(epoch(o.ts) - epoch(t.ts)) <= 10800 join (select station_id, quantile_cont(value, 0.9) as q from panel group by 1) using (station_id) group by t.station_id, t.ts, t.value, q having count(*) >= 3 and t.value > 1.5 * median(o.value) and t.value > q"),
+    "lone_spike_temporal": _q("select t.station_id, t.ts, t.value, round(median(o.value), 6) as near_median from panel t join panel o on o.station_id = t.station_id and o.ts <> t.ts and abs(epoch(o.ts) - epoch(t.ts)) <= 10800 join (select station_id, quantile_cont(value, 0.9) as q from panel group by 1) z on z.station_id = t.station_id group by t.station_id, t.ts, t.value, q having count(*) >= 3 and t.value > 1.5 * median(o.value) and t.value > q"),
     "stuck_runs": _q("select station_id, ts, value, run_len from runs where run_len >= 3", _RUNS),
     "stuck_cost": _q("select station_id, count(*) filter (run_len >= 3) as masked_h, max(run_len) filter (run_len >= 3) as longest, count(*) as of_obs, round(100.0::double * count(*) filter (run_len >= 3) / count(*), 6) as pct from runs group by 1 having count(*) filter (run_len >= 3) > 0", _RUNS),
     "saturation_values": _q("select value, count(*) as n_stations from (select station_id, max(value) as value from coarse group by 1) group by 1 having count(*) >= 3", _COARSE),
@@ -107,14 +107,14 @@ ORACLES: dict[str, str] = {
     "top_pct_hours": _q("select ts, mean from c where mean >= (select quantile_cont(mean, 0.95) from c)", "c as (select ts, round(avg(value) + 1e-9, 6) as mean from panel group by ts)"),
     "sustained_spells": _q("select * from s where n_hours >= 5", _SESS.format(gap=3, least=150)),
     "sliding_windows": "with w as (select l_quantity as v, timestamp '1970-01-01' + to_days((15 * (floor(epoch(l_shipdate) / 86400 / 15) - k))::int) as start_ts from lineitem, (select unnest(range(0, 12)) as k)) select start_ts, round(avg(v), 6) as mean, count(*) as n from w group by 1",
-    "icc_spatial_share": _q("select k as stations, round(ssb / nullif(ssb + ssw, 0), 6) as share, round((ssb / (k - 1) - ssw / (t - k)) / nullif(ssb / (k - 1) + (n0 - 1) * ssw / (t - k), 0), 6) as icc from v", "gg as (select station_id, count(*) as n, avg(x) as m, sum(x) as s, sum(x * x) as ss from cx group by 1)", "v as (select count(*) as k, sum(n) as t, sum(n * m * m) - pow(sum(s), 2) / sum(n) as ssb, sum(ss) - sum(n * m * m) as ssw, (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) as n0 from gg having count(*) > 1)"),
+    "icc_spatial_share": _q("select k as stations, round((select var_pop(m) from gg) / nullif((select var_pop(x) from cx), 0), 6) as share, round((ssb / (k - 1) - ssw / (t - k)) / nullif(ssb / (k - 1) + (n0 - 1) * ssw / (t - k), 0), 6) as icc from v", "gg as (select station_id, count(*) as n, avg(x) as m, sum(x) as s, sum(x * x) as ss from cx group by 1)", "v as (select count(*) as k, sum(n) as t, sum(n * m * m) - pow(sum(s), 2) / sum(n) as ssb, sum(ss) - sum(n * m * m) as ssw, (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) as n0 from gg having count(*) > 1)"),
     "split_half": _q("select n, round(r, 6) as r, round(2 * r / nullif(1 + r, 0), 6) as reliability from v", "h as (select station_id, avg(x) filter (win % 2 = 0) as e, avg(x) filter (win % 2 <> 0) as o from cx group by 1)", f"v as (select count(*) as n, {_R.format('e', 'o')} as r from h where e is not null and o is not null)"),
     "window_pair_reliability": _q(f"select p.win as a, q.win as b, round({_R.format('p.x', 'q.x')}, 6) as r, count(*) as n from cx p join cx q on p.station_id = q.station_id and p.win + 7 <= q.win group by 1, 2 having count(*) >= 10"),
     "sector_class": _q("select case when value / 10 < 1 then 'unclassified' when event_id * 37 % 360 between 225 and 315 then 'onshore' when event_id * 37 % 360 between 45 and 135 then 'offshore' else 'unclassified' end as sector, count(*) as n from raw group by 1"),
     "aqi_class": _q(_aqi()),
     "aqi_inverse": _inverse(),
     "split_name": "select p_partkey, trim(regexp_extract(x, '^(.*) - (.*)$', 1)) as site, trim(regexp_extract(x, '^(.*) - (.*)$', 2)) as agency from (select p_partkey, p_name || ' - ' || p_brand as x from part)",
-    "clock_labels": "select h as hour, ((h + 11) % 12 + 1)::varchar || case when h < 12 then ' am' else ' pm' end as label, case when 2 * h >= 30 then 'ok' when 2 * h >= 8 then 'thin' else 'too few' end as thin from (select unnest(range(24)) as h)",
+    "clock_labels": "select h as hour, ((h + 11) % 12 + 1)::varchar || case when h < 12 then ' am' else ' pm' end as label, case when 2 * h >= 30 then 'interpretable' when 2 * h >= 8 then 'thin' else 'too thin' end as thin from (select unnest(range(24)) as h)",
     "json_property": "select try_cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events group by 1",
     "nearest_station": _q("select id, case when m.km <= 2 then m.s end as station_id, case when m.km <= 2 then m.km end as km from (select id, min({'km': round(" + _KM.format(a="q.lat", b="q.lon", c="s.lat", d="s.lon") + ", 6), 's': s.station_id}) as m from q, stations s group by id)", "q as (select c_custkey as id, 18.85::double + 0.55::double * (c_custkey * 31 % 997) / 997.0::double as lat, 72.70::double + 0.5::double * (c_custkey * 17 % 991) / 991.0::double as lon from customer)"),
     "radius_count": _q("select s.id, count(p.id) as n from sites s left join points p on pow(s.x - p.x, 2) + pow(s.y - p.y, 2) <= 250000 group by s.id"),

@@ -1,6 +1,8 @@
 """Named queries and their oracle SQL."""
 
-from .oracles import ORACLES
-from .queries import QUERIES
+from . import oracles, queries, reports
+
+QUERIES = queries.QUERIES | reports.QUERIES
+ORACLES = oracles.ORACLES | reports.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
