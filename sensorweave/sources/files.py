@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +50,29 @@ def write_report(df: DataFrame, path: str, digits: int = 5) -> None:
 def markdown(df: DataFrame) -> DataFrame:
     """Rows of a markdown table in df's order of columns."""
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)), F.lit(" |")).alias("line"))
+
+
+def missing(spark: SparkSession, path: str, ids: DataFrame, key: str) -> DataFrame:
+    """The ids that a partitioned table has no rows of, so that an ingest that stopped goes on with them alone."""
+    try:
+        done = spark.read.parquet(path).select(key).distinct()
+    except AnalysisException:
+        return ids
+    return ids.join(done, key, "left_anti")
+
+
+def write_mask(mask: DataFrame, path: str, cells: int) -> None:
+    """A mask's cells, one partition a resolution; other resolutions stay."""
+    write_partitioned(mask.withColumn("cells", F.lit(cells)), path, "cells")
+
+
+def write_card(row: DataFrame, path: str) -> None:
+    """One row as a JSON document."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A digest of a table's rows in any order, by which a cached artefact is known to be current."""
+    h = F.xxhash64(*df.columns).cast("decimal(38,0)")
+    n, s = df.agg(F.count(F.lit(1)), F.sum(h)).first()
+    return f"{n}-{s or 0}"

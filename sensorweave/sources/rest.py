@@ -1,7 +1,7 @@
 """Paged REST feeds as a Spark data source, with retries, windows that are halved when they fail, and replay from files.
 
 Registered as `sensor_rest`. Options: `pages` (a folder of recorded answers, for replay and tests) or
-`url` with `sensors` (comma-joined), `start` and `end`; a partition is a sensor (or a recorded file).
+`url` with `sensors` (comma-joined), `start`, `end` and `spacing` (seconds between calls); a partition is a sensor (or a recorded file).
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ PAGE, SHORTEST, ATTEMPTS, LONGEST_WAIT = 1000, timedelta(days=7), 4, 60.0
 
 
 class FeedError(RuntimeError):
-    """An answer that is none; `wait` is what the server asks for."""
+    """An answer that is none; `wait` is what the server asks for, `lasting` says that asking again won't help."""
 
-    def __init__(self, text: str, wait: float | None = None):
+    def __init__(self, text: str, wait: float | None = None, lasting: bool = False):
         super().__init__(text)
-        self.wait = wait
+        self.wait, self.lasting = wait, lasting
 
 
 def with_retries(call: Callable[[], dict], sleep: Callable[[float], None] = time.sleep) -> dict:
@@ -33,7 +33,7 @@ def with_retries(call: Callable[[], dict], sleep: Callable[[float], None] = time
         try:
             return call()
         except FeedError as e:
-            if k + 1 == ATTEMPTS:
+            if k + 1 == ATTEMPTS or e.lasting:
                 raise
             sleep(min(LONGEST_WAIT, e.wait if e.wait is not None else 2.0**k))
     raise AssertionError
@@ -50,6 +50,53 @@ def paged(fetch: Callable[[int], dict]) -> Iterator[dict]:
         page += 1
 
 
+def by_offset(fetch: Callable[[int, int], list[dict]], size: int = PAGE) -> Iterator[dict]:
+    """Records from offset 0 on, `size` at a time, up to the first short answer."""
+    at = 0
+    while rows := fetch(at, size):
+        yield from rows
+        if len(rows) < size:
+            return
+        at += size
+
+
+def located(fetch: Callable[[int], dict], box: tuple[float, float, float, float]) -> Iterator[tuple]:
+    """(id, name, lat, lon) of the paged locations within a box (lon, lat, lon, lat); the first of an id wins."""
+    seen = set()
+    for row in paged(fetch):
+        lat, lon = _at(row, "coordinates", "latitude"), _at(row, "coordinates", "longitude")
+        inside = lat is not None and lon is not None and box[1] <= lat <= box[3] and box[0] <= lon <= box[2]
+        if inside and row.get("id") not in seen:
+            seen.add(row.get("id"))
+            yield row.get("id"), row.get("name"), float(lat), float(lon)
+
+
+def within_budget(ids: list, fetch: Callable[[object], list], seconds: float, clock: Callable[[], float] = time.monotonic) -> tuple[list, list]:
+    """Rows of each id in turn, and the ids that the time did not reach or that failed."""
+    rows, left, end = [], [], clock() + seconds
+    for i in ids:
+        try:
+            if clock() >= end:
+                raise TimeoutError
+            rows += fetch(i)
+        except (FeedError, TimeoutError):
+            left.append(i)
+    return rows, left
+
+
+def spaced(fetch: Callable, seconds: float, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> Callable:
+    """fetch, never called sooner than `seconds` after its last call began."""
+    last: list[float] = []
+
+    def call(*args):
+        if last and (wait := last[0] + seconds - clock()) > 0:
+            sleep(wait)
+        last[:] = [clock()]
+        return fetch(*args)
+
+    return call
+
+
 def windowed(fetch: Callable[[datetime, datetime], list[dict]], start: datetime, end: datetime) -> list[dict]:
     """The span's rows; a failing span is halved until SHORTEST, hours that both halves have come once."""
     try:
@@ -67,18 +114,28 @@ def windowed(fetch: Callable[[datetime, datetime], list[dict]], start: datetime,
     return out
 
 
+def _at(row: dict, *path: str):
+    """What stands under a path of keys; None where it breaks off."""
+    for key in path:
+        row = row.get(key) if isinstance(row, dict) else None
+    return row
+
+
 def stamp(row: dict) -> str | None:
-    return (((row.get("period") or {}).get("datetimeFrom")) or {}).get("utc")
+    return _at(row, "period", "datetimeFrom", "utc")
 
 
 def parsed(sensor: int, row: dict) -> tuple | None:
-    """A reading, or None without a time."""
-    at = stamp(row)
-    if at is None:
+    """A reading; None without a time or with one that can't be read. A value that is no number is null."""
+    try:
+        ts = datetime.fromisoformat(stamp(row) or "")
+    except ValueError:
         return None
-    value = row.get("value")
-    flags = (row.get("flagInfo") or {}).get("hasFlags")
-    return sensor, datetime.fromisoformat(at.replace("Z", "+00:00")), None if value is None else float(value), bool(flags)
+    try:
+        value = float(row["value"])
+    except (KeyError, TypeError, ValueError):
+        value = None
+    return sensor, ts, value, _at(row, "flagInfo", "hasFlags") is True
 
 
 class Part(InputPartition):
@@ -116,11 +173,12 @@ class SensorReader(DataSourceReader):
                 with urlopen(Request(f"{self.options['url']}/sensors/{sensor}/hours?{query}", headers={"X-API-Key": self.options.get("key", "")}), timeout=30) as f:
                     return json.load(f)
             except HTTPError as e:
-                raise FeedError(str(e), float(e.headers.get("x-ratelimit-reset", 1)) if e.code == 429 else None) from e
+                raise FeedError(str(e), float(e.headers.get("x-ratelimit-reset", 1)) if e.code == 429 else None, 400 <= e.code < 500 and e.code not in (408, 429)) from e
             except (URLError, TimeoutError) as e:
                 raise FeedError(str(e)) from e
 
-        return list(paged(lambda page: with_retries(lambda: call(page))))
+        one = spaced(call, float(self.options.get("spacing", 0)))
+        return list(paged(lambda page: with_retries(lambda: one(page))))
 
 
 class SensorSource(DataSource):

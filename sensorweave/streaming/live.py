@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -68,3 +68,14 @@ def stuck_alarms(stream: DataFrame, least: int = 24) -> DataFrame:
     s = timed(stream).select("station_id", "value", F.floor(F.unix_timestamp("ts") / 3600).cast("long").alias("eh"))
     out = s.groupBy("station_id").applyInPandasWithState(step, "station_id long, eh long, value double, run long", "value double, hour long, run long", "append", GroupStateTimeout.NoTimeout)
     return out.select("station_id", F.timestamp_seconds(F.col("eh") * 3600).alias("ts"), "value", "run")
+
+
+def fresh(readings: DataFrame, now: Column, hours: int = 6) -> DataFrame:
+    """(station_id, newest, ok): whether each station's newest reading is at most so old."""
+    newest = F.max("ts")
+    return readings.groupBy("station_id").agg(newest.alias("newest"), (newest >= now - F.make_dt_interval(hours=F.lit(hours))).alias("ok"))
+
+
+def every(stream: DataFrame, minutes: int = 15):
+    """A writer that starts a batch every so many minutes."""
+    return stream.writeStream.trigger(processingTime=f"{minutes} minutes")

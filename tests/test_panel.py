@@ -17,24 +17,24 @@ def panel(spark, series, start=T0):
 
 
 def test_run_lengths(spark):
-    one = cleaning.runs(panel(spark, {1: [41, 41, 41, 50, 50]})).orderBy("ts")
-    assert [r.run_len for r in one.collect()] == [3, 3, 3, 2, 2]
-    gap = cleaning.runs(panel(spark, {1: {0: 41, 1: 41, 100: 41, 101: 41}}))
-    assert {r.run_len for r in gap.collect()} == {2}
+    one = cleaning.runs(panel(spark, {1: [12.5] * 4 + [63, 63, 7]})).orderBy("ts")
+    assert [r.run_len for r in one.collect()] == [4, 4, 4, 4, 2, 2, 1]
+    gap = cleaning.runs(panel(spark, {1: {0: 9, 1: 9, 2: 9, 60: 9, 61: 9}}))
+    assert sorted(r.run_len for r in gap.collect()) == [2, 2, 3, 3, 3]
     assert cleaning.stuck(panel(spark, {1: [7] * 24, 2: [7] * 23})).select("station_id").distinct().collect()[0][0] == 1
 
 
 def test_lone_spikes(spark):
     hit = lambda *v: [r.value for r in cleaning.lone_spikes(panel(spark, {i: [x] for i, x in enumerate(v)})).collect()]
-    assert hit(690, 23, 24, 22) == [690.0]
-    assert hit(690, 300, 280, 310) == [] and hit(690) == []
+    assert hit(212, 31, 18, 44, 27) == [212.0]
+    assert hit(212, 131, 118, 144, 127) == [] and hit(212) == []
 
 
 def test_sudden_spikes(spark):
-    base = [20 + (i * 7 % 5) for i in range(200)]
+    base = [33 + i * i % 6 for i in range(150)]
     one, plume = list(base), list(base)
-    one[100] = 400
-    plume[100:106] = [400, 401, 402, 403, 404, 405]
+    one[77] = 260
+    plume[70:77] = [255 + k for k in range(7)]
     assert cleaning.sudden_spikes(panel(spark, {1: one})).count() == 1
     assert cleaning.sudden_spikes(panel(spark, {1: plume})).count() == 0
 
@@ -61,8 +61,8 @@ def test_index_inverse(spark, aqi, want):
 
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert 0.060 < one(geo.haversine_km(F.lit(19.0627), F.lit(72.84614), F.lit(19.06321), F.lit(72.84563))) < 0.080
-    for name, want in (("Sion - Dharavi - MPCB", ("Sion - Dharavi", "MPCB")), ("Central", ("Central", "")), ("  Worli  ", ("Worli", ""))):
+    assert one(geo.haversine_km(F.lit(0.0), F.lit(10.0), F.lit(0.0), F.lit(11.0))) == pytest.approx(111.195, abs=0.01)
+    for name, want in (("North - Gate - ABC", ("North - Gate", "ABC")), ("Harbour", ("Harbour", "")), ("  Mill  ", ("Mill", ""))):
         assert tuple(spark.range(1).select(*indices.site_and_agency(F.lit(name))).first()) == want
     for d, s, want in ((270, 3, "onshore"), (50, 3, "offshore"), (180, 3, "unclassified"), (270, 0.5, "unclassified"), (None, 3, "unclassified")):
         assert one(indices.wind_sector(F.lit(d).cast("double"), F.lit(float(s)))) == want
@@ -117,6 +117,7 @@ def test_interpolation_invariants(spark):
     km = np.linspace(1, 40, 15)
     got = interpolation.fit_variogram(km, 0.3 + 0.7 * (1 - np.exp(-3 * km / 20)), np.ones(15))
     assert got == pytest.approx((0.3, 0.7, 20), rel=0.05)
+    assert interpolation.fit_variogram(km, 1.6 + 2.5 * (1 - np.exp(-3 * km / 2)), np.ones(15)) == pytest.approx((1.6, 2.5, 2), rel=0.1)
 
 
 def test_rank_tests(spark):
@@ -157,3 +158,33 @@ def test_correlation_power_has_all_its_trials(spark):
     from sensorweave.plans import queries
 
     assert queries.correlation_power(spark, "").collect() == validation.correlation_power(spark, 0.4, 35, 2000).collect() != validation.correlation_power(spark, 0.4, 35, 400).collect()
+
+
+def test_greedy_deletion_equals_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    from sensorweave.operators import reports
+
+    rnd = random.Random(5)
+    rows = [(i, float(x := rnd.gauss(0, 1)), x + rnd.gauss(0, 1)) for i in range(12)]
+    left, want = dict((i, (x, y)) for i, x, y in rows), []
+    for _ in range(4):
+        without = {i: np.corrcoef(np.array([v for k, v in left.items() if k != i]).T)[0, 1] for i in left}
+        worst = min(without, key=without.get)
+        want.append((worst, round(without[worst], 6)))
+        left.pop(worst)
+    got = reports.greedy_deletion(spark.createDataFrame(rows, "id long, x double, y double"), "id", "x", "y", 4).orderBy("step").collect()
+    assert [(r.removed, r.r) for r in got] == want
+
+
+def test_rings_are_closed_and_counter_clockwise(spark):
+    from sensorweave.operators import reports
+
+    square = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)]
+    rows = [(1, square), (2, square[::-1]), (3, [*square, square[0]]), (4, square[:3])]
+    df = spark.createDataFrame(rows, "id int, p array<struct<x: double, y: double>>")
+    got = {r.id: r.r for r in df.select("id", reports.ring(F.col("p")).alias("r")).collect()}
+    area = lambda r: sum(a.x * b.y - b.x * a.y for a, b in zip(r, r[1:], strict=False)) / 2
+    assert got[4] is None and all(len(got[k]) == 5 and got[k][0] == got[k][-1] and area(got[k]) == 4 for k in (1, 2, 3))

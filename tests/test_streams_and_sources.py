@@ -67,6 +67,47 @@ def test_retries_windows_and_fallback():
     assert rest.first_that_answers(lambda: 1 / 0, lambda: [5]) == ([5], "division by zero")
 
 
+def test_lasting_errors_offsets_places_budget_and_spacing():
+    calls = []
+
+    def gone():
+        calls.append(1)
+        raise rest.FeedError("no such sensor", lasting=True)
+
+    with pytest.raises(rest.FeedError):
+        rest.with_retries(gone, lambda s: None)
+    assert len(calls) == 1
+    assert list(rest.by_offset(lambda at, n: list(range(at, min(at + n, 25))), 10)) == list(range(25)) and list(rest.by_offset(lambda at, n: [])) == []
+    place = lambda i, lat, lon: {"id": i, "name": f"s{i}", "coordinates": {"latitude": lat, "longitude": lon}}
+    found = {"results": [place(1, 5.0, 6.0), place(1, 5.1, 6.0), place(2, 9.0, 6.0), {"id": 3}]}
+    assert list(rest.located(lambda page: found, (5.5, 4.5, 6.5, 5.5))) == [(1, "s1", 5.0, 6.0)]
+    now = iter(range(100))
+    assert rest.within_budget([1, 2, 3, 4], lambda i: [i] if i != 2 else gone(), 3, lambda: next(now)) == ([1], [2, 3, 4])
+    waits, clock = [], iter([0.0, 0.4, 1.0, 5.0, 5.0])
+    call = rest.spaced(lambda: None, 1.0, waits.append, lambda: next(clock))
+    call(), call(), call()
+    assert waits == [pytest.approx(0.6)]
+    good = {"period": {"datetimeFrom": {"utc": "2024-01-01T00:00:00Z"}}, "value": "x", "flagInfo": {"hasFlags": True}}
+    assert rest.parsed(1, good)[2:] == (None, True) and rest.parsed(1, {"period": {"datetimeFrom": {"utc": "soon"}}}) is None and rest.parsed(1, {}) is None
+
+
+def test_artefacts_resume_and_staleness(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(1, 4).withColumnRenamed("id", "sensor_id")
+    assert files.missing(spark, f"{tmp_path}/none", ids, "sensor_id").count() == 3
+    files.write_partitioned(ids.where("sensor_id < 3").withColumn("v", F.lit(1)), f"{tmp_path}/parts", "sensor_id")
+    assert [r[0] for r in files.missing(spark, f"{tmp_path}/parts", ids, "sensor_id").collect()] == [3]
+    files.write_mask(ids, f"{tmp_path}/mask", 10)
+    files.write_mask(ids.limit(1), f"{tmp_path}/mask", 20)
+    assert {r.cells: r["count"] for r in spark.read.parquet(f"{tmp_path}/mask").groupBy("cells").count().collect()} == {10: 3, 20: 1}
+    files.write_card(ids.limit(1), f"{tmp_path}/card")
+    assert spark.read.json(f"{tmp_path}/card").first()["sensor_id"] == 1
+    assert files.fingerprint(ids) == files.fingerprint(ids.orderBy(F.desc("sensor_id"))) != files.fingerprint(ids.limit(2))
+    rows = spark.createDataFrame([(1, T0), (2, T0 - dt.timedelta(hours=7))], "station_id long, ts timestamp_ntz")
+    assert {r.station_id: r.ok for r in live.fresh(rows, F.lit(T0).cast("timestamp_ntz")).collect()} == {1: True, 2: False}
+
+
 def test_osm_and_column_arrays(spark, tmp_path):
     line = [{"lat": 1.0, "lon": 2.0}, {"lat": 1.5, "lon": 2.5}]
     payload = {"elements": [{"type": "way", "id": 1, "tags": {"highway": "primary_link"}, "geometry": line}, {"type": "relation", "id": 2, "tags": {}, "members": [{"type": "node"}, {"type": "way", "geometry": line}]}, {"type": "way", "id": 3, "tags": {}, "geometry": []}]}
