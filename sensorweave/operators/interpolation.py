@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, idw_weight
@@ -21,19 +21,32 @@ def pairs(stations: DataFrame) -> DataFrame:
     return t.crossJoin(s).where("g != sg").select("station_id", "g", "source", "sg", haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")).alias("km"))
 
 
-def held_out(panel: DataFrame, stations: DataFrame, power: float = 0.5) -> DataFrame:
-    """(station_id, g, ts, observed, idw, city): each reading estimated from the other groups' readings of its hour.
+def _met(panel: DataFrame, stations: DataFrame, weights: dict[str, float], most: int = 1_000_000) -> DataFrame:
+    """Readings beside each target they may estimate (weights by name) and beside their own (sg null, no weight), dealt by hour.
 
-    One shuffle by hour: an hour's readings meet as an array, so the panel isn't joined with itself.
+    The readings are shuffled once, by hour; sums by hour, target and group need no further shuffle. The number of
+    partitions is set, as each row becomes one a target and sizes before that would merge them. The pairs of stations
+    are broadcast up to `most`; beyond that the join is left to the planner.
     """
-    w = pairs(stations).select("station_id", "g", "source", idw_weight(F.col("km"), power).alias("w"))
-    w = w.groupBy("station_id", "g").agg(F.map_from_entries(F.collect_list(F.struct("source", "w"))).alias("ws"))
-    hours = panel.groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("station_id", "value"))).alias("obs"))
-    each = hours.select("ts", "obs", F.explode("obs").alias("o")).select("ts", "obs", F.col("o.station_id").alias("station_id"), F.col("o.value").alias("observed")).join(F.broadcast(w), "station_id")
-    own = each.withColumn("src", F.filter("obs", lambda o: F.map_contains_key("ws", o.station_id))).where(F.size("src") > 0)
-    total = lambda f: F.aggregate("src", F.lit(0.0), lambda s, o: s + f(o))
-    weight = lambda o: F.element_at(F.col("ws"), o.station_id)
-    return own.select("station_id", "g", "ts", "observed", (total(lambda o: weight(o) * o.value) / total(weight)).alias("idw"), (total(lambda o: o.value) / F.size("src")).alias("city"))
+    own = stations.select("station_id", F.col("gid").alias("g"), F.col("station_id").alias("source"), F.lit(None).cast("long").alias("sg"), F.lit(None).cast("double").alias("km"))
+    p = pairs(stations).unionByName(own)
+    p = p.select("station_id", "g", "source", "sg", *(F.when(F.col("km").isNotNull(), idw_weight(F.col("km"), x)).alias(k) for k, x in weights.items()))
+    src = panel.where("value is not null").select(F.col("station_id").alias("source"), "ts", "value")
+    src = src.repartition(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ts")
+    return src.join(F.broadcast(p) if stations.count() ** 2 <= most else p, "source")
+
+
+def _own() -> Column:
+    return F.max(F.when(F.col("sg").isNull(), F.col("value")))
+
+
+def held_out(panel: DataFrame, stations: DataFrame, power: float = 0.5) -> DataFrame:
+    """(station_id, g, ts, observed, idw, city): each reading, one a station and hour, estimated from the other groups' readings of its hour."""
+    v, w = F.col("value"), F.col("w")
+    sums = _met(panel, stations, {"w": power}).groupBy("ts", "station_id", "g").agg(
+        _own().alias("observed"), F.sum(w * v).alias("n"), F.sum(w).alias("d"), F.avg(F.when(F.col("sg").isNotNull(), v)).alias("city")
+    )
+    return sums.where("observed is not null and city is not null").select("station_id", "g", "ts", "observed", (F.col("n") / F.col("d")).alias("idw"), "city")
 
 
 def scores(predicted: DataFrame, *keys: str) -> DataFrame:
@@ -52,24 +65,26 @@ def select_power(panel: DataFrame, stations: DataFrame, powers: tuple[float, ...
     the held-out group adds to them, so folds cost a sum by group and not a pass each. Powers are
     columns. Counts go with the sums: no source left means no estimate, whatever the residue.
     """
-    p = pairs(stations)
-    ws = [idw_weight(F.col("km"), x).alias(f"w{k}") for k, x in enumerate(powers)]
-    p = p.select("station_id", "g", "source", "sg", *ws)
-    src = panel.select(F.col("station_id").alias("source"), "ts", "value")
-    cols = [c for k in range(len(powers)) for c in (F.sum(f"w{k}").alias(f"d{k}"), F.sum(F.col(f"w{k}") * F.col("value")).alias(f"n{k}"))]
-    part = src.join(F.broadcast(p), "source").groupBy("station_id", "g", "ts", "sg").agg(F.count(F.lit(1)).alias("c"), *cols)
-    part = part.join(panel.select("station_id", "ts", F.col("value").alias("obs")), ["station_id", "ts"])
-    packed = part.groupBy("station_id", "g", "ts", "obs").agg(F.collect_list(F.struct("sg", "c", *[f"{x}{k}" for k in range(len(powers)) for x in "dn"])).alias("by"))
+    ks = range(len(powers))
+    met = _met(panel, stations, {f"w{k}": x for k, x in enumerate(powers)})
+    cols = [c for k in ks for c in (F.sum(f"w{k}").alias(f"d{k}"), F.sum(F.col(f"w{k}") * F.col("value")).alias(f"n{k}"))]
+    part = met.groupBy("ts", "station_id", "g", "sg").agg(F.count("w0").alias("c"), _own().alias("obs"), *cols)
+    of = F.struct("sg", "c", *(f"{x}{k}" for k in ks for x in "dn"))
+    packed = part.groupBy("ts", "station_id", "g").agg(F.max("obs").alias("obs"), F.collect_list(F.when(F.col("sg").isNotNull(), of)).alias("by")).where("obs is not null and size(by) > 0")
     total = lambda name: F.aggregate("by", F.lit(0.0), lambda s, x: s + x[name])
-    packed = packed.withColumns({"tc": F.aggregate("by", F.lit(0).cast("long"), lambda s, x: s + x.c)} | {f"t{x}{k}": total(f"{x}{k}") for k in range(len(powers)) for x in "dn"})
-    sq = lambda k, n, d: F.pow(n / d - F.col("obs"), F.lit(2))
-    base = packed.groupBy("g").agg(F.count(F.lit(1)).alias("m"), *(F.sum(sq(k, F.col(f"tn{k}"), F.col(f"td{k}"))).alias(f"s{k}") for k in range(len(powers))))
-    whole = base.agg(F.sum("m").alias("am"), *(F.sum(f"s{k}").alias(f"a{k}") for k in range(len(powers))))
-    x = packed.withColumn("x", F.explode("by"))
-    left = F.col("tc") - F.col("x.c") > 0
-    fix = [F.sum(F.when(left, sq(k, F.col(f"tn{k}") - F.col(f"x.n{k}"), F.col(f"td{k}") - F.col(f"x.d{k}"))).otherwise(0.0) - sq(k, F.col(f"tn{k}"), F.col(f"td{k}"))).alias(f"f{k}") for k in range(len(powers))]
-    fold = x.groupBy(F.col("x.sg").alias("fold")).agg(F.sum(F.when(left, 0).otherwise(1)).alias("lost"), *fix)
-    out = fold.join(base.withColumnRenamed("g", "fold"), "fold").crossJoin(F.broadcast(whole))
+    packed = packed.withColumns({"tc": F.aggregate("by", F.lit(0).cast("long"), lambda s, x: s + x.c)} | {f"t{x}{k}": total(f"{x}{k}") for k in ks for x in "dn"})
+    # A reading's own group stands first, with nothing to take off: it carries the errors over all sources.
+    none = F.struct(F.col("g").alias("sg"), F.lit(0).cast("long").alias("c"), *(F.lit(0.0).alias(f"{x}{k}") for k in ks for x in "dn"))
+    x = packed.withColumn("x", F.explode(F.concat(F.array(none), "by")))
+    sq = lambda n, d: F.pow(n / d - F.col("obs"), F.lit(2))
+    whole = {k: sq(F.col(f"tn{k}"), F.col(f"td{k}")) for k in ks}
+    rest = {k: sq(F.col(f"tn{k}") - F.col(f"x.n{k}"), F.col(f"td{k}") - F.col(f"x.d{k}")) for k in ks}
+    own, left = F.col("x.sg") == F.col("g"), F.col("tc") - F.col("x.c") > 0
+    fold = x.groupBy(F.col("x.sg").alias("fold")).agg(
+        F.sum(own.cast("long")).alias("m"), F.sum((~own & ~left).cast("long")).alias("lost"), *(F.sum(F.when(own, whole[k]).otherwise(0.0)).alias(f"s{k}") for k in ks),
+        *(F.sum(F.when(own, 0.0).when(left, rest[k] - whole[k]).otherwise(-whole[k])).alias(f"f{k}") for k in ks),
+    )
+    out = fold.crossJoin(F.broadcast(fold.agg(F.sum("m").alias("am"), *(F.sum(f"s{k}").alias(f"a{k}") for k in ks))))
     n = F.col("am") - F.col("m") - F.col("lost")
     rows = F.array(*(F.struct(F.lit(float(v)).alias("power"), F.round(F.sqrt((F.col(f"a{k}") - F.col(f"s{k}") + F.col(f"f{k}")) / n), 6).alias("rmse")) for k, v in enumerate(powers)))
     return out.select("fold", F.explode(rows).alias("r")).select("fold", "r.power", "r.rmse")
@@ -165,33 +180,37 @@ def krige_weights(known: np.ndarray, target: np.ndarray, model: tuple[float, flo
 def kriged(panel: DataFrame, stations: DataFrame, model: tuple[float, float, float] | dict[int, tuple[float, float, float]]) -> DataFrame:
     """(station_id, g, ts, observed, idw, city) like held_out, `idw` being the kriged estimate, by one model or each held-out group's own.
 
-    Weights depend on which stations report, so hours are grouped by that pattern and each
-    pattern is solved once, by group of targets; readings then meet the weights by a join.
-    Values are standardised by hour. A single source gives the hour's level.
+    Weights depend on which stations report. Hours are dealt in ranges of that pattern and time, so a task solves
+    each of its patterns once and a frequent pattern is split over tasks. Values are taken off the sources' mean
+    of the hour; a single source gives that mean.
     """
     ship(panel.sparkSession)
     place = {r.station_id: (r.lat, r.lon, r.gid) for r in stations.select("station_id", "lat", "lon", "gid").toLocalIterator()}
-    hours = panel.groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("station_id", "value"))).alias("obs"))
-    hours = hours.withColumn("pattern", F.array_join(F.transform("obs", lambda o: o.station_id.cast("string")), ","))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for pattern in pdf["pattern"]:
-            ids = [int(x) for x in pattern.split(",")]
-            for g in sorted({place[i][2] for i in ids}):
-                src, tgt = [i for i in ids if place[i][2] != g], [i for i in ids if place[i][2] == g]
-                if src:
-                    w = krige_weights(np.array([place[i][:2] for i in src]), np.array([place[i][:2] for i in tgt]), model[g] if isinstance(model, dict) else model)
-                    rows += [(pattern, t, g, dict(zip(src, map(float, x), strict=True))) for t, x in zip(tgt, w, strict=True)]
-        return pd.DataFrame(rows, columns=["pattern", "station_id", "g", "ws"])
-
-    w = hours.select("pattern").distinct().mapInPandas(lambda it: map(solve, it), "pattern string, station_id long, g long, ws map<long,double>")
-    each = hours.join(w, "pattern").withColumn("src", F.filter("obs", lambda o: F.map_contains_key("ws", o.station_id)))
-    each = each.withColumn("observed", F.element_at(F.filter("obs", lambda o: o.station_id == F.col("station_id")), 1).value)
-    total = lambda f: F.aggregate("src", F.lit(0.0), lambda s, o: s + f(o))
-    each = each.withColumn("city", total(lambda o: o.value) / F.size("src"))
-    z = total(lambda o: F.element_at(F.col("ws"), o.station_id) * (o.value - F.col("city")))
-    return each.select("station_id", "g", "ts", "observed", (F.col("city") + F.when(F.size("src") > 1, z).otherwise(0.0)).alias("idw"), "city")
+    hours = panel.where("value is not null").groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("station_id", "value"))).alias("obs"))
+    hours = hours.select("ts", F.transform("obs", lambda o: o.station_id).alias("ids"), F.transform("obs", lambda o: o.value).alias("vs"))
+    hours = hours.withColumn("pattern", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
+    dealt = hours.repartitionByRange(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pattern", "ts").sortWithinPartitions("pattern", "ts")
+
+    def solve(batches):
+        seen, folds, ids = None, [], None
+        for pdf in batches:
+            for pattern, rows in pdf.groupby("pattern", sort=False):
+                if pattern != seen:
+                    ids = [int(i) for i in pattern.split(",")]
+                    at, gid = np.array([place[i][:2] for i in ids]), np.array([place[i][2] for i in ids])
+                    seen, folds = pattern, []
+                    for g in sorted(set(gid.tolist())):
+                        src, tgt = np.flatnonzero(gid != g), np.flatnonzero(gid == g)
+                        if len(src):
+                            folds.append((g, src, tgt, krige_weights(at[src], at[tgt], model[g] if isinstance(model, dict) else model)))
+                v, ids = np.stack(rows["vs"].to_numpy()).astype(float), np.array(ids)
+                for g, src, tgt, w in folds:
+                    city = v[:, src].mean(1, keepdims=True)
+                    est = city + (v[:, src] - city) @ w.T if len(src) > 1 else np.repeat(city, len(tgt), 1)
+                    k = len(tgt)
+                    yield pd.DataFrame({"station_id": np.tile(ids[tgt], len(rows)), "g": g, "ts": np.repeat(rows["ts"].to_numpy(), k), "observed": v[:, tgt].ravel(), "idw": est.ravel(), "city": np.repeat(city.ravel(), k)})
+
+    return dealt.mapInPandas(solve, "station_id long, g long, ts timestamp_ntz, observed double, idw double, city double")
 
 
 def design(panel: DataFrame, stations: DataFrame, power: float = 0.5) -> DataFrame:
