@@ -31,7 +31,7 @@ def multiplicities(clusters: DataFrame, n: int, seed: int = 1) -> DataFrame:
     return slots.select("rep", pick.cast("int").alias("k")).join(F.broadcast(numbered), "k").groupBy("rep", "cluster").agg(F.count(F.lit(1)).alias("mult"))
 
 
-def mantel(sim: DataFrame, dist: DataFrame, n: int = 99, seed: int = 1) -> DataFrame:
+def mantel(sim: DataFrame, dist: DataFrame, n: int = 2000, seed: int = 1) -> DataFrame:
     """Pearson correlation of two pair tables (a < b: x) and (a < b: km), with the two-sided p of joint permutations of the first."""
     both = sim.select("a", "b", "x").union(sim.select("b", "a", "x"))
     ids = dist.select(F.col("a").alias("id")).union(dist.select("b")).distinct()
@@ -39,14 +39,14 @@ def mantel(sim: DataFrame, dist: DataFrame, n: int = 99, seed: int = 1) -> DataF
     zero = ids.select(F.lit(0).cast("long").alias("rep"), "id", F.col("id").alias("to"))
     p = zero.unionByName(p)
     left, right = p.select("rep", F.col("id").alias("a"), F.col("to").alias("ta")), p.select("rep", F.col("id").alias("b"), F.col("to").alias("tb"))
-    moved = dist.join(F.broadcast(left), "a").join(F.broadcast(right), ["rep", "b"]).join(both.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "x"), ["ta", "tb"])
+    moved = dist.join(left, "a").join(right, ["rep", "b"]).join(both.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "x"), ["ta", "tb"])
     r = moved.groupBy("rep").agg(F.round(pearson(F.col("x"), F.col("km")), 9).alias("r"), F.count(F.lit(1)).alias("n"))
     seen = F.max(F.when(F.col("rep") == 0, F.col("r"))).over(W.partitionBy())
     out = r.withColumn("r0", seen).agg(F.max("r0").alias("r"), F.max(F.when(F.col("rep") == 0, F.col("n"))).alias("n_pairs"), F.sum(((F.col("rep") > 0) & (F.abs("r") >= F.abs("r0"))).cast("long")).alias("k"))
     return out.select(F.round("r", 6).alias("r"), "n_pairs", F.round((F.col("k") + 1) / (n + 1.0), 6).alias("p"))
 
 
-def bootstrap_gap(errors: DataFrame, clusters: str, n: int = 200, seed: int = 1) -> DataFrame:
+def bootstrap_gap(errors: DataFrame, clusters: str, n: int = 2000, seed: int = 1) -> DataFrame:
     """RMSE gap of two estimates with a 95 % interval over resampled clusters; only each cluster's sums are replicated."""
     e, c = F.col("idw") - F.col("observed"), F.col("city") - F.col("observed")
     sums = errors.groupBy(F.col(clusters).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("se"), F.sum(c * c).alias("sc"))

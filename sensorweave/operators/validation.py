@@ -59,7 +59,7 @@ def without_groups(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
     return r.select(group, F.round((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(den, F.lit(0.0)), 6).alias("r"))
 
 
-def day_block_bootstrap(panel: DataFrame, days: int = 7, n: int = 50, seed: int = 1) -> DataFrame:
+def day_block_bootstrap(panel: DataFrame, days: int = 7, n: int = 400, seed: int = 1) -> DataFrame:
     """Mean over resampled blocks of days: its 95 % interval."""
     block = F.floor(epoch_hour(F.col("ts")) / (24 * days)).cast("long")
     sums = panel.groupBy(block.alias("cluster")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("m"))

@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries; all begin with the panel's common table expressions."""
 
 from .panel import BOX, SQL
-from .queries import _RING
+from .queries import _RING, BLOCK_DRAWS, GAP_DRAWS, MANTEL_DRAWS
 
 _SCORES = """count(*) as n, round(avg(abs(idw - observed)), 6) as mae_idw, round(sqrt(avg(pow(idw - observed, 2))), 6) as rmse_idw, round(avg(abs(city - observed)), 6) as mae_city,
  round(sqrt(avg(pow(city - observed, 2))), 6) as rmse_city, round(sqrt(avg(pow(idw - observed, 2))) - sqrt(avg(pow(city - observed, 2))), 6) as gap"""
@@ -24,12 +24,12 @@ _HOUR = "cur as (select station_id, lat, lon, value from panel join stations usi
 _CW = f"cw as (select i, j, station_id, value, 1 / pow(greatest({_KM.format(a='cells.lat', b='cells.lon', c='cur.lat', d='cur.lon')}, 0.05), 0.5) as w from cells, cur)"
 _SEASON = "(year({0}) + (month({0}) = 12)::int)::varchar || '-' || case when month({0}) in (12, 1, 2) then 'DJF' when month({0}) <= 5 then 'MAM' when month({0}) <= 9 then 'JJAS' else 'ON' end"
 _BANDS = "case {0} end"
-_MANTEL = """ids as (select distinct id from (select a as id from pairs union all select b from pairs)), num as (select id, row_number() over (order by id) as k from ids),
-perm as (select rep, id as tgt, row_number() over (partition by rep order by md5('1:' || rep || ':' || id), id) as k from ids, (select unnest(range(1, 100)) as rep)),
+_MANTEL = f"""ids as (select distinct id from (select a as id from pairs union all select b from pairs)), num as (select id, row_number() over (order by id) as k from ids),
+perm as (select rep, id as tgt, row_number() over (partition by rep order by md5('1:' || rep || ':' || id), id) as k from ids, (select unnest(range(1, {MANTEL_DRAWS + 1})) as rep)),
 pm as (select rep, num.id, tgt from perm join num using (k) union all select 0, id, id from ids), both2 as (select a, b, r as x from simil union all select b, a, r from simil),
 mv as (select p.rep, x, km from pairs join pm p on p.id = a join pm q on q.id = b and q.rep = p.rep join both2 s on s.a = p.tgt and s.b = q.tgt),
 rr as (select rep, round(covar_pop(x, km) / nullif(stddev_pop(x) * stddev_pop(km), 0), 9) as r, count(*) as n from mv group by rep),
-mantel as (select round(max(r) filter (rep = 0), 6) as r, max(n) filter (rep = 0) as n_pairs, round((count(*) filter (rep > 0 and abs(r) >= abs((select r from rr where rep = 0))) + 1) / 100.0::double, 6) as p from rr)"""
+mantel as (select round(max(r) filter (rep = 0), 6) as r, max(n) filter (rep = 0) as n_pairs, round((count(*) filter (rep > 0 and abs(r) >= abs((select r from rr where rep = 0))) + 1) / {MANTEL_DRAWS + 1}.0::double, 6) as p from rr)"""
 _WSUMS = """ps as (select t.station_id, gt.gid as g, t.ts, gs.gid as sg, any_value(t.value) as obs, count(*) as c, sum(pow(greatest(km, 0.05), -p.power)) as d, sum(pow(greatest(km, 0.05), -p.power) * s.value) as n, p.power
  from panel t join stations gt using (station_id) join panel s on s.ts = t.ts join stations gs on gs.station_id = s.station_id and gs.gid <> gt.gid join links on links.a = t.station_id and links.b = s.station_id, (select unnest({powers}) as power) p group by t.station_id, gt.gid, t.ts, gs.gid, p.power),
 tot as (select station_id, g, ts, power, sum(c) as tc, sum(d) as td, sum(n) as tn, any_value(obs) as obs from ps group by all),
@@ -96,7 +96,7 @@ ORACLES: dict[str, str] = {
     "residualised_by_hour": _q("select station_id, ts, round(value - avg(value) over (partition by station_id, hour(lt)) + 1e-9, 6) as residual from loc"),
     "anomalies_by_hour": _q("select station_id, ts, round(a + 1e-9, 6) as anomaly from (select *, value - avg(value) over w as a, count(*) over w as n from panel window w as (partition by ts)) where n >= 10"),
     "profile_correlation_pairs": _q("select a, b, r, n from corrs", _SIM),
-    "wide_pivot": _q("select ts, " + ", ".join(f"max(value) filter (station_id = {k}) as s{k}" for k in (1, 2, 3, 4)) + " from panel group by ts"),
+    "wide_pivot": _q("select ts, " + ", ".join(f"max(value) filter (station_id = {k}) as s{k}" for k in range(1, 40)) + " from panel group by ts"),
     "unpivot_bounds": _STATS,
     "season_windows": f"select l_returnflag, {_SEASON.format('l_shipdate')} as season, round(avg(l_quantity), 6) as mean, count(*) as n from lineitem group by 1, 2",
     "tumbling_window_means": _q("select * from wins"),
@@ -125,7 +125,7 @@ ORACLES: dict[str, str] = {
     "idw_surface": _q("select i, j, round(sum(w * value) / sum(w), 6) as value from cw group by 1, 2", _GRID.format(*BOX, n=25), _HOUR, _CW),
     "idw_contributions": _q("select i, j, k as rank, share from (select *, row_number() over (partition by i, j order by share desc, station_id) as k from (select i, j, station_id, round(100 * w / sum(w) over (partition by i, j) + 1e-9, 6) as share from cw)) where k <= 5", _GRID.format(*BOX, n=5), _HOUR, _CW),
     "cell_history": _q("select ts, round(sum(w * value) / sum(w), 6) as value, count(*) as n from panel join ww using (station_id) group by ts", f"ww as (select station_id, 1 / pow(greatest({_KM.format(a='19.07::double', b='72.88::double', c='lat', d='lon')}, 0.05), 0.5) as w from stations)"),
-    "extrapolation_mask": "with b as (select round(min(s_acctbal), 6) as a0, round(max(s_acctbal), 6) as a1, min(s_nationkey)::double as n0, max(s_nationkey)::double as n1 from supplier where s_suppkey % 3 = 0), f as (select s_suppkey, (case when s_acctbal < a0 then 1 when s_acctbal > a1 then 2 else 0 end + case when s_nationkey < n0 then 4 when s_nationkey > n1 then 8 else 0 end)::int as flags from supplier, b) select s_suppkey, flags, flags <> 0 as masked, concat_ws(',', case when flags & 1 = 1 then 's_acctbal below' end, case when flags & 2 = 2 then 's_acctbal above' end, case when flags & 4 = 4 then 's_nationkey below' end, case when flags & 8 = 8 then 's_nationkey above' end) as reasons from f",
+    "extrapolation_mask": _q("select id, flags, flags <> 0 as masked, concat_ws(',', case when flags & 1 = 1 then 'x below' end, case when flags & 2 = 2 then 'x above' end, case when flags & 4 = 4 then 'y below' end, case when flags & 8 = 8 then 'y above' end) as reasons from f", "b as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from sites)", "f as (select id, (case when x < x0 then 1 when x > x1 then 2 else 0 end + case when y < y0 then 4 when y > y1 then 8 else 0 end)::int as flags from points, b)"),
     "idw_power_by_fold": _q("select * from byfold", _WSUMS.format(powers="[0.25, 0.5, 1.0]::double[]")),
     "idw_power_selection": _q("select fold, m.power as power, m.rmse as rmse from (select fold, min({'rmse': rmse, 'power': power}) as m from byfold group by 1)", _WSUMS.format(powers="[0.1, 0.25, 0.5, 1.0, 1.5, 2.0, 3.0]::double[]")),
     "variogram_cloud": _q("select * from cl", "cl as (select p.a, p.b, count(*) as n, round(any_value(km), 6) as km, round(avg(pow(x.value - y.value, 2)) / 2, 6) as gamma from panel x join panel y on x.ts = y.ts and x.station_id < y.station_id join pairs p on p.a = x.station_id and p.b = y.station_id group by 1, 2 having count(*) >= 30)"),
@@ -138,7 +138,7 @@ ORACLES: dict[str, str] = {
     "mardia_r": _q("select round(sqrt(greatest((rc * rc + rs * rs - 2 * rc * rs * cs) / nullif(1 - cs * cs, 0), 0)), 6) as R, n from " + f"(select {_R.format('r', 'c')} as rc, {_R.format('r', 's')} as rs, {_R.format('c', 's')} as cs, count(*) as n from (select sin(peak * pi() / 12) as s, cos(peak * pi() / 12) as c, {_RANK.format('swing_pct')} as r from sm))", "sm as (select station_id, min_by(hour, -mean * 1000 + hour * 1e-9) as peak, round(100 * (max(mean) - min(mean)) / nullif(avg(mean), 0), 6) as swing_pct from prof group by 1)"),
     "bh_adjust": "with t as (select p_partkey as name, pow((p_partkey * 7919 % 100003) / 100003.0::double, 4) as p from part), r as (select *, row_number() over (order by p, name) as k, count(*) over () as n from t) select name, p, round(least(1.0, min(p * n / k) over (order by k desc rows unbounded preceding)), 9) as p_adj from r",
     "mantel_md5": _q("select * from mantel", _SIM, _MANTEL),
-    "bootstrap_gap_md5": _q("select round(quantile_cont(gap, 0.025), 5) as lo, round(quantile_cont(gap, 0.975), 5) as hi, (select round(sqrt(sum(se) / sum(n)) - sqrt(sum(sc) / sum(n)), 5) from sums) as gap from gaps", "sums as (select g, count(*) as n, sum(pow(idw - observed, 2)) as se, sum(pow(city - observed, 2)) as sc from logo group by g)", "num as (select g, row_number() over (order by g) - 1 as k from sums)", "dr as (select rep, ('0x' || substr(md5('1:' || rep || ':' || slot), 1, 8))::bigint % (select count(*) from sums) as k from (select unnest(range(1, 101)) as rep), (select unnest(range((select count(*) from sums))) as slot))", "gaps as (select rep, round(sqrt(sum(se) / sum(n)) - sqrt(sum(sc) / sum(n)), 9) as gap from dr join num using (k) join sums using (g) group by rep)"),
+    "bootstrap_gap_md5": _q("select round(quantile_cont(gap, 0.025), 5) as lo, round(quantile_cont(gap, 0.975), 5) as hi, (select round(sqrt(sum(se) / sum(n)) - sqrt(sum(sc) / sum(n)), 5) from sums) as gap from gaps", "sums as (select g, count(*) as n, sum(pow(idw - observed, 2)) as se, sum(pow(city - observed, 2)) as sc from logo group by g)", "num as (select g, row_number() over (order by g) - 1 as k from sums)", f"dr as (select rep, ('0x' || substr(md5('1:' || rep || ':' || slot), 1, 8))::bigint % (select count(*) from sums) as k from (select unnest(range(1, {GAP_DRAWS + 1})) as rep), (select unnest(range((select count(*) from sums))) as slot))", "gaps as (select rep, round(sqrt(sum(se) / sum(n)) - sqrt(sum(sc) / sum(n)), 9) as gap from dr join num using (k) join sums using (g) group by rep)"),
     "loo_pearson": _q("select u.station_id, round(" + _R.format("v.level", "v.spread") + ", 6) as r from units u join units v on u.station_id <> v.station_id group by 1", _UNITS),
     "signed_rank_w": _q(f"select round(coalesce(sum(rk) filter (gap > 0), 0), 6)::double as w_plus, count(*) as n from (select gap, {_RANK.format('abs(gap)')} as rk from gs where gap <> 0)", "gs as (select g, round(sqrt(avg(pow(idw - observed, 2))) - sqrt(avg(pow(city - observed, 2))), 6) as gap from logo group by g)"),
     "mann_whitney_u": _q(f"select round(sum(rk) filter (one) - count(*) filter (one) * (count(*) filter (one) + 1) / 2.0, 6)::double as u, count(*) filter (one) as n1, count(*) filter (not one) as n2 from (select station_id <= 8 as one, {_RANK.format('level')} as rk from units)", _UNITS),
@@ -152,7 +152,7 @@ ORACLES: dict[str, str] = {
     "time_block_skill": _q(f"select g, (floor(epoch(ts) / 86400)::bigint % 4) as block, {_SCORES} from logo group by 1, 2 having count(*) >= 24"),
     "panel_variants": _q("select v as variant, round(avg(value) filter (ok), 6) as mean, count(*) filter (ok) as n from (select value, unnest(['all', 'nospike', 'nozero', 'night']) as v, unnest([true, value <= 150, value > 0, hour(lt) >= 18 or hour(lt) <= 2]) as ok from loc) group by 1"),
     "jackknife_groups": _q(f"select g.cv_group, round({_R.format('level', 'spread')}, 6) as r from (select distinct cv_group from stations join panel using (station_id)) g join (select u.*, s.cv_group from units u join stations s using (station_id)) u on u.cv_group <> g.cv_group group by 1", _UNITS),
-    "day_block_bootstrap": _q("select round(quantile_cont(mean, 0.025), 5) as lo, round(quantile_cont(mean, 0.975), 5) as hi, count(*) as n from m", "sums as (select floor(epoch(ts) / (168 * 3600))::bigint as c, sum(value) as s, count(*) as n from panel group by 1)", "num as (select c, row_number() over (order by c) - 1 as k from sums)", "dr as (select rep, ('0x' || substr(md5('1:' || rep || ':' || slot), 1, 8))::bigint % (select count(*) from sums) as k from (select unnest(range(1, 51)) as rep), (select unnest(range((select count(*) from sums))) as slot))", "m as (select rep, round(sum(s) / sum(n), 8) as mean from dr join num using (k) join sums using (c) group by rep)"),
+    "day_block_bootstrap": _q("select round(quantile_cont(mean, 0.025), 5) as lo, round(quantile_cont(mean, 0.975), 5) as hi, count(*) as n from m", "sums as (select floor(epoch(ts) / (168 * 3600))::bigint as c, sum(value) as s, count(*) as n from panel group by 1)", "num as (select c, row_number() over (order by c) - 1 as k from sums)", f"dr as (select rep, ('0x' || substr(md5('1:' || rep || ':' || slot), 1, 8))::bigint % (select count(*) from sums) as k from (select unnest(range(1, {BLOCK_DRAWS + 1})) as rep), (select unnest(range((select count(*) from sums))) as slot))", "m as (select rep, round(sum(s) / sum(n), 8) as mean from dr join num using (k) join sums using (c) group by rep)"),
     "reweighted_profile": _q("select station_id, hour, round(avg(m) + 1e-9, 6) as mean, count(*) as parts from (select station_id, hour(lt)::int as hour, dayofyear(lt) % 2 as part, avg(value) as m from loc group by 1, 2, 3) group by 1, 2"),
     "sector_difference": _q("select station_id, round((avg(x) filter (k between 225 and 315) - avg(x) filter (k between 45 and 135)) / nullif(stddev_pop(value), 0), 6) as effect, count(*) filter (k between 225 and 315) as n_one, count(*) filter (k between 45 and 135) as n_other from (select *, value - avg(value) over (partition by station_id, hour(lt)) as x, floor(epoch(ts) / 3600)::bigint * 37 % 360 as k from loc) group by 1 having count(*) filter (k between 225 and 315) >= 20 and count(*) filter (k between 45 and 135) >= 20"),
     "percentile_of_value": _q("select round(avg((mean < 60)::int), 6) as share, count(*) as n from (select ts, round(avg(value) + 1e-9, 6) as mean from panel group by ts)"),

@@ -11,6 +11,9 @@ from .panel import BOX, panel, points, raw, sites, stations
 
 QUERIES: dict = {}
 
+#: Draws of the tests, in both engines: permutations of places, samples of groups and of weeks.
+MANTEL_DRAWS, GAP_DRAWS, BLOCK_DRAWS = 2000, 2000, 400
+
 
 def query(f):
     QUERIES[f.__name__] = f
@@ -182,7 +185,7 @@ def profile_correlation_pairs(spark, sf):
 
 @query
 def wide_pivot(spark, sf):
-    return profiles.wide(panel(spark, sf), [1, 2, 3, 4])
+    return profiles.wide(panel(spark, sf), list(range(1, 40)))
 
 
 @query
@@ -349,11 +352,10 @@ def cell_history(spark, sf):
 
 @query
 def extrapolation_mask(spark, sf):
-    names = ["s_acctbal", "s_nationkey"]
-    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal"), F.col("s_nationkey").cast("double").alias("s_nationkey"))
-    band = profiles.bounds(s.where("s_suppkey % 3 = 0"), names)
-    out = spatial.mask(s, band, ["s_suppkey"], names)
-    return out.select("s_suppkey", "flags", "masked", spatial.reasons(F.col("flags"), names).alias("reasons"))
+    """All points against the ranges of the sites, as cells of a map stand against those of its stations."""
+    names = ["x", "y"]
+    out = spatial.mask(points(spark, sf), profiles.bounds(sites(spark, sf), names), ["id"], names)
+    return out.select("id", "flags", "masked", spatial.reasons(F.col("flags"), names).alias("reasons"))
 
 
 @query
@@ -439,12 +441,12 @@ def bh_adjust(spark, sf):
 
 @query
 def mantel_md5(spark, sf):
-    return resampling.mantel(_similar(spark, sf).select("a", "b", F.col("r").alias("x")), spatial.distances(stations(spark)).select("a", "b", "km"))
+    return resampling.mantel(_similar(spark, sf).select("a", "b", F.col("r").alias("x")), spatial.distances(stations(spark)).select("a", "b", "km"), MANTEL_DRAWS)
 
 
 @query
 def bootstrap_gap_md5(spark, sf):
-    return resampling.bootstrap_gap(_logo(spark, sf), "g", 100).select(F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"), F.round("gap", 5).alias("gap"))
+    return resampling.bootstrap_gap(_logo(spark, sf), "g", GAP_DRAWS).select(F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"), F.round("gap", 5).alias("gap"))
 
 
 @query
@@ -518,7 +520,7 @@ def jackknife_groups(spark, sf):
 
 @query
 def day_block_bootstrap(spark, sf):
-    return validation.day_block_bootstrap(panel(spark, sf))
+    return validation.day_block_bootstrap(panel(spark, sf), n=BLOCK_DRAWS)
 
 
 @query

@@ -10,12 +10,13 @@ from ..operators import interpolation, profiles, reports, spatial, windows
 from ..session import table
 from .oracles import _R, _SEASON, _SIM, _q
 from .panel import BOX, panel, raw, sites, stations
+from .queries import MANTEL_DRAWS
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-#: Draws of the tests below, in both engines.
-DRAWS = 999
+#: Draws of the bootstrap and permutations of the rank correlation below, in both engines.
+DRAWS, PERMUTATIONS = 2000, 20000
 
 
 def query(sql: str):
@@ -119,21 +120,21 @@ pr as (select rep, id as tgt, row_number() over (partition by rep order by md5('
 pm as (select rep, num.id, tgt from pr join num using (k) union all select 0, id, id from ids)"""
 
 
-@query(_q("select round(max(gap) filter (rep = 0), 6) as gap, round((count(*) filter (rep > 0 and gap >= (select gap from gg where rep = 0)) + 1) / 200.0::double, 6) as p from gg", _Z, _md5_moves(199),
+@query(_q("select round(max(gap) filter (rep = 0), 6) as gap, round((count(*) filter (rep > 0 and gap >= (select gap from gg where rep = 0)) + 1) / " + f"{MANTEL_DRAWS + 1}.0" + "::double, 6) as p from gg", _Z, _md5_moves(MANTEL_DRAWS),
           "gg as (select p.rep, round(avg(corr) filter (km < 5) - avg(corr) filter (km >= 15), 9) as gap from pc join pm p on p.id = a join pm q on q.id = b and q.rep = p.rep join links on links.a = p.tgt and links.b = q.tgt group by 1)"))
 def mantel_near_far(spark, sf):
-    return reports.mantel_near_far(_pooled_similarity(spark, sf), spatial.distances(stations(spark)), 5.0, 15.0, 199)
+    return reports.mantel_near_far(_pooled_similarity(spark, sf), spatial.distances(stations(spark)), 5.0, 15.0, MANTEL_DRAWS)
 
 
 _UN = "un as (select station_id as id, round(avg(value), 6) as level, any_value(lat) as lat from panel join stations using (station_id) group by 1), rk as (select id, rank() over (order by level) + (count(*) over (partition by level) - 1) / 2.0 as rx, rank() over (order by lat) + (count(*) over (partition by lat) - 1) / 2.0 as ry from un)"
 
 
-@query(_q(f"select round(max(r) filter (rep = 0), 6) as rho, round((count(*) filter (rep > 0 and abs(r) >= abs((select r from rr where rep = 0))) + 1) / {DRAWS + 1}.0::double, 6) as p, max(n) as n from rr", _UN,
-          f"num as (select id, row_number() over (order by id) as k from un), pr as (select rep, id as tgt, row_number() over (partition by rep order by md5('1:' || rep || ':' || id), id) as k from un, (select unnest(range(1, {DRAWS + 1})) as rep)), pm as (select rep, num.id, tgt from pr join num using (k) union all select 0, id, id from un)",
+@query(_q(f"select round(max(r) filter (rep = 0), 6) as rho, round((count(*) filter (rep > 0 and abs(r) >= abs((select r from rr where rep = 0))) + 1) / {PERMUTATIONS + 1}.0::double, 6) as p, max(n) as n from rr", _UN,
+          f"num as (select id, row_number() over (order by id) as k from un), pr as (select rep, id as tgt, row_number() over (partition by rep order by md5('1:' || rep || ':' || id), id) as k from un, (select unnest(range(1, {PERMUTATIONS + 1})) as rep)), pm as (select rep, num.id, tgt from pr join num using (k) union all select 0, id, id from un)",
           f"rr as (select rep, round({_R.format('u.rx', 'v.ry')}, 9) as r, count(*) as n from pm join rk u on u.id = pm.id join rk v on v.id = tgt group by rep)"))
 def permuted_spearman(spark, sf):
     u = panel(spark, sf).groupBy("station_id").agg(F.round(F.avg("value"), 6).alias("level")).join(stations(spark).select("station_id", "lat"), "station_id")
-    return reports.permuted_spearman(u, "station_id", "level", "lat", DRAWS)
+    return reports.permuted_spearman(u, "station_id", "level", "lat", PERMUTATIONS)
 
 
 _CL = "cl as (select (date_diff('day', date '1970-01-01', ts::date) // 7)::bigint as cluster, count(*) filter (station_id <= 20) as na, sum(value) filter (station_id <= 20) as sa, count(*) filter (station_id > 20) as nb, sum(value) filter (station_id > 20) as sb from panel group by 1), nu as (select cluster, row_number() over (order by cluster) - 1 as k, count(*) over () as size from cl)"
