@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, idw_weight
+from ..functions.timefn import local
 from ..session import ship
 
 #: Powers that cross-validation chooses among.
@@ -139,22 +141,42 @@ def fit_variogram(km: np.ndarray, gamma: np.ndarray, n: np.ndarray) -> tuple[flo
     return float(c), float(s), float(reach)
 
 
-def fold_variograms(pairs_: DataFrame, stations: DataFrame, bins: int = 15, default: tuple[float, float, float] = (0.2, 0.8, 15.0)) -> dict[int, tuple[float, float, float]]:
-    """A variogram for each group (gid), fitted to the cloud's pairs without its stations; the default where no pair is left."""
-    of = {r.station_id: r.gid for r in stations.select("station_id", "gid").toLocalIterator()}
-    cloud_ = pairs_.select("a", "b", "km", "gamma").toPandas().sort_values(["a", "b"])
-    a, b = cloud_["a"].map(of).to_numpy(), cloud_["b"].map(of).to_numpy()
-    out = {}
-    for g in sorted(set(of.values())):
-        own = cloud_[(a != g) & (b != g)]
-        if not len(own):
-            out[g] = default
-            continue
-        at = np.floor(own["km"].to_numpy() / (own["km"].max() * 1.001 / bins))
-        each = own.groupby(at).agg(km=("km", "mean"), gamma=("gamma", "mean"), n=("km", "size"))
-        gamma = each["gamma"].to_numpy()
-        out[g] = fit_variogram(each["km"].to_numpy(), gamma / max(float(gamma.mean()), 1e-9), each["n"].to_numpy(float))
-    return out
+def fold_clouds(panel: DataFrame, stations: DataFrame, least: int = 100) -> DataFrame:
+    """(fold, a, b, n, km, gamma): each group's cloud without its stations, on values in standard deviations of an hour's remaining readings.
+
+    A difference of standardised values is one of readings over the fold's deviation of the hour, so the pairs are made
+    once and each fold is a sum with its own weights. Deviations come from an hour's sums less the group's; one of at most 1e-6 counts as 1.
+    """
+    groups = sorted(r.gid for r in stations.select("gid").distinct().toLocalIterator())
+    p = panel.where("value is not null").join(F.broadcast(stations.select("station_id", "gid")), "station_id")
+    v = F.col("value") - F.avg("value").over(W.partitionBy("ts"))
+    by = p.withColumn("v", v).groupBy("ts", "gid").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    hour = by.groupBy("ts").agg(*(F.sum(c).alias(c) for c in "nsq"), F.map_from_entries(F.collect_list(F.struct("gid", F.struct("n", "s", "q")))).alias("own"))
+
+    def weight(g: int) -> Column:
+        left = {c: F.col(c) - F.coalesce(F.col("own")[F.lit(g)][c], F.lit(0)) for c in "nsq"}
+        var = F.when(left["n"] > 0, F.greatest(left["q"] / left["n"] - F.pow(left["s"] / left["n"], F.lit(2)), F.lit(0.0)))
+        return F.when(var > 1e-12, 1 / var).when(var.isNotNull(), 1.0)
+
+    weights = hour.select("ts", F.array(*(weight(g) for g in groups)).alias("w"))
+    side = lambda k: panel.select("ts", F.col("station_id").alias(k), F.col("value").alias(f"v{k}"))
+    d = F.col("va") - F.col("vb")
+    sums = side("a").join(side("b"), "ts").where("a < b").join(weights, "ts").groupBy("a", "b").agg(F.count(d).alias("n"), F.array(*(F.avg(d * d * F.col("w")[k]) / 2 for k in range(len(groups)))).alias("by"))
+    at = lambda k: stations.select(F.col("station_id").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("lat", "lon", "gid")))
+    out = sums.where(F.col("n") >= least).join(F.broadcast(at("a")), "a").join(F.broadcast(at("b")), "b")
+    km = F.round(haversine_km(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb")), 6)
+    each = F.explode(F.arrays_zip(F.array(*(F.lit(g) for g in groups)).alias("fold"), F.col("by").alias("gamma")))
+    return out.select("a", "b", "n", km.alias("km"), "gida", "gidb", each.alias("e")).where("e.fold != gida and e.fold != gidb").select(F.col("e.fold").cast("long").alias("fold"), "a", "b", "n", "km", F.round("e.gamma", 6).alias("gamma"))
+
+
+def fold_variograms(clouds: DataFrame, stations: DataFrame, bins: int = 15, default: tuple[float, float, float] = (0.2, 0.8, 15.0)) -> dict[int, tuple[float, float, float]]:
+    """A variogram for each group (gid), fitted to the bins of its own cloud; the default where no pair is left. Only the bins reach the driver."""
+    width = clouds.groupBy("fold").agg((F.max("km") * 1.001 / bins).alias("width"))
+    at = F.floor(F.col("km") / F.nullif(F.col("width"), F.lit(0.0)))
+    each = clouds.join(F.broadcast(width), "fold").groupBy("fold", at.alias("bin")).agg(F.avg("km").alias("km"), F.avg("gamma").alias("gamma"), F.count(F.lit(1)).cast("double").alias("n"))
+    found = {int(g): own.sort_values("bin") for g, own in each.toPandas().groupby("fold")}
+    groups = [r.gid for r in stations.select("gid").distinct().toLocalIterator()]
+    return {g: fit_variogram(*(found[g][c].to_numpy() for c in ("km", "gamma", "n"))) if g in found else default for g in groups}
 
 
 def krige_weights(known: np.ndarray, target: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
@@ -182,7 +204,7 @@ def kriged(panel: DataFrame, stations: DataFrame, model: tuple[float, float, flo
 
     Weights depend on which stations report. Hours are dealt in ranges of that pattern and time, so a task solves
     each of its patterns once and a frequent pattern is split over tasks. Values are taken off the sources' mean
-    of the hour; a single source gives that mean.
+    of the hour; a single source gives that mean. As weights sum to 1, dividing by the hour's deviation first and multiplying after would change nothing.
     """
     ship(panel.sparkSession)
     place = {r.station_id: (r.lat, r.lon, r.gid) for r in stations.select("station_id", "lat", "lon", "gid").toLocalIterator()}
@@ -214,33 +236,58 @@ def kriged(panel: DataFrame, stations: DataFrame, model: tuple[float, float, flo
 
 
 def design(panel: DataFrame, stations: DataFrame, power: float = 0.5) -> DataFrame:
-    """Rows for the trees: place, local time, the other groups' mean and estimate, and the reading."""
-    from ..functions.timefn import local
-
+    """Rows for the trees: place, distance to the nearest source, local time, the sources' mean and estimate, and the reading; a station's sources are those of another gid."""
     t = local(F.col("ts"))
-    p = held_out(panel, stations, power).join(F.broadcast(stations.select("station_id", "lat", "lon")), "station_id")
-    return p.select("station_id", "g", "ts", "observed", "idw", "city", "lat", "lon", F.hour(t).alias("hour"), F.weekday(t).alias("dow"), F.month(t).alias("month"))
+    place = stations.select("station_id", "lat", "lon").join(pairs(stations).groupBy("station_id").agg(F.min("km").alias("nearest")), "station_id")
+    p = held_out(panel, stations, power).join(F.broadcast(place), "station_id")
+    return p.select("station_id", "g", "ts", "observed", "idw", "city", "lat", "lon", "nearest", F.hour(t).alias("hour"), F.weekday(t).alias("dow"), F.month(t).alias("month"))
 
 
-def boosted(panel: DataFrame, stations: DataFrame, folds: int = 4, rounds: int = 10, seed: int = 0) -> DataFrame:
-    """Held-out estimates of boosted trees, groups dealt to folds; a fold is a fit."""
+def boosted(panel: DataFrame, stations: DataFrame, folds: int = 4, rounds: int = 10, seed: int = 0, power: float = 0.5) -> DataFrame:
+    """(model, station_id, g, ts, observed, idw, city): held-out estimates of boosted trees, `plain` ones and `hybrid` ones that see the inverse-distance estimate.
+
+    Groups are dealt to folds by gid (more folds than the largest gid: one a group). Held-out stations are no source
+    of any training row: such a row sees the other stations that train, a held-out row all of them.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    names = ["idw", "city", "lat", "lon", "hour", "dow", "month"]
-    rows = VectorAssembler(inputCols=names, outputCol="x").transform(design(panel, stations)).withColumn("fold", F.pmod("g", F.lit(folds))).persist()
-    out = None
-    for k in range(folds):
-        fitted = GBTRegressor(featuresCol="x", labelCol="observed", predictionCol="tree", maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed).fit(rows.where(F.col("fold") != k))
-        part = fitted.transform(rows.where(F.col("fold") == k)).select("station_id", "g", "ts", "observed", F.col("tree").alias("idw"), "city")
-        out = part if out is None else out.unionByName(part)
+    names, out = ["lat", "lon", "nearest", "hour", "dow", "month", "city"], None
+    dealt = F.pmod("gid", F.lit(folds))
+    own = stations.select("station_id", F.col("gid").alias("g"))
+    for k in sorted(r.k for r in stations.select(dealt.alias("k")).distinct().toLocalIterator()):
+        train = design(panel, stations.where(dealt != k).withColumn("gid", F.col("station_id")), power).persist()
+        test = design(panel, stations.withColumn("gid", F.when(dealt == k, 0).otherwise(1).cast("long")), power).where("g = 0").drop("g").join(F.broadcast(own), "station_id")
+        for model, inputs in (("plain", names), ("hybrid", [*names, "idw"])):
+            seen = VectorAssembler(inputCols=inputs, outputCol="x")
+            fitted = GBTRegressor(featuresCol="x", labelCol="observed", predictionCol="tree", maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed).fit(seen.transform(train))
+            part = fitted.transform(seen.transform(test)).select(F.lit(model).alias("model"), "station_id", "g", "ts", "observed", F.col("tree").alias("idw"), "city")
+            out = part if out is None else out.unionByName(part)
+        train.unpersist()
     return out
 
 
+def _errors_by_level(predicted: DataFrame, bins: int, least: int) -> DataFrame:
+    """Quantile bins of the estimate, equal edges once, of at least so many rows: mean, RMSE and count of each."""
+    edges = predicted.agg(F.array_distinct(F.percentile("idw", F.lit([k / bins for k in range(bins + 1)]))).alias("edges"))
+    k = F.greatest(F.lit(0), F.least(F.size("edges") - 2, F.size(F.filter("edges", lambda e: e <= F.col("idw"))) - 1))
+    e = F.col("idw") - F.col("observed")
+    out = predicted.crossJoin(F.broadcast(edges)).groupBy(k.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("idw").alias("mean"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return out.where(F.col("n") >= least)
+
+
 def calibration(predicted: DataFrame, bins: int = 20, least: int = 50) -> DataFrame:
     """Quantile bins of the estimate: mean, RMSE and count of each."""
-    edges = predicted.agg(F.percentile("idw", F.lit([k / bins for k in range(bins + 1)])).alias("edges"))
-    k = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.size(F.filter("edges", lambda e: e <= F.col("idw"))) - 1))
+    return _errors_by_level(predicted, bins, least).select("bin", "n", F.round("mean", 5).alias("mean"), F.round("rmse", 5).alias("rmse"))
+
+
+def error_bars(predicted: DataFrame, bins: int = 20, least: int = 50) -> DataFrame:
+    """(a, b, floor, rmse): the error of an estimate is max(floor, a + b * estimate), a line through the bins' errors weighted by rows.
+
+    The floor is the least error of a bin, rmse that of all rows. Bins at one level give no line (a and b null), no bin nulls.
+    """
+    n, x, y = F.col("n"), F.col("mean"), F.col("rmse")
+    sums = _errors_by_level(predicted, bins, least).agg(F.sum(n).alias("w"), F.sum(n * x).alias("wx"), F.sum(n * y).alias("wy"), F.min(y).alias("floor"), F.sum(n * x * x).alias("wxx"), F.sum(n * x * y).alias("wxy"))
+    b = (F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy")) / F.nullif(F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx"), F.lit(0.0))
     e = F.col("idw") - F.col("observed")
-    out = predicted.crossJoin(F.broadcast(edges)).groupBy(k.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("idw"), 5).alias("mean"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"))
-    return out.where(F.col("n") >= least)
+    return sums.crossJoin(predicted.agg(F.sqrt(F.avg(e * e)).alias("all"))).select(F.round((F.col("wy") - b * F.col("wx")) / F.col("w"), 5).alias("a"), F.round(b, 5).alias("b"), F.round("floor", 5).alias("floor"), F.round("all", 5).alias("rmse"))

@@ -387,13 +387,14 @@ def calibration_bins(spark, sf):
 @query
 def kriging_cv(spark, sf):
     p, s = panel(spark, sf), stations(spark)
-    fitted = interpolation.fold_variograms(interpolation.cloud(p, s, 30), s)
+    fitted = interpolation.fold_variograms(interpolation.fold_clouds(p, s, 30), s)
     return interpolation.scores(interpolation.kriged(p, s, fitted), "g")
 
 
 @query
 def gbt_cv(spark, sf):
-    return interpolation.scores(interpolation.boosted(panel(spark, sf), stations(spark), folds=2, rounds=3))
+    """Plain and hybrid trees with the operator's folds and rounds."""
+    return interpolation.scores(interpolation.boosted(panel(spark, sf), stations(spark)), "model")
 
 
 def _similar(spark, sf):

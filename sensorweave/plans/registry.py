@@ -1,8 +1,8 @@
 """Named queries and their oracle SQL."""
 
-from . import oracles, queries, reports
+from . import models, oracles, queries, reports
 
-QUERIES = queries.QUERIES | reports.QUERIES
-ORACLES = oracles.ORACLES | reports.ORACLES
+QUERIES = queries.QUERIES | reports.QUERIES | models.QUERIES
+ORACLES = oracles.ORACLES | reports.ORACLES | models.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -210,10 +210,10 @@ def episode_members(spark, sf):
 
 
 @query(_q("select p.ts, coalesce(w.sector, 'unclassified') as sector, count(*) as n, round(avg(value) + 1e-9, 6) as mean from panel p left join (select ts, case when sp >= 1 and d between 225 and 315 then 'onshore' when sp >= 1 and d between 45 and 135 then 'offshore' else 'unclassified' end as sector from wn) w using (ts) group by 1, 2",
-          "wn as (select timestamp '2024-01-01' + to_hours((o_orderkey * 2)::int) as ts, (o_custkey % 360)::int as d, (o_custkey % 7)::int as sp from orders where o_orderkey < 2000)"))
+          "wn as (select timestamp '2024-01-01' + to_hours((o_orderkey * 2)::int) as ts, (o_custkey % 360)::int as d, (o_custkey % 7)::int as sp from orders)"))
 def wind_aligned(spark, sf):
     """Hours with the sector of their wind; hours without wind are unclassified."""
-    o = table(spark, sf, "orders").where("o_orderkey < 2000")
+    o = table(spark, sf, "orders")
     wind = o.select((F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("o_orderkey") * 2).cast("int"))).alias("ts"), indices.wind_sector(F.col("o_custkey") % 360, F.col("o_custkey") % 7).alias("sector"))
     return panel(spark, sf).join(wind, "ts", "left").groupBy("ts", F.coalesce("sector", F.lit("unclassified")).alias("sector")).agg(F.count(F.lit(1)).alias("n"), indices.tidy(F.avg("value")).alias("mean"))
 
