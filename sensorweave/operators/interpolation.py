@@ -145,28 +145,23 @@ def fold_clouds(panel: DataFrame, stations: DataFrame, least: int = 100) -> Data
     """(fold, a, b, n, km, gamma): each group's cloud without its stations, on values in standard deviations of an hour's remaining readings.
 
     A difference of standardised values is one of readings over the fold's deviation of the hour, so the pairs are made
-    once and each fold is a sum with its own weights. Deviations come from an hour's sums less the group's; one of at most 1e-6 counts as 1.
+    once and meet their hour's weights, summed before they are shuffled. Deviations come from an hour's sums less the group's; one of at most 1e-6 counts as 1.
     """
-    groups = sorted(r.gid for r in stations.select("gid").distinct().toLocalIterator())
     p = panel.where("value is not null").join(F.broadcast(stations.select("station_id", "gid")), "station_id")
-    v = F.col("value") - F.avg("value").over(W.partitionBy("ts"))
-    by = p.withColumn("v", v).groupBy("ts", "gid").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    hour = by.groupBy("ts").agg(*(F.sum(c).alias(c) for c in "nsq"), F.map_from_entries(F.collect_list(F.struct("gid", F.struct("n", "s", "q")))).alias("own"))
-
-    def weight(g: int) -> Column:
-        left = {c: F.col(c) - F.coalesce(F.col("own")[F.lit(g)][c], F.lit(0)) for c in "nsq"}
-        var = F.when(left["n"] > 0, F.greatest(left["q"] / left["n"] - F.pow(left["s"] / left["n"], F.lit(2)), F.lit(0.0)))
-        return F.when(var > 1e-12, 1 / var).when(var.isNotNull(), 1.0)
-
-    weights = hour.select("ts", F.array(*(weight(g) for g in groups)).alias("w"))
-    side = lambda k: panel.select("ts", F.col("station_id").alias(k), F.col("value").alias(f"v{k}"))
+    p = p.withColumn("v", F.col("value") - F.avg("value").over(W.partitionBy("ts")))
+    moments = lambda x: (F.count(F.lit(1)).alias(f"{x}_n"), F.sum("v").alias(f"{x}_s"), F.sum(F.col("v") * F.col("v")).alias(f"{x}_q"))
+    folds = p.groupBy("ts").agg(*moments("all")).crossJoin(F.broadcast(stations.select(F.col("gid").alias("fold")).distinct()))
+    folds = folds.join(p.groupBy("ts", F.col("gid").alias("fold")).agg(*moments("own")), ["ts", "fold"], "left")
+    n, s, q = (F.col(f"all_{x}") - F.coalesce(f"own_{x}", F.lit(0)) for x in "nsq")
+    var = q / n - F.pow(s / n, F.lit(2))
+    weights = folds.where(n > 0).select("ts", F.col("fold").cast("long").alias("fold"), F.when(var > 1e-12, 1 / var).otherwise(1.0).alias("w"))
+    side = lambda k: p.select("ts", F.col("station_id").alias(k), F.col("gid").alias(f"g{k}"), F.col("value").alias(f"v{k}"))
     d = F.col("va") - F.col("vb")
-    sums = side("a").join(side("b"), "ts").where("a < b").join(weights, "ts").groupBy("a", "b").agg(F.count(d).alias("n"), F.array(*(F.avg(d * d * F.col("w")[k]) / 2 for k in range(len(groups)))).alias("by"))
-    at = lambda k: stations.select(F.col("station_id").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("lat", "lon", "gid")))
-    out = sums.where(F.col("n") >= least).join(F.broadcast(at("a")), "a").join(F.broadcast(at("b")), "b")
-    km = F.round(haversine_km(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb")), 6)
-    each = F.explode(F.arrays_zip(F.array(*(F.lit(g) for g in groups)).alias("fold"), F.col("by").alias("gamma")))
-    return out.select("a", "b", "n", km.alias("km"), "gida", "gidb", each.alias("e")).where("e.fold != gida and e.fold != gidb").select(F.col("e.fold").cast("long").alias("fold"), "a", "b", "n", "km", F.round("e.gamma", 6).alias("gamma"))
+    met = side("a").join(side("b"), "ts").where("a < b").join(weights, "ts").where("fold != ga and fold != gb")
+    sums = met.groupBy("fold", "a", "b").agg(F.count(F.lit(1)).alias("n"), (F.avg(d * d * F.col("w")) / 2).alias("gamma")).where(F.col("n") >= least)
+    at = lambda k: stations.select(F.col("station_id").alias(k), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}"))
+    out = sums.join(F.broadcast(at("a")), "a").join(F.broadcast(at("b")), "b")
+    return out.select("fold", "a", "b", "n", F.round(haversine_km(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb")), 6).alias("km"), F.round("gamma", 6).alias("gamma"))
 
 
 def fold_variograms(clouds: DataFrame, stations: DataFrame, bins: int = 15, default: tuple[float, float, float] = (0.2, 0.8, 15.0)) -> dict[int, tuple[float, float, float]]:
