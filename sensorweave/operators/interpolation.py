@@ -247,19 +247,26 @@ def boosted(panel: DataFrame, stations: DataFrame, folds: int = 4, rounds: int =
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    names, out = ["lat", "lon", "nearest", "hour", "dow", "month", "city"], None
-    dealt = F.pmod("gid", F.lit(folds))
-    own = stations.select("station_id", F.col("gid").alias("g"))
+    names = ["lat", "lon", "nearest", "hour", "dow", "month", "city"]
+    inputs = {"plain": names, "hybrid": [*names, "idw"]}
+    dealt, own = F.pmod("gid", F.lit(folds)), stations.select("station_id", F.col("gid").alias("g"))
+
+    def seen(rows: DataFrame) -> DataFrame:
+        for model, columns in inputs.items():
+            rows = VectorAssembler(inputCols=columns, outputCol=f"{model}_x").transform(rows)
+        return rows
+
+    out = None
     for k in sorted(r.k for r in stations.select(dealt.alias("k")).distinct().toLocalIterator()):
-        train = design(panel, stations.where(dealt != k).withColumn("gid", F.col("station_id")), power).persist()
-        test = design(panel, stations.withColumn("gid", F.when(dealt == k, 0).otherwise(1).cast("long")), power).where("g = 0").drop("g").join(F.broadcast(own), "station_id")
-        for model, inputs in (("plain", names), ("hybrid", [*names, "idw"])):
-            seen = VectorAssembler(inputCols=inputs, outputCol="x")
-            fitted = GBTRegressor(featuresCol="x", labelCol="observed", predictionCol="tree", maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed).fit(seen.transform(train))
-            part = fitted.transform(seen.transform(test)).select(F.lit(model).alias("model"), "station_id", "g", "ts", "observed", F.col("tree").alias("idw"), "city")
-            out = part if out is None else out.unionByName(part)
+        train = seen(design(panel, stations.where(dealt != k).withColumn("gid", F.col("station_id")), power)).persist()
+        test = seen(design(panel, stations.withColumn("gid", F.when(dealt == k, 0).otherwise(1).cast("long")), power).where("g = 0").drop("g"))
+        for model in inputs:
+            grown = GBTRegressor(featuresCol=f"{model}_x", labelCol="observed", predictionCol=model, maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed)
+            test = grown.fit(train).transform(test)
         train.unpersist()
-    return out
+        out = test if out is None else out.unionByName(test)
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("idw")) for m in inputs)))
+    return out.select("station_id", "ts", "observed", "city", each.alias("e")).join(F.broadcast(own), "station_id").select("e.model", "station_id", "g", "ts", "observed", "e.idw", "city")
 
 
 def _errors_by_level(predicted: DataFrame, bins: int, least: int) -> DataFrame:
