@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,14 +46,19 @@ def nearest(queries: DataFrame, points: DataFrame, size: float, rounds: int = 40
 
     Cells double from round to round, and a query is done when its best distance is within the
     cell size, which the nine cells around it cover; only open queries go on. `rounds` doublings
-    reach any coordinate, so it is a guard and not a limit.
+    reach any coordinate, so it is a guard and not a limit. A query without coordinates, or all where
+    there is no point, have a null distance; points without coordinates count for nothing.
     """
-    open_, done = queries.select("id", "x", "y"), None
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    points, none = points.where(placed), F.lit(None).cast("double").alias("distance")
+    if points.isEmpty():
+        return queries.select("id", none)
+    open_, done = queries.where(placed).select("id", "x", "y"), queries.where(~placed).select("id", none)
     for _ in range(rounds):
         p = _binned(points.select("x", "y").distinct(), size).select("bx", "by", F.col("x").alias("px"), F.col("y").alias("py"))
         best = _around(open_, size).join(p, ["bx", "by"], "left").groupBy("id", "x", "y").agg(F.min(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).alias("d"))
         closed = best.where(F.col("d") <= size).select("id", F.col("d").alias("distance"))
-        done = closed if done is None else done.unionByName(closed)
+        done = done.unionByName(closed)
         open_ = best.where(F.col("d").isNull() | (F.col("d") > size)).select("id", "x", "y")
         if open_.isEmpty():
             break
@@ -98,6 +105,26 @@ def resample(segs: DataFrame, spacing: float = 10.0) -> DataFrame:
     return out.select("id", "k", "j", F.round(F.col("x1") + t * (F.col("x2") - F.col("x1")), 6).alias("x"), F.round(F.col("y1") + t * (F.col("y2") - F.col("y1")), 6).alias("y"))
 
 
+def features_for(queries: DataFrame, major: DataFrame, roads: DataFrame, coast: DataFrame, industry: DataFrame, buildings: DataFrame, size: float = 500.0, spacing: float = 10.0) -> DataFrame:
+    """Six land-use features of any points (id, x, y in metres): distances to major roads, coast and industry, road densities and building density.
+
+    Roads and coast are points every `spacing` metres, industry the directed edges (id, k, x1, y1, x2, y2) of its rings, buildings points.
+    A point within a ring is at distance 0. A layer without points has null distances and density 0.
+    """
+    far = lambda layer, name: nearest(queries, layer, size).select("id", F.round(F.col("distance") + 1e-9, 1).alias(name))
+    area = lambda metres: math.pi * (metres / 1000) ** 2
+    dense = lambda layer, metres, each, name, places: radius_count(queries, layer, metres).select("id", F.round(F.col("n") * (each / area(metres)), places).alias(name))
+    rim = far(resample(industry, spacing).select("x", "y"), "rim").join(inside(queries, industry.select("x1", "y1", "x2", "y2")), "id")
+    parts = [
+        far(major, "dist_major_road_m"), dense(roads, 500.0, spacing / 1000, "road_density_500m", 2), dense(roads, 1000.0, spacing / 1000, "road_density_1km", 2), far(coast, "dist_coast_m"),
+        rim.select("id", F.when(F.col("inside"), 0.0).otherwise(F.col("rim")).alias("dist_industrial_m")), dense(buildings, 500.0, 1.0, "building_density_500m", 1),
+    ]
+    out = queries.select("id")
+    for part in parts:
+        out = out.join(part, "id", "left")
+    return out
+
+
 def grid(spark, box: tuple[float, float, float, float], n: int) -> DataFrame:
     """Centres of n x n cells of a box (lon0, lat0, lon1, lat1)."""
     lon0, lat0, lon1, lat1 = box

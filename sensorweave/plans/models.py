@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import interpolation, regression
-from .oracles import _R, _RANK, _UNITS, _q
-from .panel import panel, stations
-from .queries import _logo, _units
+from ..operators import interpolation, regression, spatial
+from ..session import table
+from .oracles import _EDGES, _R, _RANK, _UNITS, _q
+from .panel import panel, points, sites, stations
+from .queries import _RING, _logo, _units
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,24 @@ def rank_sum_test(spark, sf):
 def signed_rank_test(spark, sf):
     """Exact where no gaps are tied, as here."""
     return regression.signed_rank_test(interpolation.scores(_logo(spark, sf), "g"), "gap")
+
+
+def _least(layer: str, name: str) -> str:
+    return f"(select s.id, round(min(sqrt(pow(s.x - p.x, 2) + pow(s.y - p.y, 2))) + 1e-9, 1) as {name} from sites s, {layer} p group by 1)"
+
+
+def _dense(layer: str, metres: int, each: str, name: str, places: int) -> str:
+    return f"(select s.id, round(count(p.x) * ({each} / (pi() * pow({metres} / 1000.0, 2))), {places}) as {name} from sites s left join {layer} p on pow(s.x - p.x, 2) + pow(s.y - p.y, 2) <= {metres * metres} group by 1)"
+
+
+@query(_q("select id, dist_major_road_m, road_density_500m, road_density_1km, dist_coast_m, case when inside then 0 else rim end as dist_industrial_m, building_density_500m from " + " join ".join([
+              _least("mj", "dist_major_road_m"), _dense("points", 500, "0.01", "road_density_500m", 2) + " using (id)", _dense("points", 1000, "0.01", "road_density_1km", 2) + " using (id)", _least("co", "dist_coast_m") + " using (id)",
+              _least("rm", "rim") + " using (id)", "(select s.id, count(*) filter ((y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1 as inside from sites s, ed group by 1) using (id)", _dense("bl", 500, "1", "building_density_500m", 1) + " using (id)"]),
+          f"ed(x1, y1, x2, y2) as (values {_EDGES})", "el as (select *, greatest(1, round_even(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 10, 0))::int as n from ed)", "rm as (select x1 + (j + 0.5::double) / n * (x2 - x1) as x, y1 + (j + 0.5::double) / n * (y2 - y1) as y from (select *, unnest(range(n)) as j from el))",
+          "mj as (select (c_custkey * 7919 % 10007)::double as x, (c_custkey * 3571 % 10009)::double as y from customer)", "co as (select -50.0::double as x, 5.0::double + 10 * k as y from (select unnest(range(1000)) as k))", "bl as (select (p_partkey * 104729 % 10007)::double as x, (p_partkey * 7321 % 10009)::double as y from part)"))
+def features_for(spark, sf):
+    """Features of the sites: customers stand in for points of major roads, orders for those of all roads, parts for buildings."""
+    at = lambda name, key, a, b: table(spark, sf, name).select((F.col(key) * a % 10007).cast("double").alias("x"), (F.col(key) * b % 10009).cast("double").alias("y"))
+    coast = spark.range(1000).select(F.lit(-50.0).alias("x"), (5.0 + 10 * F.col("id")).alias("y"))
+    edges = spark.createDataFrame([(k, 0, *a, *b) for k, (a, b) in enumerate(zip(_RING, [*_RING[1:], _RING[0]], strict=True))], "id long, k long, x1 double, y1 double, x2 double, y2 double")
+    return spatial.features_for(sites(spark, sf), at("customer", "c_custkey", 7919, 3571), points(spark, sf).select("x", "y"), coast, edges, at("part", "p_partkey", 104729, 7321))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorweave.functions import stats
 from sensorweave.functions.geo import haversine_km
-from sensorweave.operators import interpolation, regression
+from sensorweave.operators import interpolation, regression, spatial
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -144,3 +144,17 @@ def test_rank_tests(spark):
 def test_distance_of_pairs_is_the_great_circle(spark):
     one = spark.range(1).select(haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("km")).first().km
     assert one == pytest.approx(math.pi * 6371 / 180)
+
+
+def test_features_of_points(spark):
+    xy = lambda *rows: spark.createDataFrame(rows, "x double, y double")
+    q = spark.createDataFrame([(1, 50.0, 50.0), (2, 130.0, 50.0), (3, None, 5.0)], "id long, x double, y double")
+    ring = [(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)]
+    edges = spark.createDataFrame([(k, 0, *a, *b) for k, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1], strict=True))], "id long, k long, x1 double, y1 double, x2 double, y2 double")
+    roads = xy((50.0, 650.0), (130.0, 350.0), (130.0, 1000.0))
+    out = spatial.features_for(q, xy((130.0, 54.0)), roads, xy().limit(0), edges, xy((0.0, 0.0), (0.0, 0.0)))
+    got = {r.id: r for r in out.collect()}
+    assert [got[i].dist_industrial_m for i in (1, 2, 3)] == [0.0, pytest.approx(30.4, abs=0.05), None]
+    assert got[1].dist_major_road_m == pytest.approx(80.1) and got[2].dist_major_road_m == 4.0
+    assert got[1].dist_coast_m is None and got[1].building_density_500m == pytest.approx(2 / (math.pi / 4), abs=0.06)
+    assert got[2].road_density_500m == round(0.01 / (math.pi / 4), 2) and got[2].road_density_1km == round(0.03 / math.pi, 2)
