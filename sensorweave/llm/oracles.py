@@ -46,4 +46,33 @@ select vec_id, coalesce(c.n, 0) as n_links, least(vec_id, coalesce(r.m, vec_id))
 from embeddings left join c on c.a = vec_id left join r on r.n = vec_id
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_warc": OP3, "op8_vectors": OP8, "op10_urlfilter": OP10}
+OP12 = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: floor(256 * c::double)) as x
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0 and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda c: not isfinite(c))) = 0),
+s as (select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, cast(list_inner_product(a.x, b.x) as bigint) as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.x) = len(b.x)),
+p as (select anchor_id, vec_id as positive_id, own, score as positive_score from s where label = own qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over w as int) as rank, s.vec_id as negative_id, positive_score, s.score as negative_score
+from p join s using (anchor_id) where s.label <> p.own and 80 * positive_score <= 100 * s.score and s.score <= positive_score
+qualify row_number() over w <= 5 window w as (partition by anchor_id, positive_id order by s.score desc, s.vec_id)
+"""
+
+
+def _sketch(text: str) -> str:
+    return f"""(select case when len(list_filter(h, lambda x: x < '2')) > 0 or len(h) = 0 then list_sort(list_distinct([left(x, 16) for x in h if x < '2'])) else [left(list_min(h), 16)] end
+  from (select case when len(w) = 0 then [] else [md5(array_to_string(w[i : i + 4], ' ')) for i in range(1, greatest(len(w) - 4, 1) + 1)] end as h from (select {_WORDS.format(text)} as w)))"""
+
+
+OP13 = f"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
+o as (select *, coalesce(lead(doc_id) over w, first_value(doc_id) over w) as next_id, coalesce(lead(t) over w, first_value(t) over w) as next_t from d window w as (order by doc_id desc)),
+e as (select *, substr(t, 1, n - n // 3) || substr(next_t, 1, n // 3) as edited from o),
+s as (select doc_id, next_id, n, edited, {_sketch('t')} as s, {_sketch('edited')} as x from e),
+j as (select s.*, b.s as y from s join s b on b.doc_id = s.next_id),
+c as (select *, len(list_intersect(s, x)) as sx, len(list_intersect(s, y)) as sy from j)
+select doc_id, n as n_chars, sha256(edited) as edited_sha256, array_to_string(s, '') as fingerprint, array_to_string(x, '') as edited_fingerprint,
+ case when len(s) + len(x) = 0 then 1.0::double else sx / (len(s) + len(x) - sx) end as near_edited, case when len(s) + len(y) = 0 then 1.0::double else sy / (len(s) + len(y) - sy) end as near_next,
+ case when len(s) = 0 then 1.0::double else sx / len(s) end as in_edited, case when len(s) = 0 then 1.0::double else sy / len(s) end as in_next
+from c
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_warc": OP3, "op8_vectors": OP8, "op10_urlfilter": OP10, "op12_negatives": OP12, "op13_fingerprints": OP13}
