@@ -53,7 +53,7 @@ s as (select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, cast(list
 p as (select anchor_id, vec_id as positive_id, own, score as positive_score from s where label = own qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
 select anchor_id, positive_id, cast(row_number() over w as int) as rank, s.vec_id as negative_id, positive_score, s.score as negative_score
 from p join s using (anchor_id) where s.label <> p.own and 80 * positive_score <= 100 * s.score and s.score <= positive_score
-qualify row_number() over w <= 5 window w as (partition by anchor_id, positive_id order by s.score desc, s.vec_id)
+window w as (partition by anchor_id, positive_id order by s.score desc, s.vec_id) qualify row_number() over w <= 5
 """
 
 
