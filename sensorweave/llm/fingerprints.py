@@ -9,7 +9,8 @@ each other (1) and unlike all else (0).
 
 Everything is built from columns and joins. Likeness to a changed text: the last third of each document makes way for the
 beginning of the next one by descending id. The order comes from ranges of ids, sorted apart, and one row from each range's end.
-Texts are shuffled once by key, with their sketches, and beginnings once more; both joins read the same exchange.
+Texts are shuffled once by key, with their sketches as bytes, and beginnings once more; both joins read the same exchange (so
+both must ask it for the same columns).
 
 Null texts are empty; null ids come last in the order. Documents with one id are ordered by hashes of their texts; repeated rows (id and text) are
 kept once while they are worked on and each is the next of another. Very long texts are handled whole. A single document is its own next one; an empty
@@ -54,6 +55,17 @@ def sketch(text: Column, fraction: float = FRACTION, shingle: int = SHINGLE) ->
     return F.sort_array(F.array_distinct(F.transform(kept, lambda x: F.substring(x, 1, DIGITS))))
 
 
+def packed(s: Column) -> Column:
+    """A sketch as bytes, half as long, for shuffles."""
+    return F.unhex(F.array_join(s, ""))
+
+
+def unpacked(b: Column) -> Column:
+    size = DIGITS // 2
+    starts = F.when(F.length(b) > 0, F.sequence(F.lit(1), F.length(b), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.lower(F.hex(F.substring(b, i, F.lit(size)))))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """The estimate of Jaccard similarity from two sketches."""
     both = F.size(F.array_intersect(a, b))
@@ -90,10 +102,10 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
 
 
 def _previous(keys: DataFrame) -> DataFrame:
-    """keys (distinct, with n) and the key and n of the document before each, prefixed p_; the last is before the first."""
+    """keys (distinct, with n and rows) and those of the document before each, prefixed p_; the last is before the first."""
     order = [F.col("z"), F.col("d").desc(), F.col("h1"), F.col("h2")]
     held = cut(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    own = F.struct(*_KEY, "n")
+    own = F.struct(*_KEY, "n", "rows")
     within = Window.partitionBy("part").orderBy(*order)
     held = held.withColumns({"p": F.lag(own).over(within), "last": F.lead("d").over(within).isNull()})
     # a row for each part: as many as partitions
@@ -101,7 +113,7 @@ def _previous(keys: DataFrame) -> DataFrame:
     parts = Window.orderBy("part")
     ends = ends.select("part", F.coalesce(F.lag("end").over(parts), F.last("end").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("end"))
     joined = held.join(F.broadcast(ends), "part").withColumn("p", F.coalesce("p", "end"))
-    return joined.select(*_KEY, *[F.col(f"p.{c}").alias(f"p_{c}") for c in [*_KEY, "n"]])
+    return joined.select(*_KEY, *[F.col(f"p.{c}").alias(f"p_{c}") for c in [*_KEY, "n", "rows"]])
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fraction: float = FRACTION) -> DataFrame:
@@ -109,10 +121,10 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fraction
     integral(docs, doc_id)
     size = F.length("t").cast("long")
     keys = _keyed(docs, doc_id, text).groupBy(*_KEY, size.alias("n")).agg(F.count(F.lit(1)).alias("rows"))
-    before = cut(_previous(keys.drop("rows")))
-    once = _keyed(docs, doc_id, text, sketch(F.col("t"), fraction).alias("s")).groupBy(*_KEY).agg(F.first("t").alias("t"), F.first("s").alias("s"), F.count(F.lit(1)).alias("rows"))
+    before = cut(_previous(keys))
+    once = _keyed(docs, doc_id, text, packed(sketch(F.col("t"), fraction)).alias("s")).groupBy(*_KEY).agg(F.first("t").alias("t"), F.first("s").alias("s"))
     third = lambda n: F.floor(n / 3).cast("int")
-    begun = once.join(before, _KEY).select(*[F.col(f"p_{c}").alias(c) for c in _KEY], F.substring("t", F.lit(1), third(F.col("p_n"))).alias("next_t"), F.col("s").alias("next_s"))
+    begun = once.join(before, _KEY).select(*[F.col(f"p_{c}").alias(c) for c in _KEY], F.substring("t", F.lit(1), third(F.col("p_n"))).alias("next_t"), F.col("s").alias("next_s"), F.col("p_rows").alias("rows"))
     both = once.join(begun, _KEY).withColumn("n", size)
     own = F.substring("t", F.lit(1), third(F.col("n")))
     nexts = F.when(F.col("rows") == 1, F.array(F.struct(F.col("next_t").alias("t"), F.col("next_s").alias("s"), F.lit(1).cast("long").alias("rows"))))
@@ -121,6 +133,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fraction
     edited = F.concat(F.substring("t", F.lit(1), (F.col("n") - third(F.col("n"))).cast("int")), F.col("next.t"))
     each = each.select("d", "z", "n", "s", edited.alias("edited"), F.col("next.s").alias("next"), F.col("next.rows").alias("rows"))
     each = each.select("*", sketch(F.col("edited"), fraction).alias("e"))
+    each = each.withColumns({"s": unpacked(F.col("s")), "next": unpacked(F.col("next"))})
     s, e, n = F.col("s"), F.col("e"), F.col("next")
     out = each.select(
         F.when(~F.col("z"), F.col("d")).alias("doc_id"), F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), s.alias("sketch"), e.alias("edited_sketch"),
