@@ -4,20 +4,22 @@ A text's shingles are its runs of five words, weighing 1 + ln(occurrences). Each
 Poisson process whose rate is its weight; every arrival falls into one of M registers, and a
 register keeps the shingle that arrived first. Arrivals are made in rounds and a shingle stops as
 soon as its next arrival is later than all the text's registers, so most stop after one or two.
-Two texts agree in a register with the probability of their probability Jaccard similarity.
+Two texts agree in a register with the probability of their probability Jaccard similarity. A text in which
+shingles repeat has a second signature, all its shingles weighing 1: it agrees with another's with the probability of their plain
+Jaccard similarity (of a text without repeats both signatures are one).
 
 Equal texts are one class from the start, so large groups of copies cost one row each. Registers
-go four to a band, and texts with a band in common share a bucket. The same rule holds for buckets of every
+go four to a band (fewer for lower similarities), and texts with a band of any of their signatures in common share a bucket. The same rule holds for buckets of every
 size. In each of ROUNDS rounds a text proposes one link, to a member of the largest component of one
 of its buckets, which is verified exactly; so a round costs at most a pair a text, and a group of
 copies becomes one component without being spelled out. Then nothing is left to chance: wherever a
 bucket still spans several components, all pairs across them are compared by registers, in tasks of two
-blocks of bounded size, and those that agree in LIKELY registers are verified exactly within such
+blocks of bounded size, and those that agree in enough registers are verified exactly within such
 tasks, which report no pairs but a spanning forest of their links. A pair is compared in the first
-bucket that it shares only. Rows that move grow with texts, whatever a group's size; only comparisons within
-buckets that are not one component grow with their squares.
+bucket that it shares only. Within a bucket that is not one component after the rounds, comparisons grow with the square of what its
+largest component leaves, and so do, divided by the size of a block, the rows that are sent to them.
 
-What is missed: pairs at 0.8 share none of 32 bands once in 20 million, agree in fewer than 80 of 128
+What is missed follows from the similarity asked for (see Plan). At 0.8, of either kind: pairs share none of 32 bands once in 20 million, agree in fewer than 80 of 128
 registers once in 700,000 and have an end with fewer than three shared buckets less than once in 50,000.
 
 A link is a probability Jaccard or a plain Jaccard similarity of 0.8 or more (they are equal where
@@ -29,6 +31,8 @@ one id are one document if their texts are equal, else documents of their own. N
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +43,41 @@ from ..session import ship
 from .common import _Q, Words, chunks, cut, free_names, hot_join, integral, map_batches, merged, mix, whole_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Registers, registers to a band, buckets that a text must share to have a partner.
-M, BAND, SHARED = 128, 4, 3
+#: Registers of a signature, and registers of 16 bits that go to a stored number.
+M, WORD = 128, 4
 #: Rounds of proposed links before the rest is compared pair by pair.
 ROUNDS = 2
-#: Members and bytes of text of a block where pairs across components are compared, and registers that a pair must agree in.
-BLOCK, BLOCK_BYTES, LIKELY = 2048, 8 << 20, 80
+#: Members and bytes of text of a block where pairs across components are compared.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How candidates of a similarity are found: registers to a band, buckets that a text must share to have a partner, registers that a pair must agree in."""
+
+    band: int
+    shared: int
+    likely: int
+
+    @staticmethod
+    def of(least: float) -> Plan:
+        """The widest bands that a pair shares none of once in a million; the most buckets that an end has too few of once in 20,000; five deviations below the mean of agreeing registers."""
+        if not 0 < least <= 1:
+            raise ValueError("a similarity lies above 0, up to 1")
+        fewer = lambda k, s: sum(comb(M // k, i) * least ** (k * i) * (1 - least**k) ** (M // k - i) for i in range(s))
+        band = next((k for k in (4, 2) if fewer(k, 1) < 1e-6), 1)
+        shared = max((s for s in range(1, 4) if fewer(band, s) < 5e-5), default=1)
+        return Plan(band, shared, max(1, int(M * least - 4.95 * sqrt(M * least * (1 - least)))))
+
+    def keys(self, regs: np.ndarray) -> np.ndarray:
+        """The bands of registers, a row a text."""
+        return regs.view({4: np.int64, 2: np.uint32, 1: np.uint16}[self.band])
+
+    def column(self) -> Column:
+        """(band, v) of a text's column of signatures, each once."""
+        parts, bits = WORD // self.band, 16 * self.band
+        each = lambda x, i: F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.struct(((i % (M // WORD)) * parts + j).cast("int").alias("band"), F.call_function("shiftrightunsigned", x, j * bits).bitwiseAND((1 << bits) - 1 if bits < 64 else -1).alias("v")))
+        return F.array_distinct(F.flatten(F.transform("bands", each)))
 
 
 def weighted(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,14 +112,22 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int,
 
 
 def bands(own: np.ndarray) -> np.ndarray:
-    """16 bits of each register, four of them to a band's 64."""
+    """16 bits of each register, four of them to a number of 64."""
     return mix(own).astype(np.uint16).view(np.int64)
 
 
-def _registers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """The registers behind a column of bands, a row a text."""
+def _registers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted and the plain registers behind a column of signatures, a row a text; they are the same where a text has one signature."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), M // BAND).view(np.uint16)
+    values, size = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.value_lengths()).astype(np.int64)
+    first, own = np.cumsum(size) - size, M // WORD
+    rows = lambda at: values[at[:, None] + np.arange(own)].view(np.uint16)
+    return rows(first), rows(first + size - own)
+
+
+def _agree(x: tuple[np.ndarray, np.ndarray], a: np.ndarray, y: tuple[np.ndarray, np.ndarray], b: np.ndarray) -> np.ndarray:
+    """Registers in which rows a of x agree with rows b of y, of the signature that agrees more."""
+    return np.maximum((x[0][a] == y[0][b]).sum(1), (x[1][a] == y[1][b]).sum(1))
 
 
 def _sign(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -94,14 +135,23 @@ def _sign(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), *content(text), F.octet_length(text).alias("size"), F.col(text).alias("t"))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        worded, keys = [], []
+        worded, keys, sizes = [], [], []
         for lo, hi, data, offsets in chunks(b.column(4)):
             w = Words(data, offsets)
             has = np.diff(w.first) > 0
             worded.append(has)
-            keys.append(bands(signatures(*weighted(w), hi - lo))[has])
+            doc, h, weight = weighted(w)
+            own = bands(signatures(doc, h, weight, hi - lo))
+            twice = np.bincount(doc, weight > 1, hi - lo) > 0
+            again = twice[doc]
+            plain = bands(signatures((np.cumsum(twice) - 1)[doc[again]], h[again], np.ones(again.sum()), int(twice.sum())))
+            at = np.concatenate([np.arange(hi - lo), np.flatnonzero(twice)])
+            order = np.argsort(at, kind="stable")
+            order = order[has[at[order]]]
+            keys.append(np.concatenate([own, plain])[order].ravel())
+            sizes.append(np.where(twice, 2, 1)[has] * (M // WORD))
         keep, keys = np.concatenate(worded), np.concatenate(keys)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (M // BAND)), pa.array(keys.ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32()), pa.array(keys))
         own = pa.RecordBatch.from_arrays(list(b.columns[:4]), ["id", "k1", "k2", "size"]).filter(pa.array(keep))
         return pa.RecordBatch.from_arrays([*own.columns, lists], ["id", "k1", "k2", "size", "bands"])
 
@@ -155,12 +205,12 @@ def _jaccard(left, right, n: int) -> np.ndarray:
     return np.maximum(plain, np.bincount(p, 1 / (below / wb[i] + above / wa[i]), n))
 
 
-def _shared(reps: DataFrame) -> DataFrame:
+def _shared(reps: DataFrame, plan: Plan) -> DataFrame:
     """(band, v, rep, size): buckets of two texts and more, of texts that are in enough of them."""
-    dealt = reps.select("rep", "size", F.posexplode("bands").alias("band", "v"))
+    dealt = reps.select("rep", "size", F.explode(plan.column()).alias("k")).select("rep", "size", "k.band", "k.v")
     full = cut(dealt.groupBy("band", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     held = hot_join(dealt, full, ["band", "v"], full).select("band", "v", "rep", "size")
-    often = held.groupBy("rep", "size").agg(F.collect_list(F.struct("band", "v")).alias("keys")).where(F.size("keys") >= SHARED)  # at most a row a band
+    often = held.groupBy("rep", "size").agg(F.collect_list(F.struct("band", "v")).alias("keys")).where(F.size("keys") >= plan.shared)  # at most two rows a band
     return cut(often.select("rep", "size", F.explode("keys").alias("k")).select("k.band", "k.v", "rep", "size"))
 
 
@@ -187,14 +237,15 @@ def _named(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
     """The pairs that agree in enough registers."""
     side = lambda k, x: reps.select(F.col("rep").alias(k), F.col("bands").alias(x))
     rows = hot_join(pairs.join(side("a", "x"), "a"), side("b", "y"), ["b"], _named(pairs)).select("a", "b", "x", "y")
 
     def one(t: pa.RecordBatch) -> pa.RecordBatch:
-        agree = (_registers(t.column(2)) == _registers(t.column(3))).sum(1)
-        return pa.RecordBatch.from_arrays(list(t.columns[:2]), ["a", "b"]).filter(pa.array(agree >= LIKELY))
+        every = np.arange(t.num_rows)
+        agree = _agree(_registers(t.column(2)), every, _registers(t.column(3)), every)
+        return pa.RecordBatch.from_arrays(list(t.columns[:2]), ["a", "b"]).filter(pa.array(agree >= plan.likely))
 
     return cut(map_batches(rows, one, "a long, b long"))
 
@@ -238,25 +289,26 @@ def _dealt(own: DataFrame, block: int, block_bytes: int) -> DataFrame:
 _TASK = ["band", "v", "kind", "i", "j"]
 
 
-def _pairs(t: pa.Table, most: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs(t: pa.Table, plan: Plan, most: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of pairs of one task and of different components that agree in enough registers and share no earlier bucket, and how many agree."""
-    regs, keys = _registers(t.column("bands")), None
+    regs = _registers(t.column("bands"))
     col = {k: t.column(k).to_numpy() for k in ("band", "side", "comp", "rep")}
     first = np.ones(len(t), bool)
     first[1:] = np.any([(x := t.column(k).to_numpy())[1:] != x[:-1] for k in _TASK], axis=0)
     begin = np.append(np.flatnonzero(first), len(t))
     size = np.diff(begin)
-    keys = regs.view(np.int64)
+    keys = [plan.keys(r) for r in regs]
 
     def good(a: np.ndarray, b: np.ndarray):
         own = (col["comp"][a] != col["comp"][b]) & ((col["side"][a] != 2) | (col["rep"][a] < col["rep"][b]))
         a, b = a[own], b[own]
         for lo in range(0, len(a), most):
             x, y = a[lo : lo + most], b[lo : lo + most]
-            n = (regs[x] == regs[y]).sum(1)
-            x, y, n = x[n >= LIKELY], y[n >= LIKELY], n[n >= LIKELY]
+            n = _agree(regs, x, regs, y)
+            x, y, n = x[n >= plan.likely], y[n >= plan.likely], n[n >= plan.likely]
             if len(x):
-                new = (keys[x] == keys[y]).argmax(1) == col["band"][x]
+                met = np.any([k[x] == m[y] for k in keys for m in keys], axis=0)
+                new = met.argmax(1) == col["band"][x]
                 yield x[new], y[new], n[new]
 
     few, of = size <= 16, np.repeat(np.arange(len(size)), size)
@@ -280,7 +332,7 @@ def _pairs(t: pa.Table, most: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.nd
             yield from good(np.repeat(some, len(right)), np.tile(right, len(some)))
 
 
-def _flagged(dealt: DataFrame, reps: DataFrame) -> DataFrame:
+def _flagged(dealt: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
     """The members of tasks that have a likely partner there."""
     ship(dealt.sparkSession)
     rows = dealt.join(reps.select("rep", "bands"), "rep").select(*_TASK, "side", "rep", "comp", "bands").repartition(*_TASK).sortWithinPartitions(*_TASK)
@@ -288,7 +340,7 @@ def _flagged(dealt: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches):
         for t in whole_groups(batches, len(_TASK)):
             hit = np.zeros(len(t), bool)
-            for a, b, _ in _pairs(t):
+            for a, b, _ in _pairs(t, plan):
                 hit[a] = hit[b] = True
             if hit.any():
                 yield from t.drop_columns(["bands"]).filter(pa.array(hit)).combine_chunks().to_batches()
@@ -296,7 +348,7 @@ def _flagged(dealt: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, dealt.schema)
 
 
-def _forest(flagged: DataFrame, reps: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _forest(flagged: DataFrame, reps: DataFrame, texts: DataFrame, least: float, plan: Plan) -> DataFrame:
     """(a, b): for each task a forest of links that joins what its links join."""
     ship(flagged.sparkSession)
     rows = flagged.join(reps.select("rep", "bands"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
@@ -304,7 +356,7 @@ def _forest(flagged: DataFrame, reps: DataFrame, texts: DataFrame, least: float)
 
     def run(batches):
         for t in whole_groups(batches, len(_TASK)):
-            a, b, n = (np.concatenate(x) for x in zip(*[(np.zeros(0, np.int64),) * 3, *_pairs(t)], strict=True))
+            a, b, n = (np.concatenate(x) for x in zip(*[(np.zeros(0, np.int64),) * 3, *_pairs(t, plan)], strict=True))
             order = np.argsort(-n, kind="stable")
             a, b, rep, comp = a[order], b[order], t.column("rep").to_numpy(), t.column("comp").to_numpy()
             begin, h, x = _texts(t.column("t"))
@@ -353,12 +405,13 @@ def _alike(a: np.ndarray, b: np.ndarray, begin: np.ndarray, h: np.ndarray, x: np
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Documents with words: (id, k1, k2, rep), rep being the least id of their text; and (node, component) of linked reps."""
     integral(docs, doc_id)
+    plan = Plan.of(least)
     signed = cut(_sign(docs, doc_id, text))
     reps = cut(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     member = hot_join(signed.select("id", "k1", "k2"), reps.select("k1", "k2", "rep"), ["k1", "k2"], reps, "copies").select("id", "k1", "k2", "rep")
     if not reps.groupBy("rep").count().where("count > 1").isEmpty():  # an id with several texts: the least content key stands for it among the links
         reps = cut(reps.groupBy("rep").agg(F.min(F.struct("k1", "k2", "size", "bands")).alias("m")).select("rep", "m.*"))
-    held = _shared(reps)
+    held = _shared(reps, plan)
     named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), *content(text), F.col(text).alias("t"))
 
     def texts(ids: DataFrame) -> DataFrame:
@@ -368,7 +421,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     comp, tested = None, None
     for k in range(ROUNDS):
         pairs = _proposed(_placed(held, comp), tested, k)
-        likely = _likely(pairs, reps)
+        likely = _likely(pairs, reps, plan)
         if likely.isEmpty():
             break
         links = _verified(likely, texts(likely.select(F.col("a").alias("id")).union(likely.select("b"))), least)
@@ -376,9 +429,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
             comp = merged(comp, links)
         both = pairs.union(pairs.select("b", "a"))
         tested = both if tested is None else tested.union(both)
-    flagged = cut(_flagged(_dealt(_placed(held, comp), BLOCK, BLOCK_BYTES), reps))
+    flagged = cut(_flagged(_dealt(_placed(held, comp), BLOCK, BLOCK_BYTES), reps, plan))
     if not flagged.isEmpty():
-        links = cut(_forest(flagged, reps, texts(flagged.select(F.col("rep").alias("id"))), least))
+        links = cut(_forest(flagged, reps, texts(flagged.select(F.col("rep").alias("id"))), least, plan))
         if not links.isEmpty():
             comp = merged(comp, links)
     if comp is None:

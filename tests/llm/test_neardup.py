@@ -77,6 +77,40 @@ def test_classes_equal_brute_force(spark, seed):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_plain_similarity_of_texts_with_unequal_repeats(spark):
+    rnd = random.Random(6)
+    texts = []
+    for k in range(20):  # the same shingles, one of them 20,000 times: plain similarity 1, the other kind near 0
+        w = [f"p{k}x{rnd.randrange(10**6)}" for _ in range(30)]
+        texts += [" ".join(w), " ".join(w[:1] * 6 + w[1:]), " ".join(w[:1] * 20_000 + w[1:])]
+    assert nd.similarities(pa.array(texts[1:2]), pa.array(texts[2:3]))[0] == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in nd.report(docs).collect()}
+    links = {(3 * k + 1, 3 * k + 2) for k in range(20)} | {(3 * k, 3 * k + j) for k in range(20) for j in (1, 2)}
+    assert [got[i] for i in range(60)] == _components(60, links)
+
+
+@pytest.mark.parametrize("least", [0.6, 0.9])
+def test_other_similarities(spark, least):
+    rnd = random.Random(int(10 * least))
+    texts = []
+    for k in range(60):
+        w = [f"q{k}x{rnd.randrange(10**6)}" for _ in range(200)]
+        n = round(204 * least / (1 + least)) + rnd.randint(-12, 12) + 110 * (least > 0.8)
+        texts += [" ".join(w), " ".join(w[:n] + [f"{x}b" for x in w[n:]])]
+    links = nd.brute_force(texts, least)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in nd.report(docs, least=least).collect()}
+    assert [got[i] for i in range(120)] == _components(120, links)
+
+
+def test_plans():
+    assert nd.Plan.of(0.8) == nd.Plan(4, 3, 80)
+    assert nd.Plan.of(0.6).band == 2 and nd.Plan.of(0.2).band == 1
+    with pytest.raises(ValueError):
+        nd.Plan.of(0)
+
+
 def test_large_groups_of_near_copies(spark):
     rnd = random.Random(8)
     vocab = [f"w{i}" for i in range(500)]
