@@ -22,14 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import chunks, map_batches
 
 ORDER = 3
-#: Texts a language is learned from, about; the sample is drawn by hash of the text, so copies count once for the draw.
+#: Distinct texts a language is learned from at most, those with the smallest hashes: copies count once, and every language has some.
 SAMPLE = 1200
 #: Occurrences that the longest contexts need, and how many of them are kept at most (the most frequent).
 LEAST, STATES = 3, 24000
@@ -66,13 +66,11 @@ def _histories(sym: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, text: str, lang: str, train: Column, most: int) -> DataFrame:
-    """(lang, text) of about `most` labelled texts a language."""
-    rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return rows.limit(0)
-    share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, most / n))))
-    return rows.where(F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    """(lang, text) of the `most` distinct labelled texts of each language with the smallest hashes; all, if there are fewer."""
+    rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit(17), text).alias("h"), F.col(text).alias("text"))
+    first = Window.partitionBy("lang").orderBy("h")  # a task keeps no more than `most` of its rows before they are shuffled
+    bounds = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= max(1, most)).groupBy("lang").agg(F.max("h").alias("last"))
+    return rows.join(F.broadcast(bounds), "lang").where("h <= last").dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", train: Column | None = None, most: int = SAMPLE, states: int = STATES, least: int = LEAST) -> Model:

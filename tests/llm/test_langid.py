@@ -75,3 +75,11 @@ def test_nothing_to_learn(spark):
     out = langid.predict(docs, langid.train(docs)).collect()
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)]
     assert langid.predict(docs.limit(0), langid.train(docs.limit(0))).collect() == []
+
+
+def test_sample_counts_copies_once_and_has_every_language(spark):
+    rows = [("en", "the and copy")] * 3000 + [("fr", "le eau")] + [("de", f"und {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    got = Counter(r.lang for r in langid.sample(docs, "text", "lang", F.lit(True), 20).collect())
+    assert got == {"en": 1, "fr": 1, "de": 20}
+    assert langid.train(docs, most=20).langs == ["de", "en", "fr"]
