@@ -43,6 +43,10 @@ _AT, _DOT = "at|arobase|arroba|ät", "dot|point|punkt|punto"
 _MARKS = {"underscore": "_", "dash": "-", "hyphen": "-", "minus": "-", "plus": "+"}
 # Top-level labels that make an address of bare words; those that are common words of prose are left out.
 _TOP = set("com org net edu gov mil info biz io ai tv dev fr uk eu ch nl pt pl dk fi ie ca mx br au nz jp cn ru de es".split())
+# Words near which bare words are an address, by their beginnings.
+_CONTACT = re.compile(r"\b(?:e-?mails?|mail|contact|write|reach|address|courriel|adresse|[ée]cri|contacte|kontakt|schreib|erreich|correo|escrib|direcci)")
+#: Characters before an address of bare words, and after it, in which such a word may stand.
+_BEFORE, _AFTER = 48, 24
 # Words that open a phrase and no address.
 _NOT = set("the a an this that its der die das dem den le la les el los las un une ein eine".split())
 
@@ -172,7 +176,11 @@ def _brackets(text: str) -> list[tuple[int, int, str]]:
 
 
 def _bare(text: str) -> list[tuple[int, int, str]]:
-    """Written marks of addresses and numbers. An address of words needs a known top-level label and a written stop."""
+    """Written marks of addresses and numbers.
+
+    An address of words needs a known top-level label and a written stop, and if its @ is a word, evidence that it is one: a digit
+    or mark (also a written one) in its local part, or a word of contact nearby. "She works at google dot com" is prose.
+    """
     low = _lower(text)
     if not any(w in low for w in _BARE_DOTS):
         return []
@@ -182,6 +190,8 @@ def _bare(text: str) -> list[tuple[int, int, str]]:
         own, at = m[0], m.end("at") - m.start()
         tops = [k.end() for k in re.finditer(rf"(?<=[. ]){_LABEL}", own[at:]) if k[0] in _TOP and k.start()]
         prose = m["at"] != "@" and re.match(_LABEL, own[at:])[0] in _NOT
+        bare = m["at"] != "@" and not re.search(r"[0-9._%+-]| ", own[: m.start("at") - m.start()])
+        prose = prose or bare and not (_CONTACT.search(low, max(0, m.start() - _BEFORE), m.start()) or _CONTACT.search(low, m.end(), m.end() + _AFTER))
         if tops and not prose and any(w in own for w in _BARE_DOTS):
             out += [(m.start() + s.start(), m.start() + s.end(), "@" if s["at"] else "." if s["dot"] else _MARKS[s[0].strip()]) for s in _STEP.finditer(own[: at + tops[-1]])]
     for m in _NUMBERS.finditer(low):
