@@ -1,15 +1,13 @@
-"""Leave-one-group-out interpolation: inverse distance, power selection, variogram, kriging, boosted trees."""
+"""Leave-one-group-out interpolation: inverse distance, variogram, kriging, error bars."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, idw_weight
-from ..functions.timefn import local
 from ..session import ship
 
 #: Powers that cross-validation chooses among.
@@ -60,43 +58,6 @@ def scores(predicted: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def select_power(panel: DataFrame, stations: DataFrame, powers: tuple[float, ...] = POWERS) -> DataFrame:
-    """RMSE of each power for each held-out group's fold, over readings of the other groups.
-
-    The sums of a target over all sources outside its group are made once; a fold takes off what
-    the held-out group adds to them, so folds cost a sum by group and not a pass each. Powers are
-    columns. Counts go with the sums: no source left means no estimate, whatever the residue.
-    """
-    ks = range(len(powers))
-    met = _met(panel, stations, {f"w{k}": x for k, x in enumerate(powers)})
-    cols = [c for k in ks for c in (F.sum(f"w{k}").alias(f"d{k}"), F.sum(F.col(f"w{k}") * F.col("value")).alias(f"n{k}"))]
-    part = met.groupBy("ts", "station_id", "g", "sg").agg(F.count("w0").alias("c"), _own().alias("obs"), *cols)
-    of = F.struct("sg", "c", *(f"{x}{k}" for k in ks for x in "dn"))
-    packed = part.groupBy("ts", "station_id", "g").agg(F.max("obs").alias("obs"), F.collect_list(F.when(F.col("sg").isNotNull(), of)).alias("by")).where("obs is not null and size(by) > 0")
-    total = lambda name: F.aggregate("by", F.lit(0.0), lambda s, x: s + x[name])
-    packed = packed.withColumns({"tc": F.aggregate("by", F.lit(0).cast("long"), lambda s, x: s + x.c)} | {f"t{x}{k}": total(f"{x}{k}") for k in ks for x in "dn"})
-    # A reading's own group stands first, with nothing to take off: it carries the errors over all sources.
-    none = F.struct(F.col("g").alias("sg"), F.lit(0).cast("long").alias("c"), *(F.lit(0.0).alias(f"{x}{k}") for k in ks for x in "dn"))
-    x = packed.withColumn("x", F.explode(F.concat(F.array(none), "by")))
-    sq = lambda n, d: F.pow(n / d - F.col("obs"), F.lit(2))
-    whole = {k: sq(F.col(f"tn{k}"), F.col(f"td{k}")) for k in ks}
-    rest = {k: sq(F.col(f"tn{k}") - F.col(f"x.n{k}"), F.col(f"td{k}") - F.col(f"x.d{k}")) for k in ks}
-    own, left = F.col("x.sg") == F.col("g"), F.col("tc") - F.col("x.c") > 0
-    fold = x.groupBy(F.col("x.sg").alias("fold")).agg(
-        F.sum(own.cast("long")).alias("m"), F.sum((~own & ~left).cast("long")).alias("lost"), *(F.sum(F.when(own, whole[k]).otherwise(0.0)).alias(f"s{k}") for k in ks),
-        *(F.sum(F.when(own, 0.0).when(left, rest[k] - whole[k]).otherwise(-whole[k])).alias(f"f{k}") for k in ks),
-    )
-    out = fold.crossJoin(F.broadcast(fold.agg(F.sum("m").alias("am"), *(F.sum(f"s{k}").alias(f"a{k}") for k in ks))))
-    n = F.col("am") - F.col("m") - F.col("lost")
-    rows = F.array(*(F.struct(F.lit(float(v)).alias("power"), F.round(F.sqrt((F.col(f"a{k}") - F.col(f"s{k}") + F.col(f"f{k}")) / n), 6).alias("rmse")) for k, v in enumerate(powers)))
-    return out.select("fold", F.explode(rows).alias("r")).select("fold", "r.power", "r.rmse")
-
-
-def chosen_power(by_fold: DataFrame) -> DataFrame:
-    """Least RMSE of each fold, the lowest power at a tie."""
-    return by_fold.groupBy("fold").agg(F.min(F.struct("rmse", "power")).alias("m")).select("fold", F.col("m.power").alias("power"), F.col("m.rmse").alias("rmse"))
-
-
 def cloud(panel: DataFrame, stations: DataFrame, least: int = 100) -> DataFrame:
     """Half the mean squared difference of each pair of stations over hours both report."""
     side = lambda k: panel.select("ts", F.col("station_id").alias(k), F.col("value").alias(f"v{k}"))
@@ -141,39 +102,6 @@ def fit_variogram(km: np.ndarray, gamma: np.ndarray, n: np.ndarray) -> tuple[flo
     return float(c), float(s), float(reach)
 
 
-def fold_clouds(panel: DataFrame, stations: DataFrame, least: int = 100) -> DataFrame:
-    """(fold, a, b, n, km, gamma): each group's cloud without its stations, on values in standard deviations of an hour's remaining readings.
-
-    A difference of standardised values is one of readings over the fold's deviation of the hour, so the pairs are made
-    once and meet their hour's weights, summed before they are shuffled. Deviations come from an hour's sums less the group's; one of at most 1e-6 counts as 1.
-    """
-    p = panel.where("value is not null").join(F.broadcast(stations.select("station_id", "gid")), "station_id")
-    p = p.withColumn("v", F.col("value") - F.avg("value").over(W.partitionBy("ts")))
-    moments = lambda x: (F.count(F.lit(1)).alias(f"{x}_n"), F.sum("v").alias(f"{x}_s"), F.sum(F.col("v") * F.col("v")).alias(f"{x}_q"))
-    folds = p.groupBy("ts").agg(*moments("all")).crossJoin(F.broadcast(stations.select(F.col("gid").alias("fold")).distinct()))
-    folds = folds.join(p.groupBy("ts", F.col("gid").alias("fold")).agg(*moments("own")), ["ts", "fold"], "left")
-    n, s, q = (F.col(f"all_{x}") - F.coalesce(f"own_{x}", F.lit(0)) for x in "nsq")
-    var = q / n - F.pow(s / n, F.lit(2))
-    weights = folds.where(n > 0).select("ts", F.col("fold").cast("long").alias("fold"), F.when(var > 1e-12, 1 / var).otherwise(1.0).alias("w"))
-    side = lambda k: p.select("ts", F.col("station_id").alias(k), F.col("gid").alias(f"g{k}"), F.col("value").alias(f"v{k}"))
-    d = F.col("va") - F.col("vb")
-    met = side("a").join(side("b"), "ts").where("a < b").join(weights, "ts").where("fold != ga and fold != gb")
-    sums = met.groupBy("fold", "a", "b").agg(F.count(F.lit(1)).alias("n"), (F.avg(d * d * F.col("w")) / 2).alias("gamma")).where(F.col("n") >= least)
-    at = lambda k: stations.select(F.col("station_id").alias(k), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}"))
-    out = sums.join(F.broadcast(at("a")), "a").join(F.broadcast(at("b")), "b")
-    return out.select("fold", "a", "b", "n", F.round(haversine_km(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb")), 6).alias("km"), F.round("gamma", 6).alias("gamma"))
-
-
-def fold_variograms(clouds: DataFrame, stations: DataFrame, bins: int = 15, default: tuple[float, float, float] = (0.2, 0.8, 15.0)) -> dict[int, tuple[float, float, float]]:
-    """A variogram for each group (gid), fitted to the bins of its own cloud; the default where no pair is left. Only the bins reach the driver."""
-    width = clouds.groupBy("fold").agg((F.max("km") * 1.001 / bins).alias("width"))
-    at = F.floor(F.col("km") / F.nullif(F.col("width"), F.lit(0.0)))
-    each = clouds.join(F.broadcast(width), "fold").groupBy("fold", at.alias("bin")).agg(F.avg("km").alias("km"), F.avg("gamma").alias("gamma"), F.count(F.lit(1)).cast("double").alias("n"))
-    found = {int(g): own.sort_values("bin") for g, own in each.toPandas().groupby("fold")}
-    groups = [r.gid for r in stations.select("gid").distinct().toLocalIterator()]
-    return {g: fit_variogram(*(found[g][c].to_numpy() for c in ("km", "gamma", "n"))) if g in found else default for g in groups}
-
-
 def krige_weights(known: np.ndarray, target: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
     """Ordinary kriging weights of targets (rows) from known points (columns), both lat and lon."""
     nugget, sill, reach = model
@@ -230,45 +158,6 @@ def kriged(panel: DataFrame, stations: DataFrame, model: tuple[float, float, flo
     return dealt.mapInPandas(solve, "station_id long, g long, ts timestamp_ntz, observed double, idw double, city double")
 
 
-def design(panel: DataFrame, stations: DataFrame, power: float = 0.5) -> DataFrame:
-    """Rows for the trees: place, distance to the nearest source, local time, the sources' mean and estimate, and the reading; a station's sources are those of another gid."""
-    t = local(F.col("ts"))
-    place = stations.select("station_id", "lat", "lon").join(pairs(stations).groupBy("station_id").agg(F.min("km").alias("nearest")), "station_id")
-    p = held_out(panel, stations, power).join(F.broadcast(place), "station_id")
-    return p.select("station_id", "g", "ts", "observed", "idw", "city", "lat", "lon", "nearest", F.hour(t).alias("hour"), F.weekday(t).alias("dow"), F.month(t).alias("month"))
-
-
-def boosted(panel: DataFrame, stations: DataFrame, folds: int = 4, rounds: int = 10, seed: int = 0, power: float = 0.5) -> DataFrame:
-    """(model, station_id, g, ts, observed, idw, city): held-out estimates of boosted trees, `plain` ones and `hybrid` ones that see the inverse-distance estimate.
-
-    Groups are dealt to folds by gid (more folds than the largest gid: one a group). Held-out stations are no source
-    of any training row: such a row sees the other stations that train, a held-out row all of them.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    names = ["lat", "lon", "nearest", "hour", "dow", "month", "city"]
-    inputs = {"plain": names, "hybrid": [*names, "idw"]}
-    dealt, own = F.pmod("gid", F.lit(folds)), stations.select("station_id", F.col("gid").alias("g"))
-
-    def seen(rows: DataFrame) -> DataFrame:
-        for model, columns in inputs.items():
-            rows = VectorAssembler(inputCols=columns, outputCol=f"{model}_x").transform(rows)
-        return rows
-
-    out = None
-    for k in sorted(r.k for r in stations.select(dealt.alias("k")).distinct().toLocalIterator()):
-        train = seen(design(panel, stations.where(dealt != k).withColumn("gid", F.col("station_id")), power)).persist()
-        test = seen(design(panel, stations.withColumn("gid", F.when(dealt == k, 0).otherwise(1).cast("long")), power).where("g = 0").drop("g"))
-        for model in inputs:
-            grown = GBTRegressor(featuresCol=f"{model}_x", labelCol="observed", predictionCol=model, maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed)
-            test = grown.fit(train).transform(test)
-        train.unpersist()
-        out = test if out is None else out.unionByName(test)
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("idw")) for m in inputs)))
-    return out.select("station_id", "ts", "observed", "city", each.alias("e")).join(F.broadcast(own), "station_id").select("e.model", "station_id", "g", "ts", "observed", "e.idw", "city")
-
-
 def _errors_by_level(predicted: DataFrame, bins: int, least: int) -> DataFrame:
     """Quantile bins of the estimate, equal edges once, of at least so many rows: mean, RMSE and count of each."""
     edges = predicted.agg(F.array_distinct(F.percentile("idw", F.lit([k / bins for k in range(bins + 1)]))).alias("edges"))

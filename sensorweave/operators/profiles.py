@@ -80,8 +80,8 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def wide(panel: DataFrame, stations: list[int]) -> DataFrame:
-    """Hours by stations, for presentation."""
-    return panel.groupBy("ts").pivot("station_id", stations).agg(F.first("value")).select("ts", *(F.col(str(s)).alias(f"s{s}") for s in stations))
+    """Hours by stations, for presentation; readings of one station and hour are averaged."""
+    return panel.groupBy("ts").pivot("station_id", stations).agg(F.avg("value")).select("ts", *(F.col(str(s)).alias(f"s{s}") for s in stations))
 
 
 def bounds(features: DataFrame, names: list[str]) -> DataFrame:

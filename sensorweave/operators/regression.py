@@ -1,4 +1,4 @@
-"""Two-predictor regression of units: errors of slopes, held-out skill with copies, its permutations and paired bootstrap; p values of rank tests."""
+"""Regressions of units on two or more predictors: errors of slopes, held-out skill with copies, its permutations and paired bootstrap; p values of rank tests."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import linear
 from ..functions.stats import normal_p, student_p
 from . import resampling
-from .profiles import average_rank
+from .profiles import average_rank, pearson
 
 
 def slopes(rows: DataFrame, y: str, x1: str, x2: str) -> DataFrame:
@@ -61,6 +62,46 @@ def paired_skill(units: DataFrame, key: str, a: str, b: str, x1: str, x2: str, n
     return long.groupBy("what").agg(F.round(F.percentile("r2", F.lit(0.025)), 5).alias("lo"), F.round(F.percentile("r2", F.lit(0.975)), 5).alias("hi"), F.count("r2").alias("draws"))
 
 
+def held_out_skill_of(units: DataFrame, key: str, y: str, xs: list[str], n: int = 5000, seed: int = 1) -> DataFrame:
+    """(r2, p, units): leave-one-out skill of a least-squares plane on any number of predictors, and the share of permutations of the outcome that reach it.
+
+    Predictors are standardised. Their normal equations are sums of one pass; a unit's leverage and a permutation's slopes are
+    solved from these in expressions, so a permutation costs its sums and no fit. Units with a null anywhere are left out; collinear predictors give nulls.
+    """
+    m = len(xs) + 1
+    some = units.where(F.col(y).isNotNull())
+    for x in xs:
+        some = some.where(F.col(x).isNotNull())
+    spread = some.agg(*[f(x).alias(f"{k}{i}") for i, x in enumerate(xs) for k, f in (("m", F.avg), ("s", F.stddev_pop))], F.avg(y).alias("my"), F.count(F.lit(1)).alias("units"))
+    z = some.crossJoin(F.broadcast(spread)).select(F.col(key).alias("id"), F.col(y).cast("double").alias("y"), "my", "units", F.lit(1.0).alias("z0"), *[((F.col(x) - F.col(f"m{i}")) / F.nullif(F.col(f"s{i}"), F.lit(0.0))).alias(f"z{i + 1}") for i, x in enumerate(xs)])
+    square = z.agg(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"a{i}_{j}") for i in range(m) for j in range(i, m)])
+    reach = linear.solved(z.crossJoin(F.broadcast(square)).withColumns({f"b{i}": F.col(f"z{i}") for i in range(m)}), m)
+    left = reach.select("id", "y", "my", "units", *[f"z{i}" for i in range(m)], (1 - sum(F.col(f"z{i}") * F.col(f"xb{i}") for i in range(m))).alias("left"))
+    ids = z.select("id")
+    moves = resampling.permutations(ids, n, seed).unionByName(ids.select(F.lit(0).cast("long").alias("rep"), "id", F.col("id").alias("to")))
+    rows = moves.join(left.drop("y"), "id").join(z.select(F.col("id").alias("to"), "y"), "to")
+    slopes_ = rows.groupBy("rep").agg(*[F.sum(F.col(f"z{i}") * F.col("y")).alias(f"b{i}") for i in range(m)])
+    slopes_ = linear.solved(slopes_.crossJoin(F.broadcast(square)), m).select("rep", *[f"xb{i}" for i in range(m)])
+    e = (F.col("y") - sum(F.col(f"z{i}") * F.col(f"xb{i}") for i in range(m))) / F.nullif(F.col("left"), F.lit(0.0))
+    base = (F.col("y") - F.col("my")) * F.col("units") / F.nullif(F.col("units") - 1, F.lit(0))
+    r = rows.join(slopes_, "rep").groupBy("rep").agg(F.round(1 - F.sum(e * e) / F.nullif(F.sum(base * base), F.lit(0.0)), 9).alias("r2"), F.count(F.lit(1)).alias("units"))
+    own = r.where("rep = 0").select(F.col("r2").alias("own"))
+    return r.crossJoin(F.broadcast(own)).agg(F.round(F.max("own"), 6).alias("r2"), F.round((F.sum(((F.col("rep") > 0) & (F.col("r2") >= F.col("own"))).cast("long")) + 1) / (n + 1.0), 6).alias("p"), F.max("units").alias("units"))
+
+
+def permuted_rank_correlations(units: DataFrame, key: str, y: str, xs: list[str], n: int = 5000, seed: int = 1) -> DataFrame:
+    """(feature, rho, p): Spearman's correlation of each feature with the outcome and its two-sided p by permutations, the same ones for all features."""
+    long = units.select(F.col(key).alias("id"), F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).cast("double").alias("x")) for x in xs])).alias("f")).select("id", "y", "f.*").where("x is not null and y is not null")
+    ranked = long.withColumns({"rx": average_rank(F.col("x"), "feature"), "ry": average_rank(F.col("y"), "feature")})
+    ids = units.select(F.col(key).alias("id"))
+    moves = resampling.permutations(ids, n, seed).unionByName(ids.select(F.lit(0).cast("long").alias("rep"), "id", F.col("id").alias("to")))
+    moved = moves.join(ranked.select("id", "feature", "rx"), "id").join(ranked.select(F.col("id").alias("to"), "feature", "ry"), ["to", "feature"])
+    r = moved.groupBy("feature", "rep").agg(F.round(pearson(F.col("rx"), F.col("ry")), 9).alias("r"))
+    own = r.where("rep = 0").select("feature", F.col("r").alias("own"))
+    out = r.join(own, "feature").groupBy("feature").agg(F.max("own").alias("rho"), F.sum(((F.col("rep") > 0) & (F.abs("r") >= F.abs("own"))).cast("long")).alias("k"))
+    return out.select("feature", F.round("rho", 6).alias("rho"), F.round((F.col("k") + 1) / (n + 1.0), 6).alias("p"))
+
+
 def rank_correlation_test(rows: DataFrame, x: str, y: str) -> DataFrame:
     """(rho, n, p) of Spearman's correlation by Student's distribution; p is 0 at +-1 and null below three rows."""
     r, n = F.col("rho"), F.col("n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -41,12 +42,12 @@ def radius_count(queries: DataFrame, points: DataFrame, radius: float) -> DataFr
     return queries.select("id").join(hit.groupBy("id").agg(F.sum("m").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, size: float, rounds: int = 40) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, size: float, rounds: int = 12) -> DataFrame:
     """(id, distance) to the nearest point, exactly.
 
-    Cells double from round to round, and a query is done when its best distance is within the
-    cell size, which the nine cells around it cover; only open queries go on. `rounds` doublings
-    reach any coordinate, so it is a guard and not a limit. A query without coordinates, or all where
+    Cells grow fourfold from round to round, and a query is done when its best distance is within the
+    cell size, which the nine cells around it cover; only open queries go on, and a round's results are kept for the next. After `rounds`
+    (a reach of 4**rounds cells) what is still open meets all points in one cell. A query without coordinates, or all where
     there is no point, have a null distance; points without coordinates count for nothing.
     """
     placed = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
@@ -54,15 +55,16 @@ def nearest(queries: DataFrame, points: DataFrame, size: float, rounds: int = 40
     if points.isEmpty():
         return queries.select("id", none)
     open_, done = queries.where(placed).select("id", "x", "y"), queries.where(~placed).select("id", none)
-    for _ in range(rounds):
-        p = _binned(points.select("x", "y").distinct(), size).select("bx", "by", F.col("x").alias("px"), F.col("y").alias("py"))
-        best = _around(open_, size).join(p, ["bx", "by"], "left").groupBy("id", "x", "y").agg(F.min(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).alias("d"))
-        closed = best.where(F.col("d") <= size).select("id", F.col("d").alias("distance"))
-        done = done.unionByName(closed)
-        open_ = best.where(F.col("d").isNull() | (F.col("d") > size)).select("id", "x", "y")
+    for k in range(rounds + 1):
+        size = size if k < rounds else math.inf
+        p = _binned(points, size).groupBy("bx", "by", F.col("x").alias("px"), F.col("y").alias("py")).agg(F.lit(1).alias("m"))
+        best = _around(open_, size).join(p, ["bx", "by"], "left").groupBy("id", "x", "y").agg(F.min(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).alias("d")).persist()
+        near = F.col("d").isNotNull() & (F.col("d") <= size)
+        done = done.unionByName(best.where(near).select("id", F.col("d").alias("distance")))
+        open_ = best.where(~near).select("id", "x", "y")
         if open_.isEmpty():
             break
-        size *= 2
+        size *= 4
     return done
 
 
@@ -152,21 +154,33 @@ def contributions(cells: DataFrame, readings: DataFrame, power: float = 0.5, mos
     return ranked.where(F.col("rank") <= most).select("i", "j", "station_id", "share", "rank")
 
 
-def mask(features: DataFrame, bounds: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Two bits a feature (below, above its training range) and whether any is set."""
-    long = features.unpivot(keys, names, "feature", "x").join(F.broadcast(bounds.select("feature", "min", "max")), "feature")
+def mask(features: DataFrame, bounds: DataFrame, keys: list[str], names: list[str], band: tuple[str, str] = ("min", "max")) -> DataFrame:
+    """Two bits a feature (below, above its band of the training range) and whether any is set."""
+    long = features.unpivot(keys, names, "feature", "x").join(F.broadcast(bounds.select("feature", F.col(band[0]).alias("low"), F.col(band[1]).alias("high"))), "feature")
     place = F.element_at(F.create_map(*(F.lit(v) for k, n in enumerate(names) for v in (n, k))), F.col("feature"))
-    bit = F.when(F.col("x") < F.col("min"), 1).when(F.col("x") > F.col("max"), 2).otherwise(0)
+    bit = F.when(F.col("x") < F.col("low"), 1).when(F.col("x") > F.col("high"), 2).otherwise(0)
     flags = F.sum(bit * F.pow(F.lit(4), place)).cast("int")
     return long.groupBy(*keys).agg(flags.alias("flags")).withColumn("masked", F.col("flags") != 0)
 
 
+def mask_kind(flags: Column, names: list[str], built: str, roads: list[str], remoteness: list[str]) -> Column:
+    """Why a cell is masked: `empty` (too few buildings and too little road), else `remote` (too far from something), else `other`; `none` if it isn't."""
+    side = lambda n, s: F.shiftright(flags, 2 * names.index(n) + s).bitwiseAND(1) == 1
+    some = lambda ns, s: functools.reduce(lambda a, b: a | b, [side(n, s) for n in ns])
+    return F.when(side(built, 0) & some(roads, 0), "empty").when(some(remoteness, 1), "remote").when(flags != 0, "other").otherwise("none")
+
+
+def mask_totals(masked: DataFrame, names: list[str]) -> DataFrame:
+    """(reason, n): cells outside the band of each feature, below or above any, and of each kind."""
+    flags = F.col("flags")
+    both = {n: F.shiftright(flags, 2 * k).bitwiseAND(3) != 0 for k, n in enumerate(names)}
+    low, high = sum(1 << 2 * k for k in range(len(names))), sum(2 << 2 * k for k in range(len(names)))
+    all_ = both | {"_below_band": flags.bitwiseAND(low) != 0, "_above_band": flags.bitwiseAND(high) != 0} | {f"_{k}": F.col("kind") == k for k in ("empty", "remote", "other")}
+    one = masked.agg(*(F.sum(c.cast("long")).alias(k) for k, c in all_.items()))
+    return one.unpivot([], list(all_), "reason", "n").select("reason", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def reasons(flags: Column, names: list[str]) -> Column:
     """The features and sides that a mask's bits name, in order."""
     parts = [F.when(F.shiftright(flags, 2 * k + s).bitwiseAND(1) == 1, F.lit(f"{n} {'below' if s == 0 else 'above'}")) for k, n in enumerate(names) for s in (0, 1)]
     return F.concat_ws(",", *parts)
-
-
-def cell_of(points: DataFrame, box: tuple[float, float, float, float], n: int) -> DataFrame:
-    lon0, lat0, lon1, lat1 = box
-    return points.withColumns({"i": cell(F.col("lat"), lat0, lat1, n), "j": cell(F.col("lon"), lon0, lon1, n)})

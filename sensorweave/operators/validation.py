@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.indices import tidy
+from ..functions import linear
+from ..functions.indices import phase_hour, tidy
 from ..functions.timefn import epoch_hour, local
 from ..session import ship
 from .interpolation import scores
@@ -86,35 +87,49 @@ def share_below(rows: DataFrame, x: str, at: float) -> DataFrame:
 
 
 def incomplete_harmonics(profile: DataFrame) -> DataFrame:
-    """24 and 12 hour waves of profiles with missing hours, by least squares; a row a station with six hours or more."""
-    ship(profile.sparkSession)
+    """24 and 12 hour waves of profiles with missing hours, by least squares; a row a station with six hours or more.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 6:
-            return pd.DataFrame({"station_id": [], "amp1": [], "amp2": [], "phase": []}).astype({"station_id": "int64"})
-        t = 2 * np.pi * pdf["hour"].to_numpy() / 24
-        x = np.stack([np.ones_like(t), np.cos(t), np.sin(t), np.cos(2 * t), np.sin(2 * t)], 1)
-        b = np.linalg.lstsq(x, pdf["mean"].to_numpy(), rcond=None)[0]
-        return pd.DataFrame({"station_id": [pdf["station_id"].iloc[0]], "amp1": [float(np.hypot(b[1], b[2]))], "amp2": [float(np.hypot(b[3], b[4]))], "phase": [float(np.arctan2(b[2], b[1]) / (2 * np.pi) * 24 % 24)]})
+    The five normal equations are sums over a station's hours, solved in expressions.
+    """
+    t = F.col("hour") * (2 * np.pi / 24)
+    terms = [F.lit(1.0), F.cos(t), F.sin(t), F.cos(2 * t), F.sin(2 * t)]
+    rows = profile.select("station_id", "mean", *[x.alias(f"t{k}") for k, x in enumerate(terms)])
+    sums = {f"a{i}_{j}": F.col(f"t{i}") * F.col(f"t{j}") for i in range(5) for j in range(i, 5)} | {f"b{i}": F.col(f"t{i}") * F.col("mean") for i in range(5)}
+    g = rows.groupBy("station_id").agg(F.count(F.lit(1)).alias("hours"), *[F.sum(x).alias(k) for k, x in sums.items()]).where("hours >= 6")
+    out = linear.solved(g, 5)
+    return out.select("station_id", F.round(F.hypot("xb1", "xb2"), 6).alias("amp1"), F.round(F.hypot("xb3", "xb4"), 6).alias("amp2"), F.round(phase_hour(F.col("xb1"), F.col("xb2")), 5).alias("phase"))
 
-    return profile.groupBy("station_id").applyInPandas(fit, "station_id long, amp1 double, amp2 double, phase double")
 
+def _critical_rank_r(n: int, alpha: float = 0.05) -> float:
+    """The least |rho| of n units that is significant by Student's distribution, two-sided."""
+    theta = np.linspace(0, np.pi / 2, 200_001)
+    mass = np.concatenate([[0], np.cumsum((np.cos(theta[1:]) ** (n - 3) + np.cos(theta[:-1]) ** (n - 3)) / 2)])
+    return float(np.sin(np.interp((1 - alpha) * mass[-1], mass, theta)))  # rho = sin(theta) where t / sqrt(n - 2) = tan(theta)
 
-def correlation_power(spark, rho: float, units: int, trials: int = 2000, seed: int = 1) -> DataFrame:
-    """Share of simulated samples whose correlation is significant at 5 % (Fisher's z), trials spread over tasks."""
+
+def correlation_power(units: DataFrame, rhos: tuple[float, ...], trials: int = 3000, seed: int = 1) -> DataFrame:
+    """(rho, units, power, trials): share of simulated samples of as many normal pairs as there are units whose Spearman correlation is significant at 5 %, for each true correlation.
+
+    Each trial has a seed of its own and trials spread over tasks.
+    """
+    spark, n = units.sparkSession, units.count()
     ship(spark)
+    if n < 4:
+        return spark.createDataFrame([], "rho double, units long, power double, trials long")
+    least = _critical_rank_r(n)
 
     def run(batches):
         for b in batches:
-            hit = 0
-            for i in b["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                x = rng.normal(size=units)
-                y = rho * x + np.sqrt(1 - rho * rho) * rng.normal(size=units)
-                hit += abs(np.arctanh(np.corrcoef(x, y)[0, 1])) * np.sqrt(units - 3) > 1.959964
-            yield pd.DataFrame({"hit": [hit], "n": [len(b)]})
+            hit = []
+            for rho, i in zip(b["rho"], b["trial"], strict=True):
+                rng = np.random.default_rng([seed, int(round(rho * 1e6)) % (1 << 32), int(i)])
+                x, e = rng.normal(size=n), rng.normal(size=n)
+                rx, ry = x.argsort().argsort(), (rho * x + np.sqrt(1 - rho * rho) * e).argsort().argsort()
+                hit.append(abs(np.corrcoef(rx, ry)[0, 1]) >= least)
+            yield pd.DataFrame({"rho": b["rho"], "hit": np.array(hit, float)})
 
-    return spark.range(trials).mapInPandas(run, "hit long, n long").agg((F.sum("hit") / F.sum("n")).alias("power"), F.sum("n").alias("trials"))
+    grid = spark.range(trials).select(F.col("id").alias("trial"), F.explode(F.array(*[F.lit(float(r)) for r in rhos])).alias("rho"))
+    return grid.select("rho", "trial").mapInPandas(run, "rho double, hit double").groupBy("rho").agg(F.lit(n).cast("long").alias("units"), F.round(F.avg("hit"), 6).alias("power"), F.count(F.lit(1)).alias("trials"))
 
 
 def split_half_phase(panel: DataFrame) -> DataFrame:
@@ -130,7 +145,3 @@ def split_half_phase(panel: DataFrame) -> DataFrame:
     both = phases(0).join(phases(1), "station_id")
     gap = F.abs(F.pmod(F.col("p0") - F.col("p1") + 12, F.lit(24.0)) - 12)
     return both.agg(F.round(F.hypot(F.avg(F.cos(d)), F.avg(F.sin(d))), 4).alias("agreement"), F.round(F.percentile(gap, F.lit(0.5)), 3).alias("median_gap_h"), F.count(F.lit(1)).alias("n"))
-
-
-def pearson_of(rows: DataFrame, x: str, y: str) -> DataFrame:
-    return rows.agg(F.round(pearson(F.col(x), F.col(y)), 6).alias("r"), F.count(F.lit(1)).alias("n"))

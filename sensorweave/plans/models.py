@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import interpolation, regression, spatial
+from ..operators import crossval, interpolation, regression, spatial
 from ..session import table
 from .oracles import _EDGES, _R, _RANK, _UNITS, _q
 from .panel import panel, points, sites, stations
@@ -30,7 +30,7 @@ def query(sql: str):
           "fs as (select f.gid as fold, p.ts, case when stddev_pop(value) > 1e-6 then stddev_pop(value) else 1 end as sd from (select distinct gid from stations) f, panel p join stations s using (station_id) where s.gid <> f.gid group by 1, 2)"))
 def variogram_cloud_by_fold(spark, sf):
     """Pairs of each fold's sources, on values standardised by their hour."""
-    return interpolation.fold_clouds(panel(spark, sf), stations(spark), 30)
+    return crossval.fold_clouds(crossval.pair_errors(crossval.hours(panel(spark, sf)), crossval.network(stations(spark))), stations(spark), 30)
 
 
 @query(_q("select round((wy - b * wx) / w, 5) as a, round(b, 5) as b, round(floor, 5) as floor, round(r, 5) as rmse from (select *, (w * wxy - wx * wy) / nullif(w * wxx - wx * wx, 0) as b from (select sum(n) as w, sum(n * m) as wx, sum(n * e) as wy, sum(n * m * m) as wxx, sum(n * m * e) as wxy, min(e) as floor from bn)), (select sqrt(avg(pow(idw - observed, 2))) as r from l)",
@@ -121,7 +121,11 @@ def _dense(layer: str, metres: int, each: str, name: str, places: int) -> str:
           "mj as (select (c_custkey * 7919 % 10007)::double as x, (c_custkey * 3571 % 10009)::double as y from customer)", "co as (select -50.0::double as x, 5.0::double + 10 * k as y from (select unnest(range(1000)) as k))", "bl as (select (p_partkey * 104729 % 10007)::double as x, (p_partkey * 7321 % 10009)::double as y from part)"))
 def features_for(spark, sf):
     """Features of the sites: customers stand in for points of major roads, orders for those of all roads, parts for buildings."""
+    return map_features(spark, sf, sites(spark, sf))
+
+
+def map_features(spark, sf, places):
     at = lambda name, key, a, b: table(spark, sf, name).select((F.col(key) * a % 10007).cast("double").alias("x"), (F.col(key) * b % 10009).cast("double").alias("y"))
     coast = spark.range(1000).select(F.lit(-50.0).alias("x"), (5.0 + 10 * F.col("id")).alias("y"))
     edges = spark.createDataFrame([(k, 0, *a, *b) for k, (a, b) in enumerate(zip(_RING, [*_RING[1:], _RING[0]], strict=True))], "id long, k long, x1 double, y1 double, x2 double, y2 double")
-    return spatial.features_for(sites(spark, sf), at("customer", "c_custkey", 7919, 3571), points(spark, sf).select("x", "y"), coast, edges, at("part", "p_partkey", 104729, 7321))
+    return spatial.features_for(places, at("customer", "c_custkey", 7919, 3571), points(spark, sf).select("x", "y"), coast, edges, at("part", "p_partkey", 104729, 7321))

@@ -30,6 +30,7 @@ pm as (select rep, num.id, tgt from perm join num using (k) union all select 0,
 mv as (select p.rep, x, km from pairs join pm p on p.id = a join pm q on q.id = b and q.rep = p.rep join both2 s on s.a = p.tgt and s.b = q.tgt),
 rr as (select rep, round(covar_pop(x, km) / nullif(stddev_pop(x) * stddev_pop(km), 0), 9) as r, count(*) as n from mv group by rep),
 mantel as (select round(max(r) filter (rep = 0), 6) as r, max(n) filter (rep = 0) as n_pairs, round((count(*) filter (rep > 0 and abs(r) >= abs((select r from rr where rep = 0))) + 1) / {MANTEL_DRAWS + 1}.0::double, 6) as p from rr)"""
+_POWERS = "[0.1, 0.25, 0.5, 1.0, 1.5, 2.0, 3.0]::double[]"
 _WSUMS = """ps as (select t.station_id, gt.gid as g, t.ts, gs.gid as sg, any_value(t.value) as obs, count(*) as c, sum(pow(greatest(km, 0.05), -p.power)) as d, sum(pow(greatest(km, 0.05), -p.power) * s.value) as n, p.power
  from panel t join stations gt using (station_id) join panel s on s.ts = t.ts join stations gs on gs.station_id = s.station_id and gs.gid <> gt.gid join links on links.a = t.station_id and links.b = s.station_id, (select unnest({powers}) as power) p group by t.station_id, gt.gid, t.ts, gs.gid, p.power),
 tot as (select station_id, g, ts, power, sum(c) as tc, sum(d) as td, sum(n) as tn, any_value(obs) as obs from ps group by all),
@@ -54,11 +55,15 @@ def _aqi() -> str:
     return f"select station_id, ts, (case {band} else 500 end)::int as aqi, case {_in(x, B, lambda b: repr(b[4]))} else '{B[-1][4]}' end as category from panel"
 
 
+def _cell_of(x: str, low: float, high: float, n: int) -> str:
+    return f"greatest(0, least({n - 1}, ceil(({x} - {low}::double) / (({high}::double - {low}::double) / {n})) - 1))::int"
+
+
 def _inverse() -> str:
     from ..functions.indices import INDEX_BANDS as B
 
     band = _in("x", B, lambda b: f"round_even({b[2]}::double + (x - {b[0]}::double) * {b[3] - b[2]!r}::double / {b[1] - b[0]}::double, 1)")
-    return f"select x::bigint as aqi, case {band} else {B[-1][3]}::double end as conc from (select unnest(range(0, 601))::double as x)"
+    return f"select x::bigint as aqi, case {band} else {B[-1][3]}::double end as conc, n from (select floor(value)::double as x, count(*) as n from events where value is not null group by 1)"
 
 
 _STATS = " union all ".join(
@@ -85,8 +90,8 @@ ORACLES: dict[str, str] = {
     "flat_sensors": _q("select station_id, round(cv, 6) as cv, cv < 0.9 * (select median(cv) from c) as flat from c", "c as (select station_id, stddev_samp(value) / nullif(avg(value), 0) as cv from panel group by 1)"),
     "complete_hours": _q("select s.station_id, h.ts, p.value from (select unnest(generate_series((select min(ts) from panel), (select max(ts) from panel), interval 1 hour)) as ts) h cross join (select distinct station_id from panel) s left join panel p on p.station_id = s.station_id and p.ts = h.ts"),
     "as_of_reading": _q("select q.station_id, q.\"at\", p.ts as as_of, p.value from q asof left join panel p on p.station_id = q.station_id and p.ts <= q.\"at\"", "q as (select distinct o_custkey % 39 + 1 as station_id, timestamp '2024-01-01' + to_hours(o_orderkey % 720) as \"at\" from orders)"),
-    "proximity_pairs": _q("select a, b, round(km, 6) as km from pairs where km < 6.0 and g_a <> g_b"),
-    "distance_matrix": _q("select a, b, round(km, 6) as km from pairs"),
+    "proximity_pairs": _q("select a, b, round(km, 6) as km from seen where km < 6.0 and g_a <> g_b"),
+    "distance_matrix": _q("select a, b, round(km, 6) as km from seen"),
     "diurnal_profile": _q("select * from prof"),
     "weekday_profile": _q("select station_id, (isodow(lt) - 1)::int as dow, round(avg(value), 6) as mean, count(*) as n from loc group by 1, 2"),
     "month_profile": "select month(l_shipdate)::int as month, round(avg(l_quantity), 6) as mean, count(*) as n from lineitem group by 1",
@@ -114,20 +119,20 @@ ORACLES: dict[str, str] = {
     "aqi_class": _q(_aqi()),
     "aqi_inverse": _inverse(),
     "split_name": "select p_partkey, trim(regexp_extract(x, '^(.*) - (.*)$', 1)) as site, trim(regexp_extract(x, '^(.*) - (.*)$', 2)) as agency from (select p_partkey, p_name || ' - ' || p_brand as x from part)",
-    "clock_labels": "select h as hour, ((h + 11) % 12 + 1)::varchar || case when h < 12 then ' am' else ' pm' end as label, case when 2 * h >= 30 then 'interpretable' when 2 * h >= 8 then 'thin' else 'too thin' end as thin from (select unnest(range(24)) as h)",
+    "clock_labels": _q("select h as hour, ((h + 11) % 12 + 1)::varchar || case when h < 12 then ' am' else ' pm' end as label, case when n // 30 >= 30 then 'interpretable' when n // 30 >= 8 then 'thin' else 'too thin' end as thin from (select hour(lt) as h, count(*) as n from loc group by 1)"),
     "json_property": "select try_cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events group by 1",
     "nearest_station": _q("select id, case when m.km <= 2 then m.s end as station_id, case when m.km <= 2 then m.km end as km from (select id, min({'km': round(" + _KM.format(a="q.lat", b="q.lon", c="s.lat", d="s.lon") + ", 6), 's': s.station_id}) as m from q, stations s group by id)", "q as (select c_custkey as id, 18.85::double + 0.55::double * (c_custkey * 31 % 997) / 997.0::double as lat, 72.70::double + 0.5::double * (c_custkey * 17 % 991) / 991.0::double as lon from customer)"),
     "radius_count": _q("select s.id, count(p.id) as n from sites s left join points p on pow(s.x - p.x, 2) + pow(s.y - p.y, 2) <= 250000 group by s.id"),
     "nearest_point": _q("select s.id, round(min(sqrt(pow(s.x - p.x, 2) + pow(s.y - p.y, 2))), 6) as distance from sites s, points p group by s.id"),
     "point_in_polygon": _q("select p.id, count(*) filter ((y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1 as inside from points p, ed group by p.id", f"ed(x1, y1, x2, y2) as (values {_EDGES})"),
     "polyline_resample": _q("select id, k, j::int as j, round(x1 + (j + 0.5::double) / n * (x2 - x1), 6) as x, round(y1 + (j + 0.5::double) / n * (y2 - y1), 6) as y from (select *, unnest(range(n)) as j from sg)", "s0 as (select id, 0 as k, x as x1, y as y1, x + 95 as x2, y as y2 from sites union all select id, 1, x + 95, y, x + 95, y + 2 from sites)", "sg as (select *, greatest(1, round_even(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 10, 0))::int as n from s0)"),
-    "grid_cells": _q("select i, j, round(lat, 6) as lat, round(lon, 6) as lon from cells", _GRID.format(*BOX, n=25)),
+    "grid_cells": _q("select i, j, round(lat, 6) as lat, round(lon, 6) as lon, coalesce(n, 0) as n from cells left join held using (i, j)", _GRID.format(*BOX, n=25), f"held as (select {_cell_of('lat', BOX[1], BOX[3], 25)} as i, {_cell_of('lon', BOX[0], BOX[2], 25)} as j, count(*) as n from places group by 1, 2)"),
     "idw_surface": _q("select i, j, round(sum(w * value) / sum(w), 6) as value from cw group by 1, 2", _GRID.format(*BOX, n=25), _HOUR, _CW),
     "idw_contributions": _q("select i, j, k as rank, share from (select *, row_number() over (partition by i, j order by share desc, station_id) as k from (select i, j, station_id, round(100 * w / sum(w) over (partition by i, j) + 1e-9, 6) as share from cw)) where k <= 5", _GRID.format(*BOX, n=5), _HOUR, _CW),
     "cell_history": _q("select ts, round(sum(w * value) / sum(w), 6) as value, count(*) as n from panel join ww using (station_id) group by ts", f"ww as (select station_id, 1 / pow(greatest({_KM.format(a='19.07::double', b='72.88::double', c='lat', d='lon')}, 0.05), 0.5) as w from stations)"),
     "extrapolation_mask": _q("select id, flags, flags <> 0 as masked, concat_ws(',', case when flags & 1 = 1 then 'x below' end, case when flags & 2 = 2 then 'x above' end, case when flags & 4 = 4 then 'y below' end, case when flags & 8 = 8 then 'y above' end) as reasons from f", "b as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from sites)", "f as (select id, (case when x < x0 then 1 when x > x1 then 2 else 0 end + case when y < y0 then 4 when y > y1 then 8 else 0 end)::int as flags from points, b)"),
-    "idw_power_by_fold": _q("select * from byfold", _WSUMS.format(powers="[0.25, 0.5, 1.0]::double[]")),
-    "idw_power_selection": _q("select fold, m.power as power, m.rmse as rmse from (select fold, min({'rmse': rmse, 'power': power}) as m from byfold group by 1)", _WSUMS.format(powers="[0.1, 0.25, 0.5, 1.0, 1.5, 2.0, 3.0]::double[]")),
+    "idw_power_by_fold": _q("select * from byfold", _WSUMS.format(powers=_POWERS)),
+    "idw_power_selection": _q("select fold, m.power as power, m.rmse as rmse from (select fold, min({'rmse': rmse, 'power': power}) as m from byfold group by 1)", _WSUMS.format(powers=_POWERS)),
     "variogram_cloud": _q("select * from cl", "cl as (select p.a, p.b, count(*) as n, round(any_value(km), 6) as km, round(avg(pow(x.value - y.value, 2)) / 2, 6) as gamma from panel x join panel y on x.ts = y.ts and x.station_id < y.station_id join pairs p on p.a = x.station_id and p.b = y.station_id group by 1, 2 having count(*) >= 30)"),
     "variogram_bins": _q("select floor(km / (select max(km) * 1.001 / 15 from cl))::bigint as bin, round(avg(km), 6) as km, round(avg(gamma), 6) as gamma, count(*) as n from cl group by 1", "cl as (select p.a, p.b, count(*) as n, round(any_value(km), 6) as km, round(avg(pow(x.value - y.value, 2)) / 2, 6) as gamma from panel x join panel y on x.ts = y.ts and x.station_id < y.station_id join pairs p on p.a = x.station_id and p.b = y.station_id group by 1, 2 having count(*) >= 30)"),
     "calibration_bins": _q("select greatest(0, least(19, len(list_filter(e, lambda q: q <= idw)) - 1))::bigint as bin, count(*) as n, round(avg(idw), 5) as mean, round(sqrt(avg(pow(idw - observed, 2))), 5) as rmse from l, ed group by 1", "l as (select station_id, ts, observed, round(idw, 7) as idw from logo)", "ed as (select quantile_cont(idw, [" + ", ".join(f"{k}/20.0::double" for k in range(21)) + "]) as e from l)"),
@@ -157,6 +162,6 @@ ORACLES: dict[str, str] = {
     "sector_difference": _q("select station_id, round((avg(x) filter (k between 225 and 315) - avg(x) filter (k between 45 and 135)) / nullif(stddev_pop(value), 0), 6) as effect, count(*) filter (k between 225 and 315) as n_one, count(*) filter (k between 45 and 135) as n_other from (select *, value - avg(value) over (partition by station_id, hour(lt)) as x, floor(epoch(ts) / 3600)::bigint * 37 % 360 as k from loc) group by 1 having count(*) filter (k between 225 and 315) >= 20 and count(*) filter (k between 45 and 135) >= 20"),
     "percentile_of_value": _q("select round(avg((mean < 60)::int), 6) as share, count(*) as n from (select ts, round(avg(value) + 1e-9, 6) as mean from panel group by ts)"),
     "station_inventory": _q("select station_id, count(distinct event_type) as kinds, date_diff('day', min(ts), max(ts))::int as span_days, count(distinct ts::date) as days from raw group by 1"),
-    "haversine_to_box": _q("select station_id, round(sqrt(pow(greatest(18.9::double - lat, 0::double, lat - 19.2::double) * 111.2, 2) + pow(greatest(72.8::double - lon, 0::double, lon - 73.0::double) * 105.0, 2)), 6) as km_outside, greatest(0, least(24, ceil((lat - 18.85::double) / ((19.4::double - 18.85::double) / 25)) - 1))::int as i, greatest(0, least(24, ceil((lon - 72.7::double) / ((73.2::double - 72.7::double) / 25)) - 1))::int as j from stations"),
+    "haversine_to_box": _q("select id, round(sqrt(pow(greatest(18.9::double - lat, 0::double, lat - 19.2::double) * 111.2, 2) + pow(greatest(72.8::double - lon, 0::double, lon - 73.0::double) * 105.0, 2)), 6) as km_outside, greatest(0, least(24, ceil((lat - 18.85::double) / ((19.4::double - 18.85::double) / 25)) - 1))::int as i, greatest(0, least(24, ceil((lon - 72.7::double) / ((73.2::double - 72.7::double) / 25)) - 1))::int as j from places"),
     "union_and_difference": _q("select 'union' as op, (select count(*) from a) + (select count(*) from b) as n union all select 'intersect', count(*) from (select * from a intersect select * from b) union all select 'except', count(*) from (select * from a except all select * from b)", "a as (select station_id, ts from panel where value > 100)", "b as (select station_id, ts from panel where value < 120)"),
 }

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, indices, timefn
-from ..operators import cleaning, interpolation, profiles, resampling, spatial, validation, windows
+from ..operators import cleaning, crossval, interpolation, profiles, resampling, spatial, validation, windows
 from ..session import table
-from .panel import BOX, panel, points, raw, sites, stations
+from .panel import BOX, panel, places, points, raw, reporting, sites, stations
 
 QUERIES: dict = {}
 
@@ -130,12 +130,12 @@ def as_of_reading(spark, sf):
 
 @query
 def proximity_pairs(spark, sf):
-    return spatial.close_pairs(stations(spark), 6.0)
+    return spatial.close_pairs(reporting(spark, sf), 6.0)
 
 
 @query
 def distance_matrix(spark, sf):
-    return spatial.distances(stations(spark)).select("a", "b", F.round("km", 6).alias("km"))
+    return spatial.distances(reporting(spark, sf)).select("a", "b", F.round("km", 6).alias("km"))
 
 
 @query
@@ -270,7 +270,9 @@ def aqi_class(spark, sf):
 
 @query
 def aqi_inverse(spark, sf):
-    return spark.range(0, 601).select(F.col("id").alias("aqi"), indices.concentration_of(F.col("id").cast("double")).alias("conc"))
+    """Values of events, taken for indices, as concentrations."""
+    aqi = raw(spark, sf).where("value is not null").groupBy(F.floor("value").cast("long").alias("aqi")).agg(F.count(F.lit(1)).alias("n"))
+    return aqi.select("aqi", indices.concentration_of(F.col("aqi").cast("double")).alias("conc"), "n")
 
 
 @query
@@ -281,7 +283,9 @@ def split_name(spark, sf):
 
 @query
 def clock_labels(spark, sf):
-    return spark.range(24).select(F.col("id").alias("hour"), timefn.clock(F.col("id")).alias("label"), indices.thin(F.col("id") * 2).alias("thin"))
+    """Local hours of the panel on a twelve-hour clock, and whether their readings on each day are enough to interpret."""
+    hours = panel(spark, sf).groupBy(F.hour(timefn.local(F.col("ts"))).cast("long").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return hours.select("hour", timefn.clock(F.col("hour")).alias("label"), indices.thin(F.floor(F.col("n") / 30)).alias("thin"))
 
 
 @query
@@ -324,7 +328,10 @@ def polyline_resample(spark, sf):
 
 @query
 def grid_cells(spark, sf):
-    return spatial.grid(spark, BOX, 25).select("i", "j", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    """Cells of a grid with the places that lie in each."""
+    held = places(spark, sf).groupBy(geo.cell(F.col("lat"), BOX[1], BOX[3], 25).alias("i"), geo.cell(F.col("lon"), BOX[0], BOX[2], 25).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    cells = spatial.grid(spark, BOX, 25).select("i", "j", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    return cells.join(held, ["i", "j"], "left").select("i", "j", "lat", "lon", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _hour(spark, sf):
@@ -358,14 +365,22 @@ def extrapolation_mask(spark, sf):
     return out.select("id", "flags", "masked", spatial.reasons(F.col("flags"), names).alias("reasons"))
 
 
+def _power_sums(spark, sf):
+    return crossval.power_errors(crossval.hours(panel(spark, sf)), crossval.network(stations(spark)))
+
+
+def _power_errors(spark, sf):
+    return crossval.by_error(_power_sums(spark, sf))
+
+
 @query
 def idw_power_by_fold(spark, sf):
-    return interpolation.select_power(panel(spark, sf), stations(spark), (0.25, 0.5, 1.0))
+    return _power_errors(spark, sf).where("fold is not null").select("fold", "power", "rmse")
 
 
 @query
 def idw_power_selection(spark, sf):
-    return interpolation.chosen_power(interpolation.select_power(panel(spark, sf), stations(spark)))
+    return crossval.best_powers(_power_sums(spark, sf)).where("fold is not null").select("fold", "power", "rmse")
 
 
 @query
@@ -387,14 +402,9 @@ def calibration_bins(spark, sf):
 @query
 def kriging_cv(spark, sf):
     p, s = panel(spark, sf), stations(spark)
-    fitted = interpolation.fold_variograms(interpolation.fold_clouds(p, s, 30), s)
-    return interpolation.scores(interpolation.kriged(p, s, fitted), "g")
-
-
-@query
-def gbt_cv(spark, sf):
-    """Plain and hybrid trees with the operator's folds and rounds."""
-    return interpolation.scores(interpolation.boosted(panel(spark, sf), stations(spark)), "model")
+    net = crossval.network(s)
+    fitted = crossval.variograms(crossval.pair_errors(crossval.hours(p), net), net, least=30)
+    return interpolation.scores(interpolation.kriged(p, s, {g: v for (_, g), v in fitted.items()}), "g")
 
 
 def _similar(spark, sf):
@@ -547,7 +557,9 @@ def incomplete_harmonics(spark, sf):
 
 @query
 def correlation_power(spark, sf):
-    return validation.correlation_power(spark, 0.4, 35)
+    """Chance to see a rank correlation of several sizes with as many groups as report."""
+    units = reporting(spark, sf).select(F.col("gid").alias("id")).distinct()
+    return validation.correlation_power(units, (0.2, 0.3, 0.4, 0.5))
 
 
 @query
@@ -564,8 +576,7 @@ def station_inventory(spark, sf):
 
 @query
 def haversine_to_box(spark, sf):
-    s = stations(spark)
-    return s.select("station_id", F.round(F.hypot(geo.beyond(F.col("lat"), 18.9, 19.2) * 111.2, geo.beyond(F.col("lon"), 72.8, 73.0) * 105.0), 6).alias("km_outside"), geo.cell(F.col("lat"), BOX[1], BOX[3], 25).alias("i"), geo.cell(F.col("lon"), BOX[0], BOX[2], 25).alias("j"))
+    return places(spark, sf).select("id", F.round(F.hypot(geo.beyond(F.col("lat"), 18.9, 19.2) * 111.2, geo.beyond(F.col("lon"), 72.8, 73.0) * 105.0), 6).alias("km_outside"), geo.cell(F.col("lat"), BOX[1], BOX[3], 25).alias("i"), geo.cell(F.col("lon"), BOX[0], BOX[2], 25).alias("j"))
 
 
 @query

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geo, indices, timefn
 from ..operators import interpolation, profiles, reports, spatial, windows
 from ..session import table
-from .oracles import _R, _SEASON, _SIM, _q
-from .panel import BOX, panel, raw, sites, stations
+from .oracles import _cell_of, _R, _SEASON, _SIM, _q
+from .panel import BOX, panel, places, raw, reporting, sites, stations
 from .queries import MANTEL_DRAWS
 
 QUERIES: dict = {}
@@ -83,12 +83,6 @@ def pooled_scores(spark, sf):
     return reports.pooled(_station_scores(spark, sf))
 
 
-@query(_q("select 0.5::double as power, round(sum(n * mae) / sum(n), 6) as mae, round(sqrt(sum(n * rmse * rmse) / sum(n)), 6) as rmse, sum(n)::bigint as hours, '{\"model\":\"idw\",\"power\":0.5,\"hours\":' || sum(n)::bigint || '}' as card from ss", _ST))
-def model_card(spark, sf):
-    power = spark.range(1).select(F.lit(0.5).alias("power"))
-    return reports.card(_station_scores(spark, sf), power)
-
-
 @query(_q("select station_id, count(*) as windows, round(round(avg(abs(idw - observed)), 6), 5) as mae, round(round(sqrt(avg(pow(idw - observed, 2))), 6), 5) as rmse from wl group by 1",
           "wl as (select t.station_id, t.win, any_value(t.mean) as observed, sum(s.mean / pow(greatest(km, 0.05), 0.5)) / sum(1 / pow(greatest(km, 0.05), 0.5)) as idw from cov t join stations gt using (station_id) join cov s on s.win = t.win join stations gs on gs.station_id = s.station_id and gs.gid <> gt.gid join links on links.a = t.station_id and links.b = s.station_id group by 1, 2)"))
 def window_cv(spark, sf):
@@ -281,23 +275,24 @@ def edge_distance(spark, sf):
     return s.select("id", F.round(reports.edge_distance(F.col("x"), F.col("y"), (0.0, 0.0, 10007.0, 10009.0)), 6).alias("edge_m"), F.round(F.log10(F.col("x") + 10), 9).alias("log_x"))
 
 
-_CELL = f"oc as (select distinct greatest(0, least(9, floor((lat - {BOX[1]}::double) / ({BOX[3]}::double - {BOX[1]}::double) * 10)))::int as i, greatest(0, least(9, floor((lon - {BOX[0]}::double) / ({BOX[2]}::double - {BOX[0]}::double) * 10)))::int as j from stations), mk as (select i::int as i, j::int as j, ((i * 7 + j * 3) % 4)::int as flags from (select unnest(range(10)) as i), (select unnest(range(10)) as j))"
+_CELL = f"oc as (select distinct {_cell_of('lat', BOX[1], BOX[3], 10)} as i, {_cell_of('lon', BOX[0], BOX[2], 10)} as j from stations where station_id in (select station_id from raw where value is not null)), mk as (select {_cell_of('lat', BOX[1], BOX[3], 10)} as i, {_cell_of('lon', BOX[0], BOX[2], 10)} as j, (count(*) % 4)::int as flags from places group by 1, 2)"
 
 
-def _mask(spark):
-    grid = spark.range(100).select((F.col("id") % 10).cast("int").alias("i"), F.floor(F.col("id") / 10).cast("int").alias("j"))
-    occupied = stations(spark).select(geo.cell(F.col("lat"), BOX[1], BOX[3], 10).alias("i"), geo.cell(F.col("lon"), BOX[0], BOX[2], 10).alias("j"))
-    return reports.cleared(grid.withColumn("flags", ((F.col("i") * 7 + F.col("j") * 3) % 4).cast("int")), occupied)
+def _mask(spark, sf):
+    """Cells with places, flagged by their number of places, cleared where a station reports."""
+    at = lambda df: df.select(geo.cell(F.col("lat"), BOX[1], BOX[3], 10).alias("i"), geo.cell(F.col("lon"), BOX[0], BOX[2], 10).alias("j"))
+    grid = at(places(spark, sf)).groupBy("i", "j").agg((F.count(F.lit(1)) % 4).cast("int").alias("flags"))
+    return reports.cleared(grid, at(reporting(spark, sf)))
 
 
 @query(_q("select mk.i, mk.j, case when oc.i is null then flags else 0 end as flags from mk left join oc using (i, j)", _CELL))
 def cleared_station_cells(spark, sf):
-    return _mask(spark)
+    return _mask(spark, sf)
 
 
 @query(_q("select 'low' as feature, sum(f & 1)::bigint as n from cl union all select 'high', sum((f >> 1) & 1)::bigint from cl", _CELL, "cl as (select case when oc.i is null then flags else 0 end as f from mk left join oc using (i, j))"))
 def mask_reason_totals(spark, sf):
-    return reports.reason_totals(_mask(spark), ["low", "high"])
+    return reports.reason_totals(_mask(spark, sf), ["low", "high"])
 
 
 def _corner(a: int, b: int) -> str:
@@ -305,10 +300,11 @@ def _corner(a: int, b: int) -> str:
     return f"printf('%.4f %.4f', {BOX[0]}::double + (j + {b}) * {lon}::double, {BOX[1]}::double + (i + {a}) * {lat}::double)"
 
 
-@query(f"select i::int as i, j::int as j, {_corner(0, 0)} || ', ' || {_corner(0, 1)} || ', ' || {_corner(1, 1)} || ', ' || {_corner(1, 0)} as polygon from (select unnest(range(10)) as i), (select unnest(range(10)) as j)")
+@query(_q(f"select i, j, {_corner(0, 0)} || ', ' || {_corner(0, 1)} || ', ' || {_corner(1, 1)} || ', ' || {_corner(1, 0)} as polygon, n from (select {_cell_of('lat', BOX[1], BOX[3], 10)} as i, {_cell_of('lon', BOX[0], BOX[2], 10)} as j, count(*) as n from places group by 1, 2)"))
 def cell_polygons(spark, sf):
-    grid = spark.range(100).select((F.col("id") % 10).cast("int").alias("i"), F.floor(F.col("id") / 10).cast("int").alias("j"))
-    return grid.withColumn("polygon", reports.cell_polygon(F.col("i"), F.col("j"), BOX, 10))
+    """Polygons of the cells that hold places."""
+    held = places(spark, sf).groupBy(geo.cell(F.col("lat"), BOX[1], BOX[3], 10).alias("i"), geo.cell(F.col("lon"), BOX[0], BOX[2], 10).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    return held.select("i", "j", reports.cell_polygon(F.col("i"), F.col("j"), BOX, 10).alias("polygon"), "n")
 
 
 @query("with t as (select o_orderkey, case when o_orderkey % 5 = 0 then strftime(o_orderdate, '%Y/%m/%d 08:30:00') else strftime(o_orderdate, '%d-%m-%Y 08:30:00') end as s, case when o_orderkey % 3 = 0 then '-' || o_custkey else o_custkey::varchar end as v, 'pm_2.' || (o_orderkey % 7)::varchar as c from orders) select o_orderkey, try_strptime(s, '%d-%m-%Y %H:%M:%S') - interval '5 hours 30 minutes' as ts, case when v::double >= 0 then v::double end as value, upper(replace(replace(c, '.', ''), '_', '')) = 'PM25' as is_pm25, coalesce(case when o_orderkey % 5 = 0 then null else s end, v) as alias from t")

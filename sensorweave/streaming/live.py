@@ -44,29 +44,42 @@ def episodes(stream: DataFrame, least: float, bridge: str = "6 hours", late: str
     return s.groupBy(F.session_window("ts", bridge).alias("w")).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("n")).select("start_ts", "end_ts", "n")
 
 
-def stuck_alarms(stream: DataFrame, least: int = 24) -> DataFrame:
-    """A row when a station has sent one value in `least` consecutive hours: state is the last value, its hour and the run's length.
+def stuck_alarms(stream: DataFrame, least: int = 24, late: str = LATE, forget: int = 48) -> DataFrame:
+    """A row when a station has sent one value in `least` consecutive hours: state is the last value, its hour, the run's length and hours that wait.
 
-    Hours of a station must arrive in order (an hour that is not after the last is ignored).
+    Hours wait until the watermark has passed them and then count in order, so an hour that comes late (but within `late`) breaks or
+    makes a run as in a batch; of several readings of an hour the first to arrive counts. A timer wakes a station for its waiting hours, and one
+    that has been silent for `forget` hours loses its state.
     """
     ship(stream.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, hour, run = state.get if state.exists else (None, -10, 0)
+        value, hour, run, hours, values = state.get if state.exists else (None, -10, 0, [], [])
+        held = dict(zip(hours, values, strict=True))
+        for pdf in batches:
+            for v, h in zip(pdf["value"].tolist(), pdf["eh"].tolist(), strict=True):
+                if h > hour:
+                    held.setdefault(int(h), float(v))
+        past = state.getCurrentWatermarkMs() // 3_600_000  # hours that end by then are complete
         out = []
-        rows = pd.concat(list(batches)).sort_values("eh")
-        for v, h in zip(rows["value"], rows["eh"], strict=True):
-            if h <= hour:
-                continue
+        for h in sorted(k for k in held if k < past):
+            v = held.pop(h)
             run = run + 1 if h == hour + 1 and v == value else 1
-            value, hour = float(v), int(h)
+            value, hour = v, h
             if run == least:
                 out.append((int(key[0]), hour, value, run))
-        state.update((value, hour, run))
+        if not held and state.hasTimedOut and past >= hour + forget:
+            state.remove()
+        else:
+            waiting = sorted(held)
+            state.update((value, hour, run, waiting, [held[h] for h in waiting]))
+            wake = waiting[0] + 1 if waiting else max(hour, past) + forget
+            state.setTimeoutTimestamp(int(max(wake * 3_600_000, state.getCurrentWatermarkMs() + 1)))
         yield pd.DataFrame(out, columns=["station_id", "eh", "value", "run"])
 
-    s = timed(stream).select("station_id", "value", F.floor(F.unix_timestamp("ts") / 3600).cast("long").alias("eh"))
-    out = s.groupBy("station_id").applyInPandasWithState(step, "station_id long, eh long, value double, run long", "value double, hour long, run long", "append", GroupStateTimeout.NoTimeout)
+    s = timed(stream).withWatermark("ts", late).select("station_id", "ts", "value", F.floor(F.unix_timestamp("ts") / 3600).cast("long").alias("eh"))
+    held = "value double, hour long, run long, hours array<long>, values array<double>"
+    out = s.groupBy("station_id").applyInPandasWithState(step, "station_id long, eh long, value double, run long", held, "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("station_id", F.timestamp_seconds(F.col("eh") * 3600).alias("ts"), "value", "run")
 
 

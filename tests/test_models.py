@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorweave.functions import stats
+from sensorweave.functions import linear, stats
 from sensorweave.functions.geo import haversine_km
-from sensorweave.operators import interpolation, regression, spatial
+from sensorweave.functions.timefn import local
+from sensorweave.operators import crossval, interpolation, regression, spatial, sweeps, trees
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -29,7 +30,7 @@ def readings(spark, stations, hours, drop=lambda s, h: False, scale=lambda s: 1.
 def test_cloud_of_each_fold(spark):
     gids = [1, 1, 2, 3, 4]
     st, p = places(spark, gids), readings(spark, 5, 40, lambda s, h: (s * 7 + h) % 6 == 0)
-    got = {(r.fold, r.a, r.b): (r.n, r.gamma) for r in interpolation.fold_clouds(p, st, 5).collect()}
+    got = {(r.fold, r.a, r.b): (r.n, r.gamma) for r in crossval.fold_clouds(crossval.pair_errors(crossval.hours(p), crossval.network(st)), st, 5).collect()}
     at = {}
     for r in p.collect():
         at.setdefault(r.ts, {})[r.station_id] = r.value
@@ -48,23 +49,141 @@ def test_cloud_of_each_fold(spark):
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
 
 
+def _variograms(spark, st, p):
+    net = crossval.network(st)
+    return crossval.variograms(crossval.pair_errors(crossval.hours(p), net), net, least=5)
+
+
 def test_fold_variograms_see_no_held_out_reading(spark):
     st = places(spark, [1, 2, 3, 4, 5])
-    fits = [interpolation.fold_variograms(interpolation.fold_clouds(readings(spark, 5, 30, scale=lambda s: k if s == 3 else 1.0), st, 5), st)[3] for k in (1.0, 9.0)]  # noqa: B023
+    fits = [_variograms(spark, st, readings(spark, 5, 30, scale=lambda s: k if s == 3 else 1.0))["", 3] for k in (1.0, 9.0)]  # noqa: B023
     assert fits[0] == fits[1]
-    none = interpolation.fold_variograms(interpolation.fold_clouds(readings(spark, 5, 3), st, 5), st)
-    assert set(none.values()) == {(0.2, 0.8, 15.0)}
+    assert set(_variograms(spark, st, readings(spark, 5, 3)).values()) == {crossval.NO_PAIRS}
+
+
+def _by_hand(panel, st, powers, fold=None):
+    """Squared errors of each power over stations outside the fold, each from other groups outside it."""
+    at = {r.station_id: r for r in st.collect()}
+    km = lambda a, b: 2 * 6371 * np.arcsin(np.sqrt(np.sin(np.radians(b.lat - a.lat) / 2) ** 2 + np.cos(np.radians(a.lat)) * np.cos(np.radians(b.lat)) * np.sin(np.radians(b.lon - a.lon) / 2) ** 2))
+    seen, out = {}, {p: [] for p in powers}
+    for r in panel.collect():
+        seen.setdefault(r.ts, {})[r.station_id] = r.value
+    for hour in seen.values():
+        for t, v in hour.items():
+            src = [s for s in hour if at[s].gid not in (at[t].gid, fold)]
+            if at[t].gid != fold and src:
+                for p in powers:
+                    w = [max(km(at[s], at[t]), 0.05) ** -p for s in src]
+                    out[p].append((sum(a * hour[s] for a, s in zip(w, src, strict=True)) / sum(w) - v) ** 2)
+    return {p: np.sqrt(np.mean(x)) for p, x in out.items() if x}
+
+
+def test_powers_of_folds_and_without_a_block(spark):
+    st, p = places(spark, [1, 1, 2, 3, 4]), readings(spark, 5, 40, lambda s, h: (s * 7 + h) % 5 == 0)
+    block = F.when(F.col("ts") < F.lit(T0 + dt.timedelta(hours=20)), "a").otherwise("b")
+    errors = crossval.power_errors(crossval.hours(p, block), crossval.network(st), (0.5, 2.0))
+    got = {(r.held, r.fold, r.power): r.rmse for r in crossval.by_error(errors, ["b"]).collect()}
+    for held, part in (("", p), ("b", p.where(block == "a"))):
+        for fold in (None, 1, 2, 3, 4):
+            for power, want in _by_hand(part, st, (0.5, 2.0), fold).items():
+                assert got[held, fold, power] == pytest.approx(want, abs=2e-6)
+    best = {(r.held, r.fold): r.power for r in crossval.best_powers(errors, ["b"]).collect()}
+    assert all(got[h, g, p] == min(got[h, g, x] for x in (0.5, 2.0)) for (h, g), p in best.items()) and len(best) == 10
 
 
-def test_trees_see_no_held_out_reading(spark):
-    st = places(spark, [0, 1, 2, 3])
-    runs = []
+SMALL = trees.Shape(rounds=5, least=2, leaves=4)
+
+
+def test_estimates_see_no_held_out_reading(spark):
+    st, runs = places(spark, [0, 1, 2, 2]), []
     for k in (1.0, 9.0):
-        out = interpolation.boosted(readings(spark, 4, 24, scale=lambda s: k if s in (2, 4) else 1.0), st, folds=2, rounds=1)  # noqa: B023
-        rows = out.where("g in (1, 3)").select("model", "station_id", "ts", F.round("idw", 9), F.round("city", 9)).collect()
-        assert {r.model for r in rows} == {"plain", "hybrid"} and len(rows) == 2 * 2 * 24
-        runs.append(sorted(rows))
+        rows, net = crossval.hours(readings(spark, 4, 24, scale=lambda s: k if s == 2 else 1.0)), crossval.network(st)  # noqa: B023
+        powers = {("", g): 0.5 for g in net.folds}
+        out = crossval.estimates(rows, net, powers, _variograms(spark, st, readings(spark, 4, 24)), crossval.forests(rows, net, powers, SMALL))
+        own = out.where("station_id = 2").select("model", "ts", F.round("estimate", 9)).collect()
+        assert {r.model for r in own} == set(crossval.MODELS) and len(own) == 5 * 24
+        runs.append(sorted(own))
+    assert runs[0] == runs[1]
+    scored = crossval.station_scores(out)
+    assert crossval.comparison(scored).count() == 5 and crossval.comparison(scored).where("hours != 96 or stations != 4 or folds != 3").count() == 0
+
+
+def test_a_held_out_block_is_not_seen(spark):
+    st, runs = places(spark, [0, 1, 2, 3]), []
+    net = crossval.network(st)
+    for k in (1.0, 5.0):
+        p = readings(spark, 4, 48).withColumn("value", F.when(F.col("ts") >= F.lit(T0 + dt.timedelta(hours=24)), F.col("value") * k).otherwise(F.col("value")))
+        rows = crossval.hours(p, F.to_date("ts"))
+        powers = {(h, g): 0.5 for h in ("", "2024-01-02") for g in net.folds}
+        grown = crossval.forests(rows, net, powers, SMALL)
+        x = np.array([[1.0, h, 0, 1, 40.0] for h in range(24)])
+        runs.append([grown["2024-01-02", g][0].predict(x).tolist() for g in net.folds])
+        out = crossval.estimates(rows, net, powers, None, grown)
+        assert {r.block for r in out.where("held != ''").select("block").distinct().collect()} == {"2024-01-02"}
     assert runs[0] == runs[1]
+    scored = crossval.time_block_scores(out, ["2024-01-02"])
+    assert {r.scheme for r in scored.select("scheme").distinct().collect()} == {"spatial_only", "spatial_time"} and scored.where("n != 24").count() == 0
+
+
+def test_trees_split_where_the_error_is_least():
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 9, 400), rng.normal(size=400), np.where(rng.random(400) < 0.2, np.nan, rng.normal(size=400))]).astype(float)
+    y = 3 * x[:, 0] + np.where(np.isnan(x[:, 2]), 9.0, 0.0) + rng.normal(size=400)
+    one = trees.fit(x, y, trees.Shape(rounds=1, rate=1.0, leaves=2, least=5, ridge=0.0))
+    best = min(sum(((y[m] - y[m].mean()) ** 2).sum() for m in (low, ~low)) for f in range(3) for e in [*one.edges[f], np.inf] for low in [x[:, f] <= e] if 5 <= low.sum() <= 395)
+    assert ((y - one.predict(x)) ** 2).sum() == pytest.approx(best)
+    many = trees.fit(x, y, trees.Shape(rounds=60, least=10))
+    assert np.std(y - many.predict(x)) < 0.4 * np.std(y) and len(many.trees) == 60
+    assert trees.fit(x[:0], y[:0]).predict(x[:3]).tolist() == [0, 0, 0]
+    assert trees.fit(x[:10], y[:10]).predict(x[:2]) == pytest.approx([y[:10].mean()] * 2)
+
+
+def test_small_systems_solved_in_expressions(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(9, 5))
+    a, b = m.T @ m, rng.normal(size=5)
+    row = spark.createDataFrame([tuple(float(a[i, j]) for i in range(5) for j in range(i, 5)) + tuple(map(float, b))], [f"a{i}_{j}" for i in range(5) for j in range(i, 5)] + [f"b{i}" for i in range(5)])
+    got = linear.solved(row, 5).first()
+    np.testing.assert_allclose([got[f"xb{i}"] for i in range(5)], np.linalg.solve(a, b), rtol=1e-9)
+
+
+def test_skill_of_six_features_equals_refits(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(30, 6))
+    y = x @ [1, 0.5, 0, 0, 0, 0] + rng.normal(size=30)
+    names = [f"x{i}" for i in range(6)]
+    df = spark.createDataFrame([(i, float(y[i]), *map(float, x[i])) for i in range(30)] + [(99, None, *[0.0] * 6)], ["id", "y", *names])
+    z, e, base = np.column_stack([np.ones(30), x]), [], []
+    for i in range(30):
+        k = np.arange(30) != i
+        e.append(y[i] - z[i] @ np.linalg.lstsq(z[k], y[k], rcond=None)[0])
+        base.append(y[i] - y[k].mean())
+    got = regression.held_out_skill_of(df, "id", "y", names, 200).first()
+    assert got.r2 == pytest.approx(1 - np.dot(e, e) / np.dot(base, base), abs=2e-6) and got.units == 30 and 0 < got.p < 0.2
+
+
+def test_window_profiles_are_differences_of_sums(spark):
+    p = readings(spark, 3, 24 * 12, lambda s, h: (s * 5 + h) % 7 == 0)
+    named = [("w1", "2024-01-02", "2024-01-06"), ("w2", "2023-12-01", "2024-03-01"), ("w3", "2024-01-05", "2024-01-06"), ("none", "2025-01-01", "2025-02-01")]
+    windows = spark.createDataFrame(named, "win string, lo string, hi string").select("win", F.to_date("lo").alias("lo"), F.to_date("hi").alias("hi"))
+    got = {(r.win, r.station_id, r.hour): (r.mean, r.n) for r in sweeps.window_profiles(sweeps.running_sums(p), windows).collect()}
+    t = local(F.col("ts"))
+    for w, lo, hi in named:
+        want = p.where((F.to_date(t) >= lo) & (F.to_date(t) < hi)).groupBy("station_id", F.hour(t).alias("hour")).agg(F.avg("value").alias("m"), F.count("value").alias("n")).collect()
+        assert {k[1:] for k in got if k[0] == w} == {(r.station_id, r.hour) for r in want}
+        assert all(got[w, r.station_id, r.hour] == (pytest.approx(r.m, abs=1e-6), r.n) for r in want)
+
+
+def test_pairs_of_windows_all_or_one_a_stratum(spark):
+    rng = np.random.default_rng(1)
+    lo = np.sort(rng.integers(0, 400, 60))
+    rows = [(k, int(a), int(a + rng.integers(1, 30))) for k, a in enumerate(lo)]
+    df = spark.createDataFrame(rows, "win long, lo long, hi long")
+    every = {(i, j) for i, a, b in rows for j, c, _ in rows if c >= b + 20 and (c, j) > (a, i)}
+    assert {(r.i, r.j) for r in sweeps.eligible_pairs(df, 20).collect()} == every
+    some = [(r.i, r.j) for r in sweeps.eligible_pairs(df, 20, 100).collect()]
+    assert len(some) == len(set(some)) == 100 and set(some) <= every
+    assert sweeps.eligible_pairs(df, 10_000).collect() == []
 
 
 def test_error_bars(spark):

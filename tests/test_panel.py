@@ -157,7 +157,10 @@ def test_correlation_power_has_all_its_trials(spark):
     from sensorweave.operators import validation
     from sensorweave.plans import queries
 
-    assert queries.correlation_power(spark, "").collect() == validation.correlation_power(spark, 0.4, 35, 2000).collect() != validation.correlation_power(spark, 0.4, 35, 400).collect()
+    units = spark.range(35)
+    got = {r.rho: r for r in validation.correlation_power(units, (0.0, 0.5)).collect()}
+    assert {r.trials for r in got.values()} == {3000} and got[0.0].units == 35 and 0.03 < got[0.0].power < 0.07 and 0.8 < got[0.5].power < 0.92
+    assert validation.correlation_power(spark.range(3), (0.5,)).collect() == []
 
 
 def test_greedy_deletion_equals_brute_force(spark):

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sensorweave.sources import files, rest
+from sensorweave.sources import feed, files, rest
 from sensorweave.streaming import live
 
 T0 = dt.datetime(2024, 1, 1)
@@ -31,12 +31,74 @@ def test_hourly_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+END = [(9, T0 + dt.timedelta(days=30), 0.0)]  # moves the watermark past all else
+
+
 def test_stuck_alarm_needs_consecutive_hours(spark, tmp_path):
     rows = [(1, T0 + dt.timedelta(hours=h), 5.0) for h in range(4)] + [(2, T0 + dt.timedelta(hours=2 * h), 5.0) for h in range(4)]
-    got = _run(live.stuck_alarms(_stream(spark, tmp_path, [rows]), 3), "stuck")
+    got = _run(live.stuck_alarms(_stream(spark, tmp_path, [rows, END, END]), 3), "stuck")
     assert [(r.station_id, r.ts, r.run) for r in got] == [(1, T0 + dt.timedelta(hours=2), 3)]
 
 
+def test_stuck_alarms_of_late_hours_equal_the_batch(spark, tmp_path):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(s, T0 + dt.timedelta(hours=h), float((h // (s + 2)) % 3)) for s in (1, 2, 3) for h in range(60) if rnd.random() < 0.95]
+    late = sorted(rows, key=lambda r: (r[1] - T0).total_seconds() + rnd.uniform(0, 5 * 3600))  # up to five hours out of order
+    batches = [late[k : k + 20] for k in range(0, len(late), 20)]
+    got = _run(live.stuck_alarms(_stream(spark, tmp_path, [*batches, END, END]), 3), "stuck_late")
+    want = []
+    for s in (1, 2, 3):
+        last, run = None, 0
+        for _, t, v in sorted(r for r in rows if r[0] == s):
+            run = run + 1 if last and t - last[0] == dt.timedelta(hours=1) and v == last[1] else 1
+            last = (t, v)
+            if run == 3:
+                want.append((s, t, v))
+    assert sorted((r.station_id, r.ts, r.value) for r in got) == sorted(want) and len(want) > 10
+
+
+def _feed(folder, poll, **answers):
+    (folder / str(poll)).mkdir(parents=True)
+    for name, answer in answers.items():
+        (folder / str(poll) / f"{name.replace('_', '-')}.json").write_text(json.dumps(answer))
+
+
+def test_live_feed_falls_back_and_shares_its_budget(spark, tmp_path):
+    record = lambda k, v="12.5", **o: {"station": f"s{k}", "last_update": "01-02-2024 10:00:00", "avg_value": v, "pollutant_id": "PM2.5"} | o
+    place = lambda aqi: {"iaqi": {"pm25": {"v": aqi}}, "time": {"iso": "2024-02-01T10:00:00+05:30"}}
+    _feed(tmp_path / "r", 0, primary_0={"total": 5, "records": [record(1), record(2, "NA")]}, primary_2={"records": [record(3), record(4, pollutant_id="NO2")]}, primary_4={"error": "busy"})
+    _feed(tmp_path / "r", 1, place_a=place(50), place_b=place(None), place_c={"error": "gone", "lasting": True})
+    spark.dataSource.register(feed.FeedSource)
+    stream = spark.readStream.format("sensor_feed").options(replay=str(tmp_path / "r"), places="a,b,c,d", page=2, calls=8, spacing=0.01).load()
+    q = stream.writeStream.format("memory").queryName("feed").start()
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.table("feed")
+    got = {(r.poll, r.place): (r.value, r.source) for r in feed.readings(rows).collect()}
+    assert got == {(0, "s1"): (12.5, "primary"), (0, "s3"): (12.5, "primary"), (1, "a"): (12.0, "fallback")}
+    assert {r.ts for r in feed.readings(rows).collect()} == {dt.datetime(2024, 2, 1, 4, 30)}
+    found = {r.poll: r for r in feed.status(rows, 4, F.lit("2024-02-01 09:00:00").cast("timestamp")).collect()}
+    assert (found[0].ok, found[0].source, found[0].reporting) == (True, "primary", 2) and "budget" in found[0].error
+    assert (found[1].ok, found[1].source, found[1].reporting) == (True, "fallback", 1) and all(x in found[1].error for x in ("primary: primary-0: no answer", "gone", "place-d: no answer"))
+    late = {r.poll: r.ok for r in feed.status(rows, 4, F.lit("2024-02-02 09:00:00").cast("timestamp")).collect()}
+    assert late == {0: False, 1: False}
+
+
+def test_feed_plan_limits_calls_and_time(tmp_path):
+    _feed(tmp_path, 0, primary_0={"total": 100, "records": [{"station": "x"}]})
+    reader = feed.FeedReader({"replay": str(tmp_path), "page": "10", "calls": "6", "places": "a,b,c"}, lambda s: None, lambda: 0.0)
+    parts = reader.planned(0)
+    assert [p.at for p in parts if p.kind == "page"] == [10, 20, 30] and sum(p.calls for p in parts if p.kind == "page") <= 6 and len([p for p in parts if p.kind == "error"]) == 6
+    now, waits = iter([0.0, 0.0, 100.0]), []
+    reader = feed.FeedReader({"replay": str(tmp_path), "calls": "3", "places": "a,b,c", "seconds": "5", "spacing": "2"}, waits.append, lambda: next(now, 100.0))
+    parts = reader.planned(7)
+    assert [(p.kind, p.at) for p in parts] == [("error", None), ("place", "a"), ("place", "b"), ("error", "c")]
+    assert [r[5] for p in parts for r in reader.read(p)] == ["primary: primary-0: no answer", "out of time", "out of time", "c beyond the budget of calls"]
+    assert reader.latestOffset() == {"poll": 1} and reader.initialOffset() == {"poll": 0}
+
+
 def test_replayed_source(spark, tmp_path):
     row = lambda h, v, **k: {"period": {"datetimeFrom": {"utc": f"2024-01-01T0{h}:00:00Z"}}, "value": v} | k
     (tmp_path / "7-0.json").write_text(json.dumps({"results": [row(1, 3.5), row(2, None, flagInfo={"hasFlags": True}), {"value": 1}]}))
