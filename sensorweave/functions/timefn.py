@@ -16,11 +16,6 @@ def local(ts: Column, zone: str = ZONE) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts)
 
 
-def hours_since(ts: Column, origin: Column) -> Column:
-    """Whole hours between two stamps."""
-    return F.floor((F.unix_timestamp(ts.cast("timestamp")) - F.unix_timestamp(origin.cast("timestamp"))) / 3600).cast("long")
-
-
 def epoch_hour(ts: Column) -> Column:
     return F.floor(F.unix_timestamp(ts.cast("timestamp")) / 3600).cast("long")
 

@@ -126,3 +126,10 @@ def as_of(queries: DataFrame, panel: DataFrame) -> DataFrame:
     w = W.partitionBy("station_id").orderBy("ts", "query").rowsBetween(W.unboundedPreceding, 0)
     last = F.last(F.when(~F.col("query"), F.struct("ts", "value")), ignorenulls=True).over(w)
     return both.withColumn("last", last).where("query").select("station_id", F.col("ts").alias("at"), F.col("last.ts").alias("as_of"), F.col("last.value").alias("value"))
+
+
+def restricted(readings: DataFrame, panel: DataFrame) -> DataFrame:
+    """Readings of another quantity at the panel's stations and within its span, for a comparison on equal terms."""
+    span = panel.agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"))
+    own = readings.join(panel.select("station_id").distinct(), "station_id", "left_semi")
+    return own.crossJoin(F.broadcast(span)).where(F.col("ts").between(F.col("from_ts"), F.col("to_ts"))).drop("from_ts", "to_ts")

@@ -58,6 +58,13 @@ def scores(predicted: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def skill_summary(predicted: DataFrame) -> DataFrame:
+    """Pooled errors of the estimate and of the mean, the gap in per cent of the mean's, and how many groups the estimate wins."""
+    overall = scores(predicted).select("n", "rmse_idw", "rmse_city", F.round(100 * (F.col("rmse_idw") - F.col("rmse_city")) / F.nullif(F.col("rmse_city"), F.lit(0.0)), 4).alias("gap_pct"))
+    won = scores(predicted, "g").agg(F.sum((F.col("gap") < 0).cast("long")).alias("groups_won"), F.count(F.lit(1)).alias("groups"))
+    return overall.crossJoin(F.broadcast(won))
+
+
 def cloud(panel: DataFrame, stations: DataFrame, least: int = 100) -> DataFrame:
     """Half the mean squared difference of each pair of stations over hours both report."""
     side = lambda k: panel.select("ts", F.col("station_id").alias(k), F.col("value").alias(f"v{k}"))

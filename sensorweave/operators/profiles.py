@@ -52,6 +52,13 @@ def residuals(panel: DataFrame) -> DataFrame:
     return panel.withColumn("hour", F.hour(local(F.col("ts")))).withColumn("residual", tidy(F.col("value") - F.avg("value").over(W.partitionBy("station_id", "hour")))).select("station_id", "ts", "residual")
 
 
+def seasonal_residuals(panel: DataFrame) -> DataFrame:
+    """Value less the station's mean of that local month and hour."""
+    t = local(F.col("ts"))
+    own = W.partitionBy("station_id", F.month(t), F.hour(t))
+    return panel.select("station_id", "ts", tidy(F.col("value") - F.avg("value").over(own)).alias("residual"))
+
+
 def anomalies(panel: DataFrame, least: int = 10) -> DataFrame:
     """Value less the hour's mean over stations, and its score; hours with fewer stations are left out."""
     w = W.partitionBy("ts")

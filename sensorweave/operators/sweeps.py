@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.indices import phase_hour
+from ..functions.indices import phase_hour, wrap12
 from ..functions.timefn import local
 from ..session import ship
 from .crossval import Network
@@ -39,7 +39,7 @@ def window_profiles(sums: DataFrame, windows: DataFrame) -> DataFrame:
     """(win, the keys of the sums, mean, n) of windows (win, lo, hi) of local days, hi not included."""
     keys = [c for c in sums.columns if c not in ("day", "s", "n")]
     last = sums.agg(F.max("day").alias("last"))
-    bounds = windows.crossJoin(F.broadcast(last)).select("win", F.least(F.date_sub("hi", 1), "last").alias("day"), F.date_sub("lo", 1).alias("before"))
+    bounds = windows.crossJoin(F.broadcast(last)).select("win", F.least(F.date_sub("hi", 1), "last").alias("day"), F.least(F.date_sub("lo", 1), "last").alias("before"))
     # windows are a handful of rows beside the sums
     ends = sums.join(F.broadcast(bounds), "day").select("win", *keys, "s", "n")
     starts = sums.join(F.broadcast(bounds.drop("day")), F.col("day") == F.col("before")).select("win", *keys, F.col("s").alias("s0"), F.col("n").alias("n0"))
@@ -119,7 +119,7 @@ def phase_reliability(profiles: DataFrame, weak: float = 1.5, least: int = 15) -
     w = W.partitionBy("win")
     angle = lambda c: F.col(c) * (2 * math.pi / 24)
     centred = lambda c: F.sin(angle(c) - F.atan2(F.avg(F.sin(angle(c))).over(w), F.avg(F.cos(angle(c))).over(w)))
-    both = both.withColumns({"u": centred("p0"), "v": centred("p1"), "gap": F.abs(F.pmod(F.col("p0") - F.col("p1") + 12, F.lit(24.0)) - 12)})
+    both = both.withColumns({"u": centred("p0"), "v": centred("p1"), "gap": F.abs(wrap12(F.col("p0") - F.col("p1")))})
     r = F.sum(F.col("u") * F.col("v")) / F.nullif(F.sqrt(F.sum(F.col("u") * F.col("u")) * F.sum(F.col("v") * F.col("v"))), F.lit(0.0))
     out = both.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.round(r, 6).alias("r"), F.round(F.percentile("gap", F.lit(0.5)), 5).alias("median_gap"), F.sum(((F.col("amp0") + F.col("amp1")) / 2 < weak).cast("long")).alias("weak"))
     return out.where(F.col("n") >= least)

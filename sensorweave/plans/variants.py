@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geo, indices
 from ..functions.linear import solved_sql
 from ..functions.timefn import local
-from ..operators import crossval, decisions, profiles, regression, spatial, sweeps, windows
+from ..operators import cleaning, crossval, decisions, interpolation, profiles, regression, spatial, sweeps, windows
 from ..session import table
 from .models import ORACLES as MODEL_SQL
 from .models import map_features
-from .oracles import _R, _q
-from .panel import panel, sites, stations
+from .oracles import _KM, _R, _q
+from .panel import BOX, panel, places, raw, sites, stations
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +178,48 @@ def decision_rules(spark, sf):
         "p_partkey", decisions.averaging(a, b, c, e, d, p).alias("averaging"), decisions.control(a > 0, b > 0, c > 0).alias("control"),
         decisions.right_sign({"major": 1, "density": -1}, *slopes).alias("right_sign"), decisions.land_use(a, p, f > 0, c, q, g > 0, b, b + 0.3).alias("land_use"),
     )
+
+
+@query(_q("select o.n, o.rmse_idw, o.rmse_city, round(100 * (rmse_idw - rmse_city) / nullif(rmse_city, 0), 4) as gap_pct, groups_won, groups from (select count(*) as n, round(sqrt(avg(pow(idw - observed, 2))), 6) as rmse_idw, round(sqrt(avg(pow(city - observed, 2))), 6) as rmse_city from logo) o, (select count(*) filter (gap < 0) as groups_won, count(*) as groups from (select round(sqrt(avg(pow(idw - observed, 2))) - sqrt(avg(pow(city - observed, 2))), 6) as gap from logo group by g))"))
+def skill_summary(spark, sf):
+    return interpolation.skill_summary(interpolation.held_out(panel(spark, sf), stations(spark)))
+
+
+@query(_q("select station_id, count(*) as n, round(avg(value), 6) as mean from raw where event_type = 'purchase' and value is not null and station_id in (select station_id from panel) and ts between (select min(ts) from panel) and (select max(ts) from panel) group by 1"))
+def second_quantity(spark, sf):
+    """Another quantity (events of one type) at the panel's stations and within its span."""
+    other = raw(spark, sf).where("event_type = 'purchase' and value is not null").select("station_id", "ts", "value")
+    own = cleaning.restricted(other, panel(spark, sf))
+    return own.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query(_q("select station_id, ts, round(value - avg(value) over (partition by station_id, month(lt), hour(lt)) + 1e-9, 6) as residual from loc"))
+def seasonal_residuals(spark, sf):
+    return profiles.seasonal_residuals(panel(spark, sf))
+
+
+@query(_q(f"select case when g_a = g_b then 'one group' when km < 5 then 'near' when km < 15 then 'middle' else 'far' end as class, count(*) as n_pairs, round(avg(km), 5) as km, round(avg(r), 5) as corr from (select p.station_id as a, q.station_id as b, round({_R.format('p.mean', 'q.mean')}, 6) as r from prof p join prof q on p.hour = q.hour and p.station_id < q.station_id group by 1, 2) join pairs using (a, b) where r is not null group by 1"))
+def likeness_by_distance_class(spark, sf):
+    """Likeness of daily profiles by distance, pairs of one group in a row of their own."""
+    s = stations(spark).select("station_id", "cv_group")
+    both = profiles.pairwise(profiles.diurnal(panel(spark, sf))).where("r is not null").join(spatial.distances(stations(spark)).select("a", "b", "km"), ["a", "b"]).join(s.toDF("a", "ga"), "a").join(s.toDF("b", "gb"), "b")
+    name = F.when(F.col("ga") == F.col("gb"), "one group").when(F.col("km") < 5, "near").when(F.col("km") < 15, "middle").otherwise("far")
+    return both.groupBy(name.alias("class")).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("km"), 5).alias("km"), F.round(F.avg("r"), 5).alias("corr"))
+
+
+_LAT0, _LON0 = (BOX[1] + BOX[3]) / 2, (BOX[0] + BOX[2]) / 2
+
+
+@query(_q(f"select id, round(6371008.8::double * cos(radians({_LAT0}::double)) * radians(lon - {_LON0}::double) + 1e-9, 3) as x, round(6371008.8::double * radians(lat - {_LAT0}::double) + 1e-9, 3) as y, round(0.2::double + 0.8::double * (1 - exp(-3 * km / 15)), 6) as gamma from (select *, {_KM.format(a='lat', b='lon', c=f'{_LAT0}::double', d=f'{_LON0}::double')} as km from places)"))
+def projected_places(spark, sf):
+    """Places in metres around the box's centre, and the variogram at their distance from it."""
+    x, y = geo.project_m(F.col("lat"), F.col("lon"), BOX)
+    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(_LAT0), F.lit(_LON0))
+    return places(spark, sf).select("id", F.round(x + 1e-9, 3).alias("x"), F.round(y + 1e-9, 3).alias("y"), F.round(geo.exponential_variogram(km, 0.2, 0.8, 15.0), 6).alias("gamma"))
+
+
+@query(_q("select station_id, hour, round(greatest(2.0::double + 0.6::double * mean, 30.0::double), 6) as sigma, round((hour - 9.5::double + 12 + 24) % 24 - 12, 6) as from_peak from prof"))
+def profile_error_bars(spark, sf):
+    """Error of each profile's means by a line with a floor, and hours from half past nine on the circle of a day."""
+    p = profiles.diurnal(panel(spark, sf))
+    return p.select("station_id", "hour", F.round(indices.sigma(F.col("mean"), 2.0, 0.6, 30.0), 6).alias("sigma"), F.round(indices.wrap12(F.col("hour") - F.lit(9.5)), 6).alias("from_peak"))
