@@ -186,20 +186,25 @@ class FeedSource(DataSource):
         return FeedReader(self.options)
 
 
-def readings(rows: DataFrame) -> DataFrame:
-    """(poll, place, ts, value, source) of the rows that carry a usable value: local stamps to UTC, numbers of the primary as they are, indices of the fallback as concentrations."""
+def _valued(rows: DataFrame) -> DataFrame:
+    """rows with ts and number, both as values; number is null where a row carries no usable one."""
     local_ = F.to_utc_timestamp(F.try_to_timestamp("stamp", F.lit("dd-MM-yyyy HH:mm:ss")), "Asia/Kolkata")
     ts = F.when(F.col("source") == "primary", local_).otherwise(F.expr("try_cast(stamp as timestamp)"))
     number = indices.number(F.col("value"))
-    value = F.when(F.col("source") == "primary", number).otherwise(indices.concentration_of(number))
-    return rows.where("error is null").select("poll", "place", ts.alias("ts"), value.alias("value"), "source").where("value is not null")
+    value = F.when(F.col("error").isNull(), F.when(F.col("source") == "primary", number).otherwise(indices.concentration_of(number)))
+    return rows.select("poll", "place", ts.alias("ts"), value.alias("value"), "source", "error")
+
+
+def readings(rows: DataFrame) -> DataFrame:
+    """(poll, place, ts, value, source) of the rows that carry a usable value: local stamps to UTC, numbers of the primary as they are, indices of the fallback as concentrations."""
+    return _valued(rows).where("value is not null").drop("error")
 
 
 def status(rows: DataFrame, places: int, now: Column, stale: int = 6) -> DataFrame:
     """A row a poll: ok, source, reporting, places, observed, and the errors; a poll is ok if a place reports and its newest reading is at most `stale` hours old."""
-    good = readings(rows).groupBy("poll").agg(F.max("source").alias("source"), F.count_distinct("place").alias("reporting"), F.max("ts").alias("observed"))
-    bad = rows.groupBy("poll").agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("errors"))
-    out = bad.join(good, "poll", "left").withColumn("reporting", F.coalesce("reporting", F.lit(0)))
-    old = F.col("observed") < now - F.make_dt_interval(hours=F.lit(stale))
-    error = F.when(F.col("reporting") == 0, "no place reports a value").when(old, "the newest reading is not current")
+    good = lambda c: F.when(F.col("value").isNotNull(), F.col(c))
+    out = _valued(rows).groupBy("poll").agg(
+        F.max(good("source")).alias("source"), F.count_distinct(good("place")).alias("reporting"), F.max(good("ts")).alias("observed"), F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("errors")
+    )
+    error = F.when(F.col("reporting") == 0, "no place reports a value").when(F.col("observed") < now - F.make_dt_interval(hours=F.lit(stale)), "the newest reading is not current")
     return out.select("poll", error.isNull().alias("ok"), "source", "reporting", F.lit(places).alias("places"), "observed", F.concat_ws("; ", F.nullif(F.col("errors"), F.lit("")), error).alias("error"))

@@ -91,7 +91,7 @@ def test_feed_plan_limits_calls_and_time(tmp_path):
     reader = feed.FeedReader({"replay": str(tmp_path), "page": "10", "calls": "6", "places": "a,b,c"}, lambda s: None, lambda: 0.0)
     parts = reader.planned(0)
     assert [p.at for p in parts if p.kind == "page"] == [10, 20, 30] and sum(p.calls for p in parts if p.kind == "page") <= 6 and len([p for p in parts if p.kind == "error"]) == 6
-    now, waits = iter([0.0, 0.0, 100.0]), []
+    now, waits = iter([0.0]), []
     reader = feed.FeedReader({"replay": str(tmp_path), "calls": "3", "places": "a,b,c", "seconds": "5", "spacing": "2"}, waits.append, lambda: next(now, 100.0))
     parts = reader.planned(7)
     assert [(p.kind, p.at) for p in parts] == [("error", None), ("place", "a"), ("place", "b"), ("error", "c")]
