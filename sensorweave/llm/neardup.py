@@ -67,7 +67,7 @@ class Plan:
         fewer = lambda k, s: sum(comb(M // k, i) * least ** (k * i) * (1 - least**k) ** (M // k - i) for i in range(s))
         band = next((k for k in (4, 2) if fewer(k, 1) < 1e-6), 1)
         shared = max((s for s in range(1, 4) if fewer(band, s) < 5e-5), default=1)
-        return Plan(band, shared, max(1, int(M * least - 4.95 * sqrt(M * least * (1 - least)))))
+        return Plan(band, shared, max(1, int(M * least - 4.9 * sqrt(M * least * (1 - least)))))
 
     def keys(self, regs: np.ndarray) -> np.ndarray:
         """The bands of registers, a row a text."""
@@ -122,12 +122,14 @@ def _registers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     values, size = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.value_lengths()).astype(np.int64)
     first, own = np.cumsum(size) - size, M // WORD
     rows = lambda at: values[at[:, None] + np.arange(own)].view(np.uint16)
-    return rows(first), rows(first + size - own)
+    weighted_ = rows(first)
+    return weighted_, weighted_ if (size == own).all() else rows(first + size - own)
 
 
 def _agree(x: tuple[np.ndarray, np.ndarray], a: np.ndarray, y: tuple[np.ndarray, np.ndarray], b: np.ndarray) -> np.ndarray:
     """Registers in which rows a of x agree with rows b of y, of the signature that agrees more."""
-    return np.maximum((x[0][a] == y[0][b]).sum(1), (x[1][a] == y[1][b]).sum(1))
+    n = (x[0][a] == y[0][b]).sum(1)
+    return n if x[0] is x[1] and y[0] is y[1] else np.maximum(n, (x[1][a] == y[1][b]).sum(1))
 
 
 def _sign(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -297,7 +299,7 @@ def _pairs(t: pa.Table, plan: Plan, most: int = 1 << 13) -> Iterator[tuple[np.nd
     first[1:] = np.any([(x := t.column(k).to_numpy())[1:] != x[:-1] for k in _TASK], axis=0)
     begin = np.append(np.flatnonzero(first), len(t))
     size = np.diff(begin)
-    keys = [plan.keys(r) for r in regs]
+    keys = [plan.keys(r) for r in (regs[:1] if regs[0] is regs[1] else regs)]
 
     def good(a: np.ndarray, b: np.ndarray):
         own = (col["comp"][a] != col["comp"][b]) & ((col["side"][a] != 2) | (col["rep"][a] < col["rep"][b]))
