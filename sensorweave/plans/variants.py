@@ -106,7 +106,7 @@ def _units(spark, sf):
     f = map_features(spark, sf, sites(spark, sf))
     log = lambda x: F.round(F.log10(F.col(x) + 10.0), 6)
     f = f.select("id", log("dist_major_road_m").alias("log_major"), "road_density_500m", "road_density_1km", log("dist_coast_m").alias("log_coast"), log("dist_industrial_m").alias("log_industrial"), "building_density_500m")
-    return f.join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("y")), "id")
+    return f.join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("y")), "id").persist()  # a row a site, read several times
 
 
 _SITES = f"ft as (select * from ({MODEL_SQL['features_for']})), un as (select id, round(log10(dist_major_road_m + 10), 6) as log_major, road_density_500m, road_density_1km, round(log10(dist_coast_m + 10), 6) as log_coast, round(log10(dist_industrial_m + 10), 6) as log_industrial, building_density_500m, s_acctbal as y from ft join supplier on s_suppkey = id)"
