@@ -136,3 +136,70 @@ def test_articles_are_kept_whatever_wraps_them():
     for chrome in ('<div class="site-footer">x</div>', '<div class="main_menu">x</div>', '<div id="cookie-banner">x</div>', "<aside><article>x</article></aside>", '<section class="comments"><article>x</article></section>', '<article class="comment">x</article>', '<div class="widget sidebar">x</div>', "<form>x</form>"):
         assert text(f"{chrome}<article><p>Body text.</p></article>") == "Body text.", chrome
         assert [r for r, t in ht.blocks(chrome) if t == "x"] == [ht.CHROME], chrome
+
+
+def _on(stream, page, k, most):
+    """Pages with the k items from each place on; by trying every place."""
+    return {p for block, p in zip(stream, page, strict=True) for i in range(len(block) - most + 1) if block[i : i + most] == k}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_array_tells_longest_shared_stretches_and_their_pages(seed):
+    rnd = random.Random(seed)
+    words = [[rnd.choice("abc"[: 1 + seed % 3]) for _ in range(rnd.randint(0, 30))] for _ in range(14)]
+    page = np.array(sorted(rnd.randrange(6) for _ in words))
+    s = ht.Stream([" ".join(w) for w in words], np.zeros(len(words), bool))
+    for t in (1, 2, 4):
+        got = ht.longest_shared(s, page, t)
+        for i in np.flatnonzero(s.at >= 0):
+            w, a = words[s.block[i]], int(s.at[i] - s.words.first[s.block[i]])
+            if len(w) < ht.RUN:
+                assert got[i] == (len({p for x, p in zip(words, page, strict=True) if x == w}) >= t)
+            else:
+                fit = [k for k in range(ht.RUN, len(w) - a + 1) if len(_on(words, page, w[a : a + k], k)) >= t]
+                assert got[i] == max(fit, default=0)
+    known = [w for w in words[:5] if len(w) >= ht.RUN]
+    both = ht.Stream([" ".join(w) for w in words + known], np.zeros(len(words) + len(known), bool))
+    sums = {}
+    for k, at, size, n in zip(*(x.tolist() for x in ht.agreement(both, page, len(known))), strict=True):
+        for j in range(ht.RUN, size + 1):
+            sums[k, at, j] = sums.get((k, at, j), 0) + n
+    assert sums == {(k, a, j): n for k, w in enumerate(known) for a in range(len(w)) for j in range(ht.RUN, len(w) - a + 1) if (n := len(_on(words, page, w[a : a + j], j)))}
+
+
+@pytest.mark.parametrize("shard", [60, 1 << 18])
+def test_passages_of_any_length_are_counted_across_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(ht, "SHARD_WORDS", shard)
+    rnd = random.Random(8)
+    say = lambda k: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    head, long, tail = say(9), say(24), say(8)
+    rows = []
+    for i in range(48):  # a footer, marked; most pages have more of it, some of these in running text
+        foot = " ".join([head] * (i % 4 == 0) + [long] + [tail] * (i % 3 == 0))
+        rows.append((i, f"http://h{i % 2}.org/{i}", f"<article><p>{say(9)} {long}</p></article>" + (f"<footer>{foot}</footer>" if i % 5 else f"<p>{say(3)}</p><div>{foot}</div>") + "<nav><li>Home</li></nav>" + "<h2>Home</h2>" * (i % 24 == 3)))
+    rows.append((100, rows[0][1], rows[0][2]))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {(r.host, r.passage): r.pages for r in ht.passages(pages).collect()}
+    want = {}
+    for h in ("h0.org", "h1.org"):
+        own = [[t.split() for r, t in ht.blocks(q) if r != ht.CONTENT] for i, u, q in rows if i < 100 and u.split("/")[2] == h]
+        each = {}
+        for k, page in enumerate(own):
+            for s in {tuple(b[i:j]) for b in page if len(b) >= ht.RUN for i in range(len(b)) for j in range(i + ht.RUN, len(b) + 1)}:
+                each.setdefault(s, set()).add(k)
+        often = {s: len(p) for s, p in each.items() if len(p) >= max(ht.PAGES, ht.SHARE * len(own))}
+        assert all(often[tuple(p.split())] == n for (name, p), n in got.items() if name == h)
+        inner = {s[a:b] for s in often for a, b in ((1, len(s)), (0, len(s) - 1))}
+        want |= {(h, " ".join(s)): n for s, n in often.items() if s not in inner}
+    assert want.items() <= got.items() and any(len(p.split()) > 24 for _, p in want)
+    # the footer goes where it isn't marked, what is an article's stays
+    for r in ht.extract(pages).collect():
+        assert long in r.text and r.text.count(long) == 1, r
+        assert r.text.endswith("Home") == (r.page_id % 24 == 3)
+
+
+def test_a_word_said_over_and_over(spark):
+    rows = [(i, "http://a.org/", f"<div>{'so ' * (3000 + i)}</div><p>own{i} words</p>") for i in range(8)]
+    began = time.time()
+    assert sorted(r.text for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()) == [f"own{i} words" for i in range(8)]
+    assert time.time() - began < 60
