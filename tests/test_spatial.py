@@ -28,3 +28,14 @@ def test_counts_within_a_radius(spark, monkeypatch, shard):
         want[k] = want.get(k, 0) + sum((x - a) ** 2 + (y - b) ** 2 <= 25 for _, a, b in pts)
     assert sorted((r.id, r.n) for r in out.collect()) == sorted(want.items())
     assert "power" not in out._jdf.queryExecution().executedPlan().toString().lower()  # no join makes a row of each pair near by
+
+
+def test_nearest_of_dense_points_begins_in_small_cells(spark):
+    """A cell of the given size has all points; smaller ones come first, so a query meets few of them."""
+    rnd = random.Random(7)
+    pts = [(k, rnd.gauss(0, 1), rnd.gauss(0, 1)) for k in range(3000)] + [(1, 0.5, 0.5)] * 500
+    qs = [(k, rnd.gauss(0, 2), rnd.gauss(0, 2)) for k in range(80)] + [(100, 4000.0, 0.0)]
+    points = xy(spark, pts)
+    assert spatial._finer(points, 500.0) >= 4 and spatial._finer(points.limit(0), 500.0) is None
+    got = {r.id: r.distance for r in spatial.nearest(xy(spark, qs), points, 500.0).collect()}
+    assert got == {k: pytest.approx(min(math.dist((x, y), p[1:]) for p in pts)) for k, x, y in qs}
