@@ -66,7 +66,8 @@ def held_out_skill_of(units: DataFrame, key: str, y: str, xs: list[str], n: int
     """(r2, p, units): leave-one-out skill of a least-squares plane on any number of predictors, and the share of permutations of the outcome that reach it.
 
     Predictors are standardised. Their normal equations are sums of one pass; a unit's leverage and a permutation's slopes are
-    solved from these in expressions, so a permutation costs its sums and no fit. Units with a null anywhere are left out; collinear predictors give nulls.
+    solved from these in expressions, so a permutation costs its sums, of one pass, and no fit: with slopes b, the squared left-out errors are
+    sum(y^2 / l^2) - 2 b sum(z y / l^2) + b sum(z z / l^2) b, l being one less the leverage and y centred. Units with a null anywhere are left out; collinear predictors give nulls.
     """
     m = len(xs) + 1
     some = units.where(F.col(y).isNotNull())
@@ -77,16 +78,20 @@ def held_out_skill_of(units: DataFrame, key: str, y: str, xs: list[str], n: int
     square = z.agg(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"a{i}_{j}") for i in range(m) for j in range(i, m)])
     reach = linear.solved(z.crossJoin(F.broadcast(square)).withColumns({f"b{i}": F.col(f"z{i}") for i in range(m)}), m)
     left = reach.select("id", "y", "my", "units", *[f"z{i}" for i in range(m)], (1 - sum(F.col(f"z{i}") * F.col(f"xb{i}") for i in range(m))).alias("left"))
-    ids = z.select("id")
-    moves = resampling.permutations(ids, n, seed).unionByName(ids.select(F.lit(0).cast("long").alias("rep"), "id", F.col("id").alias("to")))
-    rows = moves.join(left.drop("y"), "id").join(z.select(F.col("id").alias("to"), "y"), "to")
-    slopes_ = rows.groupBy("rep").agg(*[F.sum(F.col(f"z{i}") * F.col("y")).alias(f"b{i}") for i in range(m)])
-    slopes_ = linear.solved(slopes_.crossJoin(F.broadcast(square)), m).select("rep", *[f"xb{i}" for i in range(m)])
-    e = (F.col("y") - sum(F.col(f"z{i}") * F.col(f"xb{i}") for i in range(m))) / F.nullif(F.col("left"), F.lit(0.0))
-    base = (F.col("y") - F.col("my")) * F.col("units") / F.nullif(F.col("units") - 1, F.lit(0))
-    r = rows.join(slopes_, "rep").groupBy("rep").agg(F.round(1 - F.sum(e * e) / F.nullif(F.sum(base * base), F.lit(0.0)), 9).alias("r2"), F.count(F.lit(1)).alias("units"))
-    own = r.where("rep = 0").select(F.col("r2").alias("own"))
-    return r.crossJoin(F.broadcast(own)).agg(F.round(F.max("own"), 6).alias("r2"), F.round((F.sum(((F.col("rep") > 0) & (F.col("r2") >= F.col("own"))).cast("long")) + 1) / (n + 1.0), 6).alias("p"), F.max("units").alias("units"))
+    left = left.select("id", *[f"z{i}" for i in range(m)], (1 / F.nullif(F.col("left") * F.col("left"), F.lit(0.0))).alias("w"), (F.col("y") - F.col("my")).alias("y"), "units").persist()  # a row a unit, broadcast to permutations
+    ids, own = left.select("id"), [F.col(f"z{i}") for i in range(m)]
+    sums = [F.sum(zi * F.col("y")).alias(f"b{i}") for i, zi in enumerate(own)] + [F.sum(zi * F.col("y") * F.col("w")).alias(f"c{i}") for i, zi in enumerate(own)] + [F.sum(F.col("y") * F.col("y") * F.col("w")).alias("yy")]
+    moved = resampling.permutations(ids, n, seed).join(F.broadcast(left.drop("y", "units")), "id").join(F.broadcast(left.select(F.col("id").alias("to"), "y")), "to")
+    reps = moved.groupBy("rep").agg(*sums).unionByName(left.agg(*sums).select(F.lit(0).cast("long").alias("rep"), "*"))
+    base = F.col("y") * F.col("units") / F.nullif(F.col("units") - 1, F.lit(0))
+    whole = left.agg(F.sum(base * base).alias("base"), F.count(F.lit(1)).alias("units"), *[F.sum(own[i] * own[j] * F.col("w")).alias(f"d{i}_{j}") for i in range(m) for j in range(i, m)])
+    fits = linear.solved(reps.crossJoin(F.broadcast(square)), m).crossJoin(F.broadcast(whole))
+    cross = sum(F.col(f"xb{i}") * F.col(f"c{i}") for i in range(m))
+    fitted = sum((1 if i == j else 2) * F.col(f"xb{i}") * F.col(f"xb{j}") * F.col(f"d{i}_{j}") for i in range(m) for j in range(i, m))
+    r = fits.select("rep", "units", F.round(1 - (F.col("yy") - 2 * cross + fitted) / F.nullif(F.col("base"), F.lit(0.0)), 9).alias("r2"))
+    first = F.max(F.when(F.col("rep") == 0, F.col("r2"))).over(W.partitionBy())  # a row a permutation
+    r = r.withColumn("own", first)
+    return r.agg(F.round(F.max("own"), 6).alias("r2"), F.round((F.sum(((F.col("rep") > 0) & (F.col("r2") >= F.col("own"))).cast("long")) + 1) / (n + 1.0), 6).alias("p"), F.max("units").alias("units"))
 
 
 def permuted_rank_correlations(units: DataFrame, key: str, y: str, xs: list[str], n: int = 5000, seed: int = 1) -> DataFrame:

@@ -15,8 +15,8 @@ def _draw(*parts: Column) -> Column:
 
 
 def permutations(ids: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """(rep, id, to): n permutations of the ids of a small dimension."""
-    reps = ids.sparkSession.range(1, n + 1).select(F.col("id").alias("rep"))
+    """(rep, id, to): n permutations of the ids of a small dimension. Repetitions are dealt out before ids join them, so no row is shuffled to be ranked."""
+    reps = ids.sparkSession.range(1, n + 1).select(F.col("id").alias("rep")).repartition(max(1, n // 8), "rep")
     numbered = ids.select("id", F.row_number().over(W.orderBy("id")).alias("k"))
     drawn = reps.crossJoin(F.broadcast(ids.select(F.col("id").alias("to")))).withColumn("k", F.row_number().over(W.partitionBy("rep").orderBy(_draw(F.lit(seed), F.col("rep"), F.col("to")), "to")))
     return drawn.join(F.broadcast(numbered), "k").select("rep", "id", "to")
