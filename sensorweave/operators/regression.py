@@ -96,17 +96,31 @@ def held_out_skill_of(units: DataFrame, key: str, y: str, xs: list[str], n: int
 
 def permuted_rank_correlations(units: DataFrame, key: str, y: str, xs: list[str], n: int = 5000, seed: int = 1) -> DataFrame:
     """(feature, rho, p): Spearman's correlation of each feature with the outcome and its two-sided p by permutations, the same ones for all features."""
-    long = units.select(F.col(key).alias("id"), F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).cast("double").alias("x")) for x in xs])).alias("f")).select("id", "y", "f.*").where("x is not null and y is not null")
-    ranked = long.withColumns({"rx": average_rank(F.col("x"), "feature"), "ry": average_rank(F.col("y"), "feature")})
-    ids = units.select(F.col(key).alias("id"))
-    moves = resampling.permutations(ids, n, seed).unionByName(ids.select(F.lit(0).cast("long").alias("rep"), "id", F.col("id").alias("to")))
-    moved = moves.join(ranked.select("id", "feature", "rx"), "id").join(ranked.select(F.col("id").alias("to"), "feature", "ry"), ["to", "feature"])
-    r = moved.groupBy("feature", "rep").agg(F.round(pearson(F.col("rx"), F.col("ry")), 9).alias("r"))
+    u = units.select(F.col(key).alias("id"), F.col(y).cast("double").alias("y"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)])
+    for i in range(len(xs)):  # centred ranks among the units that have both, 0 for others; sums of these are exact
+        has = F.col(f"x{i}").isNotNull() & F.col("y").isNotNull()
+        middle = (F.sum(has.cast("long")).over(W.partitionBy()) + 1) / 2
+        u = u.withColumn(f"m{i}", has.cast("double")).withColumns({f"{s}{i}": F.when(has, average_rank(v, f"m{i}") - middle).otherwise(0.0) for s, v in (("p", F.col(f"x{i}")), ("q", F.col("y")))})
+    u = u.drop("y", *[f"x{i}" for i in range(len(xs))]).persist()  # a row a unit, broadcast to permutations
+    a, b = (u.select(F.col("id").alias(k), *[F.col(f"{s}{i}").alias(f"{s}{i}{k}") for s in ("m", r) for i in range(len(xs))]) for k, r in (("id", "p"), ("to", "q")))
+    ids = u.select("id")
+    zero = ids.select(F.lit(0).cast("long").alias("rep"), "id", F.col("id").alias("to"))
+    met = lambda moves: moves.join(F.broadcast(a), "id").join(F.broadcast(b), "to").groupBy("rep").agg(*[F.sum(e).alias(f"{s}{i}") for i in range(len(xs)) for s, e in _products(i).items()])
+    sums = met(resampling.permutations(ids, n, seed)).unionByName(met(zero))
+    each = sums.select("rep", F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), *[F.col(f"{s}{i}").alias(s) for s in _products(i)]) for i, x in enumerate(xs)])).alias("f")).select("rep", "f.*").where("n > 0")
+    spread = lambda s: F.sqrt(F.greatest(F.col(s + s) / F.col("n") - F.pow(F.col(s) / F.col("n"), 2), F.lit(0.0)))
+    r = each.select("feature", "rep", F.round(F.try_divide(F.col("xy") / F.col("n") - F.col("x") / F.col("n") * F.col("y") / F.col("n"), F.nullif(spread("x") * spread("y"), F.lit(0.0))), 9).alias("r"))
     own = r.where("rep = 0").select("feature", F.col("r").alias("own"))
     out = r.join(own, "feature").groupBy("feature").agg(F.max("own").alias("rho"), F.sum(((F.col("rep") > 0) & (F.abs("r") >= F.abs("own"))).cast("long")).alias("k"))
     return out.select("feature", F.round("rho", 6).alias("rho"), F.round((F.col("k") + 1) / (n + 1.0), 6).alias("p"))
 
 
+def _products(i: int) -> dict[str, Column]:
+    """What the correlation of feature i sums over moved units: those that have it at both ends."""
+    here, there, x, y = F.col(f"m{i}id"), F.col(f"m{i}to"), F.col(f"p{i}id"), F.col(f"q{i}to")
+    return {"n": here * there, "x": x * there, "y": here * y, "xx": x * x * there, "yy": here * y * y, "xy": x * y}
+
+
 def rank_correlation_test(rows: DataFrame, x: str, y: str) -> DataFrame:
     """(rho, n, p) of Spearman's correlation by Student's distribution; p is 0 at +-1 and null below three rows."""
     r, n = F.col("rho"), F.col("n")
