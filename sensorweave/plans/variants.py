@@ -141,7 +141,7 @@ _MASKED = f"bd as (select {', '.join(f'round(quantile_cont({x}, 0.01), 6) as {x}
 
 def _masked(spark, sf):
     """All sites against the 1st to 99th percentile of the first 39, as cells of a map stand against those of its stations."""
-    f = map_features(spark, sf, sites(spark, sf))
+    f = map_features(spark, sf, sites(spark, sf)).persist()  # a row a site, read for the percentiles and the flags
     out = spatial.mask(f, profiles.bounds(f.where("id <= 39"), _NAMES), ["id"], _NAMES, ("p01", "p99"))
     kind = spatial.mask_kind(F.col("flags"), _NAMES, "building_density_500m", ["road_density_500m", "road_density_1km"], ["dist_major_road_m", "dist_coast_m", "dist_industrial_m"])
     return out.select("id", "flags", kind.alias("kind"))

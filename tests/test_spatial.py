@@ -6,8 +6,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sensorweave.operators import spatial
+from sensorweave.plans import variants
 
 
 def xy(spark, rows):
@@ -39,3 +41,18 @@ def test_nearest_of_dense_points_begins_in_small_cells(spark):
     assert spatial._finer(points, 500.0) >= 4 and spatial._finer(points.limit(0), 500.0) is None
     got = {r.id: r.distance for r in spatial.nearest(xy(spark, qs), points, 500.0).collect()}
     assert got == {k: pytest.approx(min(math.dist((x, y), p[1:]) for p in pts)) for k, x, y in qs}
+
+
+def test_mask_makes_features_once(spark, monkeypatch):
+    """The percentiles and the flags of all sites read the same features."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return float(x % 17)
+
+    f = spark.range(1, 101).select("id", *[counted("id").alias(n) if k == 0 else (F.col("id") * k % 13).cast("double").alias(n) for k, n in enumerate(variants._NAMES)])
+    monkeypatch.setattr(variants, "map_features", lambda *_: f)
+    monkeypatch.setattr(variants, "sites", lambda *_: None)
+    assert len(variants._masked(spark, "").collect()) == 100 and made.value == 100
